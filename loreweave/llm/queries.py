@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import contamination as benchmarks
+from . import html_text, packing, pseudonyms, warc
 from .common import UPPER, table
 from .minhash import near_duplicates
 
+#: Production parameters of the queries.
+TOKENIZER_FILE = "word_bpe_49k.json"
+PSEUDONYM_KEY = "loreweave-demonstration-key"
+
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
 
 
@@ -15,7 +22,47 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=3)
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup}
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal values replaced by pseudonyms of the same format."""
+    return pseudonyms.mask_report(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words in all documents."""
+    found = benchmarks.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def tokenizer_path() -> str:
+    """Where the public vocabulary is; the path is a parameter of the packing operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER_FILE)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), length=4096, end=2, with_ids=False)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives, normalised, and read back."""
+    return warc.read_archives(warc.normalise(warc.write_archives(table(spark, sf_dir, "pages"))))
+
+
+QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_html_text": op2_html_text,
+    "op4_pseudonyms": op4_pseudonyms,
+    "op5_decontamination": op5_decontamination,
+    "op9_packing": op9_packing,
+    "op10_warc": op10_warc,
+}
 
 SQL = {
     "op1_minhash_dedup": rf"""
@@ -31,4 +78,21 @@ r(node, reached) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e O
 m AS (SELECT c.sh_key, min(r.reached) AS component FROM r JOIN c ON c.node = r.node GROUP BY c.sh_key)
 SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(m.component, s.doc_id) AS component_id, coalesce(m.component, s.doc_id) = s.doc_id AS kept
 FROM s LEFT JOIN m ON m.sh_key = md5(array_to_string(list_sort(s.sh), chr(10))) AND len(s.sh) > 0""",
+    "op5_decontamination": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '{ALNUM}') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all({LOWER}, '{ALNUM}') AS ws FROM benchmark),
+k AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS w
+  FROM (SELECT item_id, ws, least(len(ws), 13) AS n, unnest(range(1, greatest(len(ws) - 13, 0) + 2)) AS i FROM b WHERE len(ws) > 0)),
+p AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM k)),
+f AS (SELECT p.doc_id, p.i, k.n, k.item_id FROM p JOIN k ON k.n = p.n AND array_to_string(p.ws[p.i:p.i + p.n - 1], ' ') = k.w),
+h AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS w FROM f) GROUP BY doc_id),
+t AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM f GROUP BY doc_id)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(len(t.items), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(t.items, ','), '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.ws) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op10_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT payload_digest, min(page_id) AS f FROM p WHERE payload_bytes >= 100 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN f < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN f < page_id THEN f END AS refers_to
+FROM p LEFT JOIN m USING (payload_digest)""",
 }
