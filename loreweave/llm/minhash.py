@@ -215,6 +215,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def drop_near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """The rows of docs that stand for their class, with all their columns: those of the smallest doc_id reachable, one of each if
+    rows repeat with equal text. Documents without shingles stay. Cases as in `near_duplicates`."""
+    gone = near_duplicates(docs, percent, width).where("not kept").select(F.col("doc_id").alias("lw_gone")).distinct()
+    kept = docs.join(gone, docs.doc_id.eqNullSafe(F.col("lw_gone")), "left_anti")
+    return kept
+
+
 def _members(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """Whole sets of the candidates, from their texts: they are needed for few, so they aren't kept for all."""
     texts = docs.join(members, docs.doc_id == members.node).select("component", "node", "sig", "blocks", "block", "text")

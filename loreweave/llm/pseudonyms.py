@@ -22,7 +22,7 @@ ROUNDS = 8
 KINDS = ("card", "date", "email", "iban", "ip", "phone", "secret", "ssn")
 
 _NUMBER = re.compile(
-    r"""(?<![0-9A-Za-z_])(?:
+    r"""(?<![0-9A-Za-z_])(?<![0-9]\.)(?:
       (?P<date>(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}))
     | (?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.[0-9]))
     | (?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})
