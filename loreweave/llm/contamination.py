@@ -1,10 +1,10 @@
 """Benchmark decontamination by suffix arrays over the training documents.
 
-Documents are taken in shards of a few megabytes. The suffix array of a shard holds its word positions ordered by the
-words that follow them, to the depth of a window and no further than the document; positions whose first words start
-no window of the benchmark can't begin a match and are left out before sorting. Each window of every test suffix is
-then found by two binary searches, which give all its places in the shard at once. The benchmark goes to the workers
-in blocks of bounded size, one pass over the documents for each block.
+Documents are taken in shards of a few megabytes. The suffix array of a shard holds its word positions ordered by the words that
+follow them, to the depth of a window and no further than the document; it is built by doubling: ranks of single words give those of
+pairs, these those of four words, and so on. Every window of every test suffix is then found by two binary searches, which
+give all its places in the shard at once. The benchmark goes to the workers in blocks of bounded size, one pass over the
+documents for each block.
 """
 
 from __future__ import annotations
@@ -15,20 +15,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .words import ngram_hash, slices, split_words
+from .words import slices, split_words
 
+#: Bytes of text in a shard, about.
+SHARD_BYTES = 6 << 20
 #: Characters of benchmark text that one pass over the documents handles.
 BLOCK_CHARS = 8 << 20
 STATE = ("lw_words", "lw_hits", "lw_items", "lw_mask")
 _STATE_TYPES = "lw_words long, lw_hits long, lw_items array<string>, lw_mask binary, lw_longest long, lw_longest_at long"
 
 
-def _keys(hashes: np.ndarray, at: np.ndarray, size: np.ndarray, depth: int, fill: int) -> np.ndarray:
-    """For each place the hashes of its next `size` words, filled up to `depth`, as comparable byte strings."""
-    index = at[:, None] + np.arange(depth)
-    inside = np.arange(depth) < size[:, None]
-    rows = np.where(inside, hashes[np.minimum(index, max(len(hashes) - 1, 0))], np.uint64(fill))
-    return np.ascontiguousarray(rows).view(f"V{8 * depth}").ravel()
+def suffix_array(hashes: np.ndarray, doc_end: np.ndarray, depth: int) -> np.ndarray:
+    """Positions ordered by their next `depth` words; the end of a document comes before any word."""
+    n = len(hashes)
+    rank = np.unique(hashes, return_inverse=True)[1].astype(np.int64) + 1
+    known = 1
+    while known < depth:
+        step = min(known, depth - known)
+        at = np.arange(n) + step
+        after = np.where(at < doc_end, rank[np.minimum(at, n - 1)], 0)
+        rank = np.unique(rank * (n + 1) + after, return_inverse=True)[1].astype(np.int64) + 1
+        known += step
+    return np.argsort(rank, kind="stable")
 
 
 class Windows:
@@ -37,53 +45,52 @@ class Windows:
     def __init__(self, items: list[tuple], window: int) -> None:
         words = split_words(pa.array([text for _, text in items], pa.large_string()), "alnum")
         self.depth = window
-        at, size, owner = [], [], []
-        for k, (a, n) in enumerate(zip(words.first[:-1], words.counts, strict=True)):
-            starts = np.arange(a, a + max(n - window, 0) + 1) if n else np.zeros(0, np.int64)
-            at.append(starts)
-            size.append(np.full(len(starts), min(n, window)))
-            owner.append(np.full(len(starts), k))
-        at, size, owner = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (at, size, owner))
-        low = _keys(words.hash, at, size, window, 0) if len(at) else np.zeros(0, f"V{8 * window}")
-        pairs = sorted({(k, int(n), int(o)) for k, n, o in zip((x.tobytes() for x in low), size, owner, strict=True)})
-        self.items: list[list[str]] = []
-        self.first, self.size = [], []
-        where = {x.tobytes(): i for i, x in enumerate(low)}
-        last = None
-        for key, n, o in pairs:
-            if (key, n) != last:
-                last = (key, n)
-                self.items.append([])
-                self.first.append(at[where[key]])
-                self.size.append(n)
-            self.items[-1].append(str(items[o][0]))
-        self.size = np.array(self.size, np.int64)
-        first = np.array(self.first, np.int64)
-        self.low = _keys(words.hash, first, self.size, window, 0) if len(first) else low
-        self.high = _keys(words.hash, first, self.size, window, (1 << 64) - 1) if len(first) else low
-        self.lead = int(min(self.size.min(), 3)) if len(first) else 1
-        leads = ngram_hash(words.hash, self.lead)[first] if len(first) else np.zeros(0, np.uint64)
-        self.leads = np.unique(leads)
-        self.table = np.zeros(1 << 20, bool)
-        self.table[self.leads & np.uint64((1 << 20) - 1)] = True
+        found: dict[bytes, set[str]] = {}
+        for (item, _), a, n in zip(items, words.first[:-1].tolist(), words.counts.tolist(), strict=True):
+            size = min(n, window)
+            for k in range(n - size + 1 if n else 0):
+                found.setdefault(words.hash[a + k : a + k + size].tobytes(), set()).add(str(item))
+        self.items = [sorted(x) for x in found.values()]
+        self.size = np.array([len(x) // 8 for x in found], np.int64)
+        self.words = np.zeros((len(found), window), np.uint64)
+        for row, key in zip(self.words, found, strict=True):
+            row[: len(key) // 8] = np.frombuffer(key, np.uint64)
+
+    def _search(self, hashes: np.ndarray, order: np.ndarray, doc_end: np.ndarray, past: bool) -> np.ndarray:
+        """For each window the first place in the suffix array whose suffix is not before it, or (past) is beyond all that begin with it."""
+        lo, hi = np.zeros(len(self.size), np.int64), np.full(len(self.size), len(order), np.int64)
+        while (open_ := np.flatnonzero(lo < hi)).size:
+            mid = (lo[open_] + hi[open_]) >> 1
+            at, size, words = order[mid], self.size[open_], self.words[open_]
+            before = np.zeros(len(at), bool)  # the suffix comes before the window
+            tied = np.arange(len(at))
+            for k in range(self.depth):
+                tied = tied[k < size[tied]]
+                if not tied.size:
+                    break
+                place = at[tied] + k
+                ended = place >= doc_end[at[tied]]
+                mine, theirs = hashes[np.minimum(place, len(hashes) - 1)], words[tied, k]
+                less = ended | (mine < theirs)
+                before[tied[less]] = True
+                same = ~ended & (mine == theirs)
+                tied = tied[same]
+            if past:
+                before[tied] = True
+            lo[open_[before]] = mid[before] + 1
+            hi[open_[~before]] = mid[~before]
+        return lo
 
     def matches(self, hashes: np.ndarray, doc_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places (word numbers) where windows stand, and the windows. doc_end: for each word, where its document ends."""
         none = np.zeros(0, np.int64)
-        lead = ngram_hash(hashes, self.lead)
-        at = np.flatnonzero(self.table[lead & np.uint64((1 << 20) - 1)])
-        at = at[np.isin(lead[at], self.leads)]
-        if not len(at) or not len(self.size):
+        if not len(hashes) or not len(self.size):
             return none, none
-        suffix = _keys(hashes, at, np.minimum(doc_end[at] - at, self.depth), self.depth, 0)
-        order = np.argsort(suffix, kind="stable")
-        suffix, at = suffix[order], at[order]
-        a, b = np.searchsorted(suffix, self.low, "left"), np.searchsorted(suffix, self.high, "right")
+        order = suffix_array(hashes, doc_end, self.depth)
+        a, b = self._search(hashes, order, doc_end, False), self._search(hashes, order, doc_end, True)
         n = b - a
         which = np.repeat(np.arange(len(n)), n)
-        place = at[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)]
-        inside = place + self.size[which] <= doc_end[place]
-        return place[inside], which[inside]
+        return order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)], which
 
 
 def _runs(mask: np.ndarray) -> tuple[int, int]:
@@ -100,7 +107,7 @@ def _mark(block, keep: list[str]):
     def run(batches):
         windows = block.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SHARD_BYTES):
                 words = split_words(part.column("text"), "alnum")
                 counts = words.counts
                 place, which = windows.matches(words.hash, np.repeat(words.first[1:], counts))

@@ -88,13 +88,10 @@ def _licence_sql() -> str:
     return rf"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all({LOWER}, '{ALNUM}') AS ws FROM documents),
 ph AS (SELECT * FROM (VALUES {phrases}) x(phrase, label, k)),
-at AS (SELECT doc_id, label, i FROM (SELECT doc_id, ws, label, phrase, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, ph WHERE contains(array_to_string(ws, ' '), phrase)) WHERE array_to_string(ws[i:i + k - 1], ' ') = phrase),
-b AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS f, max(i) - 1 AS l, list_sort(list(DISTINCT label)) AS labels FROM at GROUP BY doc_id),
+pl AS (SELECT doc_id, label, i FROM (SELECT doc_id, ws, label, phrase, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, ph WHERE contains(array_to_string(ws, ' '), phrase)) WHERE array_to_string(ws[i:i + k - 1], ' ') = phrase),
+b AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS f, max(i) - 1 AS l, list_sort(list(DISTINCT label)) AS labels FROM pl GROUP BY doc_id),
 tp AS (SELECT * FROM (VALUES {rows}) x(template, tw)),
-bl AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(x), '{ALNUM}')) AS bw FROM (SELECT doc_id, unnest(regexp_split_to_array(t, '
-[ 	-
-]*
-')) AS x FROM w)),
+bl AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(x), '{ALNUM}')) AS bw FROM (SELECT doc_id, unnest(regexp_split_to_array(t, '\n[ \t\v\f\r]*\n')) AS x FROM w)),
 mt AS (SELECT doc_id, template, len(list_intersect(bw, tw)) / len(tw) AS c FROM bl, tp WHERE len(list_intersect(bw, tw)) >= ceil({licences.THRESHOLD} * len(tw))),
 mm AS (SELECT doc_id, list(DISTINCT template) AS labels, max(c) AS c FROM mt GROUP BY doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.f::BIGINT AS first_word, b.l::BIGINT AS last_word, coalesce(array_to_string(b.labels, ','), '') AS base_labels,
@@ -155,8 +152,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 m AS (SELECT doc_id, t, regexp_extract_all(t, '[^ 	-
 ]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
 ]')) AS ls FROM d),
-p AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i, ws FROM m),
-h AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 7], ' ')) AS k FROM p),
+h AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i, unnest(list_transform(range(1, len(ws) - 6), lambda i: hash(ws[i:i + 7]))) AS k FROM m),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM h) WHERE c > 1),
 q AS (SELECT doc_id, count(DISTINCT w) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS w FROM r) GROUP BY doc_id),
 f AS (SELECT m.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
