@@ -25,6 +25,8 @@ from .common import cut, scratch
 #: An archive is closed after so many bytes of payload, and streams are read in parts of so many.
 ARCHIVE_BYTES, READ_BYTES = 64 << 20, 1 << 20
 LEVEL = 1
+#: Revisits go to every task if there are so many at most (about 100 bytes each); beyond, they meet the pages by a shuffle.
+BROADCAST_ROWS = 200_000
 #: Fixed values of the WARC 1.1 standard.
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -194,6 +196,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 100
     light = pages.where(f"octet_length(html) >= {least}").select("page_id", "digest")
     first = light.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "refers_to")
     again = light.join(first, "digest").where("page_id != refers_to").select("page_id", "digest", "refers_to").distinct()
+    again, got = cut(again, "warc-revisits", n=F.count(F.lit(1)))
+    if got["n"] <= BROADCAST_ROWS:
+        again = F.broadcast(again)
     rows = pages.join(again, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
     return cut(rows.mapInArrow(_write(folder, date), "path string, records long, payload_bytes long"), "warc-manifest")[0]
 
