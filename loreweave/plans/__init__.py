@@ -1,2 +1,6 @@
 """Queries over the driver's tables and their SQL twins."""
-QUERIES, SQL = {}, {}
+
+from . import text_queries
+
+QUERIES = {**text_queries.QUERIES}
+SQL = {**text_queries.SQL}
