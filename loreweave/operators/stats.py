@@ -194,6 +194,6 @@ def touched_searches(searches: DataFrame, hits: DataFrame, touches: DataFrame) -
     later = hits.join(searches, "search_id").alias("h").join(touches.alias("t"), (F.col("h.session_id") == F.col("t.session_id")) & (F.col("h.path") == F.col("t.path")) & (F.col("t.turn") > F.col("h.turn")), "left_semi")
     touched = later.select(F.col("search_id")).distinct().withColumn("touched", F.lit(1))
     some = hits.groupBy("search_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("same_repo").alias("own"))
-    a = searches.join(some, "search_id", "left").join(touched, "search_id", "left").agg(F.count(F.lit(1)).alias("searches"), F.count_if("n > 0").alias("full"), F.count("touched").alias("touched"), F.coalesce(F.sum("n"), F.lit(0)).alias("hits"), F.coalesce(F.sum("own"), F.lit(0)).alias("own"))
+    a = searches.join(some, "search_id", "left").join(touched, "search_id", "left").agg(F.count(F.lit(1)).alias("searches"), F.count_if(F.col("n") > 0).alias("full"), F.count("touched").alias("touched"), F.coalesce(F.sum("n"), F.lit(0)).alias("hits"), F.coalesce(F.sum("own"), F.lit(0)).alias("own"))
     rate = lambda n, d: F.when(F.col(d) == 0, 0.0).otherwise(F.col(n) / F.greatest(d, F.lit(1)))
     return a.select("searches", rate("full", "searches").alias("non_empty_rate"), rate("touched", "full").alias("touch_rate"), rate("own", "hits").alias("in_repo_ratio"))

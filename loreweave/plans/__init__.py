@@ -1,6 +1,6 @@
 """Queries over the driver's tables and their SQL twins."""
 
-from . import text_queries
+from . import store_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES}
-SQL = {**text_queries.SQL}
+QUERIES = {**text_queries.QUERIES, **store_queries.QUERIES}
+SQL = {**text_queries.SQL, **store_queries.SQL}

@@ -162,7 +162,7 @@ _NEEDLES = f"(SELECT {TOKENS})"
     with_views(
         "docs",
         f"""l AS (SELECT path, unnest(string_split(body, chr(10))) AS text, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS line FROM docs WHERE strlen(body) <= 500000),
-h AS (SELECT path, line, row_number() OVER (PARTITION BY path ORDER BY line) AS n FROM l WHERE len(list_filter({_list(['red', 'widget', 'steel', 'bolt'])}, lambda k: contains(lower(text), k))) > 0)
+h AS (SELECT path, line, row_number() OVER (PARTITION BY path ORDER BY line) AS n FROM l WHERE len(list_filter({_list(TASK.split())}, lambda k: contains(lower(text), k))) > 0)
 SELECT path, line::INT AS line FROM h WHERE n <= 3""",
     ),
 )

@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 #: 2024-01-31 00:00 UTC in milliseconds: the `now` of all queries.
 NOW_MS = 1_706_659_200_000
 DAY_MS = 86_400_000
-TASK = "red widget steel bolt"
+TASK = "red widget steel bolt thing"
 TYPES = ("decision", "gotcha", "how-to", "constraint", "capture")
 TOOLS = {"view": "recall_memory", "click": "get_memory", "purchase": "record_memory", "signup": "suggest_files", "error": "extract_session"}
 
 
+#: Milliseconds of the events' times, which have no zone.
+MILLIS = "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))"
+
+
 @dataclass(frozen=True)
 class Views:
     spark: SparkSession
@@ -34,7 +38,7 @@ class Views:
         tool = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in TOOLS.items()))
         return e.select(
             "event_id",
-            F.unix_millis("ts").alias("ts"),
+            F.expr(MILLIS).alias("ts"),
             tool.alias("tool"),
             F.col("value").alias("dur_ms"),
             F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"),
@@ -48,12 +52,12 @@ class Views:
     @property
     def surface(self) -> DataFrame:
         e = self.table("events").where("event_type in ('signup', 'purchase')")
-        return e.select(F.col("event_id").alias("ordinal"), F.unix_millis("ts").alias("ts"), F.col("user_id").cast("string").alias("session_id"), (F.col("event_id") % 50).alias("memory_id"), F.concat(F.lit("f"), (F.col("event_id") % 7).cast("string")).alias("file"))
+        return e.select(F.col("event_id").alias("ordinal"), F.expr(MILLIS).alias("ts"), F.col("user_id").cast("string").alias("session_id"), (F.col("event_id") % 50).alias("memory_id"), F.concat(F.lit("f"), (F.col("event_id") % 7).cast("string")).alias("file"))
 
     @property
     def gets(self) -> DataFrame:
         e = self.table("events").where("event_type = 'click'")
-        return e.select(F.unix_millis("ts").alias("ts"), F.col("user_id").cast("string").alias("session_id"), (F.col("event_id") % 50).alias("memory_id"))
+        return e.select(F.expr(MILLIS).alias("ts"), F.col("user_id").cast("string").alias("session_id"), (F.col("event_id") % 50).alias("memory_id"))
 
     # -- structure ------------------------------------------------------------------------------------------------------
     @property
@@ -159,9 +163,9 @@ _TYPE = f"[{', '.join(repr(x) for x in TYPES)}]"
 _NAME = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), '')"
 #: The same relations as common table expressions.
 SQL = {
-    "tool_calls": f"SELECT event_id, epoch_ms(ts) AS ts, {_TOOL} AS tool, value AS dur_ms, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, CASE event_id % 3 WHEN 0 THEN 'fresh' WHEN 1 THEN 'reindexed' ELSE 'stale' END AS cache_status, CAST(json_extract_string(props, '$.k') AS INT) AS result_count, CASE WHEN event_id % 20 = 0 THEN 1 ELSE 0 END AS synthetic, CASE WHEN event_id % 17 != 0 THEN user_id::VARCHAR END AS session_id, user_id % 8 AS repo_key FROM events",
-    "surface": "SELECT event_id AS ordinal, epoch_ms(ts) AS ts, user_id::VARCHAR AS session_id, event_id % 50 AS memory_id, 'f' || (event_id % 7) AS file FROM events WHERE event_type IN ('signup', 'purchase')",
-    "gets": "SELECT epoch_ms(ts) AS ts, user_id::VARCHAR AS session_id, event_id % 50 AS memory_id FROM events WHERE event_type = 'click'",
+    "tool_calls": f"SELECT event_id, epoch_us(ts) // 1000 AS ts, {_TOOL} AS tool, value AS dur_ms, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, CASE event_id % 3 WHEN 0 THEN 'fresh' WHEN 1 THEN 'reindexed' ELSE 'stale' END AS cache_status, CAST(json_extract_string(props, '$.k') AS INT) AS result_count, CASE WHEN event_id % 20 = 0 THEN 1 ELSE 0 END AS synthetic, CASE WHEN event_id % 17 != 0 THEN user_id::VARCHAR END AS session_id, user_id % 8 AS repo_key FROM events",
+    "surface": "SELECT event_id AS ordinal, epoch_us(ts) // 1000 AS ts, user_id::VARCHAR AS session_id, event_id % 50 AS memory_id, 'f' || (event_id % 7) AS file FROM events WHERE event_type IN ('signup', 'purchase')",
+    "gets": "SELECT epoch_us(ts) // 1000 AS ts, user_id::VARCHAR AS session_id, event_id % 50 AS memory_id FROM events WHERE event_type = 'click'",
     "paths": f"SELECT p_partkey, p_size, {_NAME} AS name, 'src/' || lower(p_type) || '/' || replace(p_brand, '#', '_') || '/' || {_NAME} || '_' || p_partkey || '.ts' AS path FROM part",
     "files": "SELECT path, p_partkey AS ordinal, sha256(name) AS content_hash FROM paths",
     "functions": "SELECT 'make' || name AS qualified_name, path AS file, p_size % 2 = 0 AS exported FROM paths WHERE p_partkey % 3 = 0",
