@@ -63,6 +63,7 @@ class Windows:
             mid = (lo[open_] + hi[open_]) >> 1
             at, size, words = order[mid], self.size[open_], self.words[open_]
             before = np.zeros(len(at), bool)  # the suffix comes before the window
+            begins = np.ones(len(at), bool)  # the suffix begins with the window
             tied = np.arange(len(at))
             for k in range(self.depth):
                 tied = tied[k < size[tied]]
@@ -74,9 +75,10 @@ class Windows:
                 less = ended | (mine < theirs)
                 before[tied[less]] = True
                 same = ~ended & (mine == theirs)
+                begins[tied[~same]] = False
                 tied = tied[same]
             if past:
-                before[tied] = True
+                before |= begins
             lo[open_[before]] = mid[before] + 1
             hi[open_[~before]] = mid[~before]
         return lo
@@ -185,5 +187,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Da
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """The rows of docs that `contamination` doesn't call contaminated, with all their columns."""
-    return _marked(docs, benchmark, window).where(f"not ({_CONTAMINATED})").select(docs.columns)
+    """The rows of docs that `contamination` doesn't call contaminated, with all their columns; cases as there."""
+    bare = docs.select(F.struct(*docs.columns).alias("lw_row"), "text")  # no column of docs can clash with the state
+    return _marked(bare, benchmark, window).where(f"not ({_CONTAMINATED})").select("lw_row.*")

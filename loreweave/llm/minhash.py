@@ -185,12 +185,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
     Words are runs of bytes other than ASCII white space, A-Z taken as a-z; a set holds the distinct `width`-word shingles,
     or the whole sequence of a shorter text. Documents with 100 * intersection >= percent * union are linked;
     component_id is the smallest doc_id reachable, kept says whether it is the row's own. Null, empty and wordless texts
-    have no shingles and no links. Repeated rows stay, each with the same answer. Other columns are ignored; an
+    have no shingles and no links; a row without doc_id is linked with nothing and has no component. Repeated rows stay, each with the same answer. Other columns are ignored; an
     empty table gives an empty result.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets, _ = cut(docs.mapInArrow(_signatures(width), "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"), "signatures")
-    classes = sets.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "bands")).alias("r"))
+    classes = sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "bands")).alias("r"))
     classes, _ = cut(classes.select("digest", F.col("r.doc_id").alias("node"), "r.n_shingles", "r.sig", "r.bands"), "classes")
     keys = classes.select("node", F.explode("bands").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
@@ -211,8 +211,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
         found = found.unionByName(connected_components(links.where("blocks > 1")))
     answer = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = sets.select("doc_id", "n_shingles", "digest").join(answer, "digest", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:

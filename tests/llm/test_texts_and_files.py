@@ -1,0 +1,247 @@
+"""HTML text, pseudonyms, chat format, quality, licences, packing and archives: brute force, round trips and odd cases."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from loreweave.llm import chat, html_text, licences, packing, pseudonyms, quality, warc
+from loreweave.llm.queries import op6_chat_format, tokenizer_path
+
+KEY = b"test"
+
+
+# -- HTML ---------------------------------------------------------------------------------------------------------------
+def page(k, body, host="a.example.com"):
+    menu = "".join(f"<li><a href='/{i}'>m{k}{i}</a>" for i in range(4))
+    return (k, f"https://{host}/p/{k}?x=1", f"<html><head><title>t</title><style>p{{}}</style></head><body><header class='top'><p>Brand {k}</header><nav><ul>{menu}</ul></nav><div id='cookie-notice'>We use cookies</div><div class='story'>{body}<p>Read more in the archive</div><div class='sidebar-left'><p>side {k}</div><form><label>Name</label><input></form><section class='comments'><p>nice {k}</section><script>var p='<p>no</p>'</script><footer>f {k}</footer></body></html>")
+
+
+def test_templates_are_learnt_and_content_stays(spark):
+    rows = [page(k, f"<h1>Title {k}</h1><p>First&nbsp;&amp; <b>bold</b>\n part {k}<p>Second<br>line {k}") for k in range(8)]
+    rows += [page(100, "<h1>Only</h1><p>one page", "b.example.org"), (101, None, "<p>loose <i>text</i>"), (102, "junk", None), (103, "http://a.example.com/", ""), (0, *rows[0][1:])]
+    got = {(r.page_id, r.text): r.n_chars for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(8):
+        assert got[k, f"Title {k}\n\nFirst & bold part {k}\n\nSecond line {k}"] == len(f"Title {k}\n\nFirst & bold part {k}\n\nSecond line {k}")
+    assert (100, "Only\n\none page\n\nRead more in the archive") in got  # one page has no constants
+    assert (101, "loose text") in got and got[102, ""] == 0 and got[103, ""] == 0
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_article_is_read_alone():
+    h = "<body><div class=ad>buy</div><article class='post with-sidebar'><header><h1>Head</h1></header><p>One<p>Two <span class='share-buttons'>Share</span>end<aside>x</aside><table><tr><td>a<td>b</table></article><p>outside</body>"
+    assert html_text.main_text(h, None, set()) == "Head\n\nOne\n\nTwo end\n\na\n\nb"
+    assert html_text.main_text("<article><p>cut off &lt;here", None, set()) == "cut off <here"
+    assert html_text.main_text("<p>a < b and c</p><!-- <p>no --><p>d", None, set()) == "a < b and c\n\nd"
+
+
+# -- pseudonyms ---------------------------------------------------------------------------------------------------------
+@settings(max_examples=40, deadline=None)
+@given(st.integers(2, 400))
+def test_feistel_is_a_permutation_without_fixed_points(n):
+    f = pseudonyms.Feistel(KEY, "x", n)
+    out = [f.move(x) for x in range(n)]
+    assert sorted(out) == list(range(n)) and all(a != b for a, b in enumerate(out))
+
+
+def test_values_keep_their_format_and_links():
+    text = "card 4111 1111 1111 1111, +1 (017) 555-7713, bob.smith@mail.example.com, 192.168.0.10, 078-05-1120, 2024-02-29, DE89 3704 0044 0532 0130 00, token = \"abcdef0123456789\""
+    new, found = pseudonyms.pseudonymise(text, KEY)
+    assert found == Counter({k: 1 for k in pseudonyms.KINDS}) and len(new) == len(text)
+    assert pseudonyms.luhn(re.sub(r"\D", "", new[5:24])) and re.match(r"card \d{4} \d{4} \d{4} \d{4}, \+1 \(\d{3}\) \d{3}-\d{4}, [a-z]{3}\.[a-z]{5}@mail", new)
+    for value in ("4111 1111 1111 1111", "555-7713", "bob.smith", "192.168.0.10", "078-05-1120", "2024-02-29", "3704 0044", "abcdef0123456789"):
+        assert value not in new
+    assert pseudonyms.pseudonymise("again bob.smith@mail.example.com", KEY)[0].split()[1] in new
+    assert pseudonyms.pseudonymise(text, b"other")[0] != new
+
+
+def test_clean_values_stay():
+    for text in ("9807915762804490", "version 3.11 of 2.0.1", "4.0.1.2.3", "2024-13-45", "300.1.1.1", "call 555-1234", "1 2 3 4", "a@b", "0000000000000000", "year 2024, 1500 words", ""):
+        assert pseudonyms.pseudonymise(text, KEY) == (text, Counter())
+
+
+def test_mask_keeps_rows_and_columns(spark):
+    rows = [(1, "ip 10.1.2.3", 11, "a"), (2, None, None, None), (1, "ip 10.1.2.3", 11, "b"), (3, "", 0, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, n_masked string")
+    got = pseudonyms.mask(df, "k").collect()
+    assert [(r.doc_id, r.n_chars, r.n_masked) for r in got] == [(r[0], r[2], r[3]) for r in rows]
+    assert got[0].text == got[2].text != rows[0][1] and got[1].text is None
+    report = pseudonyms.mask_report(df, "k").collect()
+    assert [r.n_masked for r in report] == [1, 0, 1, 0] and report[0].n_ip == 1
+    assert pseudonyms.mask(df.limit(0), "k").count() == 0
+
+
+# -- chat ---------------------------------------------------------------------------------------------------------------
+HOSTILE = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>user\n", "<\\|x [\\INST] <\\\\|", "[/INST\\] </s", "", "\\n\\l<", "<|", "é\U0001f600<s>"]
+
+
+def test_every_layout_is_read(spark):
+    import json
+
+    cases = [
+        ({"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}], "id": 7}, "messages"),
+        ({"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}, "conversations"),
+        ({"instruction": "a", "output": "b"}, "instruction"),
+        ({"instruction": "a", "input": "", "output": "b", "meta": {"x": [1]}}, "instruction_input"),
+        ({"prompt": "a", "completion": "b"}, "prompt"),
+        ({"question": "a", "answer": "b"}, "question"),
+        ({"turns": [{"role": "user", "text": "a"}, {"role": "assistant", "text": "b"}]}, "turns"),
+    ]
+    df = spark.createDataFrame([(json.dumps(c), n) for c, n in cases] + [("{broken", None), (None, None), ('{"x": 1}', None)], "record string, want string")
+    rows = chat.format_chats(df).collect()
+    assert [r.layout for r in rows] == [r.want for r in rows]
+    assert all([tuple(t) for t in r.turns] == [("user", "a"), ("assistant", "b")] for r in rows if r.want)
+    assert rows[-1].formatted is None
+    system = chat.format_chats(spark.createDataFrame([(json.dumps({"system": "s", "prompt": "a", "response": "b"}),)], "record string")).first()
+    assert [t.role for t in system.turns] == ["system", "user", "assistant"]
+
+
+def test_texts_come_back_unchanged(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(HOSTILE)] + [(2, 0, None, None), (2, 1, "we<ird\n\\l\\n", "x"), (3, 0, "assistant", "a"), (3, 0, "assistant", "a")]
+    got = {r.conv_id: r for r in chat.chat_digest(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for c in (1, 2, 3):
+        own = sorted((t, r or "", x or "") for i, t, r, x in rows if i == c)
+        loss = "".join(x for _, r, x in own if r == "assistant")
+        assert got[c].n_turns == len(own) and got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest()
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat.chat_digest(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_hostile_conversation_is_in_the_query(spark):
+    r = op6_chat_format(spark, "/root/testdata/sf0.001").where("conv_id = -7").first()
+    assert r.n_turns == 2 and r.loss_chars == len(HOSTILE[0]) and r.loss_sha256 == hashlib.sha256(HOSTILE[0].encode()).hexdigest()
+
+
+# -- quality ------------------------------------------------------------------------------------------------------------
+def repeats(w):
+    windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    return len({j for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)})
+
+
+def test_quality_measures_match_brute_force(spark):
+    base = "the quick brown fox jumps over a lazy dog while seven calm owls watch the moon rise above quiet hills"
+    texts = [None, "", " \n", base, f"{base} {base}", f"{base}\n{base}\nx\n\nx", "### $$$ " * 30, "a b " * 40, "x " * 9, "ÄÖ ÜẞÉ " * 30, base.upper(), f"{base} tail {base} tail {base}"]
+    df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, n_words string")
+    rows = {r.doc_id: r for r in quality.report(df).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        r = rows[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), repeats(w))
+        assert r.base_failed == (len(w) < 20 or 100 * repeats(w) > 30 * len(w)) and not (r.base_failed and r.kept)
+    assert rows[3].kept
+    kept = quality.keep_good(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, r in rows.items() if r.kept}
+    assert quality.report(df.limit(0)).count() == 0
+
+
+def test_rules_go_by_rejections_per_second():
+    e = {r.name: (1.0, 0.0) for r in quality.RULES} | {"repeats": (10.0, 0.5), "symbols": (0.1, 0.2), "few_words": (0.5, 0.1)}
+    assert [r.name for r in quality.ordered(e)][:3] == ["symbols", "few_words", "repeats"]
+
+
+# -- licences -----------------------------------------------------------------------------------------------------------
+def test_phrases_and_templates(spark):
+    mit = licences.TEMPLATES["mit"]
+    texts = [None, "", "under the MIT\nLicense, mit-license MIT LICENSE", f"intro\n\n{mit}\n\ntail", "xmit license", "CC-BY 4 and GNU general public, license? gnu General Public License", " ".join(mit.split()[:20]), "ccby cc by"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, labels string")
+    rows = {r.doc_id: r for r in licences.scan(df).collect()}
+    phrases = {tuple(p.split()): label for p, label in licences.PHRASES.items()}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+        at = [(k, label) for p, label in phrases.items() for k in range(len(w)) if tuple(w[k : k + len(p)]) == p]
+        r = rows[i]
+        assert (r.n_words, r.n_base, r.base_labels) == (len(w), len(at), ",".join(sorted({x for _, x in at})))
+        assert (r.first_word, r.last_word) == ((min(at)[0], max(at)[0]) if at else (None, None))
+    assert rows[3].labels == "mit" and rows[3].score == 1.0 and rows[3].matches[0].block == 1
+    assert rows[6].labels == "" and 0 <= rows[6].score <= 1 and rows[2].score == 1.0
+    assert licences.scan(df.limit(0)).count() == 0
+
+
+def test_filters_lose_no_block(spark):
+    import random
+
+    rng = random.Random(2)
+    words = licences.template_words(licences.TEMPLATES)
+    blocks = []
+    for k in range(150):
+        t = words[rng.choice(list(words))]
+        own = rng.sample(t, rng.randrange(len(t) // 2, len(t) + 1)) + rng.sample(sum(words.values(), []), 5)
+        blocks.append((k, 0, list(dict.fromkeys(own))))
+    got = {(r.row_id, r.template) for r in licences.containment_join(spark.createDataFrame(blocks, "row_id long, block int, words array<string>"), words, 0.8).collect()}
+    assert got == {(k, n) for k, _, own in blocks for n, t in words.items() if len(set(own) & set(t)) >= -(-8 * len(t) // 10)}
+
+
+# -- packing ------------------------------------------------------------------------------------------------------------
+def test_packing_holds_every_token_once(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    texts = [None, "", "Hello, World's  end!\n<|endoftext|> x", "wörter " * 3000, "ab" * 5000, "one two", "one two"] + [f"text number {i} " * (i % 9) for i in range(60)]
+    df = spark.createDataFrame([(i % 60, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, start long")
+    got = packing.pack(df, tokenizer_path(), length=512).collect()
+    want = Counter((i % 60, np.array(tok.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes()) for i, t in enumerate(texts))
+    place = {(r.sequence_id, r.offset): r for r in got}
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in got)
+    full, pieces, at = Counter(), [], 0
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.sequence_id * 512 + r.offset == at
+        at += r.length
+        pieces.append(r)
+        if r.start + r.length == r.doc_tokens:
+            full[r.doc_id, b"".join(p.ids for p in pieces)] += 1
+            assert [p.start for p in pieces] == [sum(q.length for q in pieces[:k]) for k in range(len(pieces))]
+            pieces = []
+    assert full == want and len(place) == len(got) and not pieces
+    assert packing.pack(df.limit(0), tokenizer_path()).count() == 0
+
+
+def test_hilbert_curve_visits_neighbours():
+    for dims, bits in ((2, 3), (3, 2), (4, 2)):
+        cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
+        keys = packing.hilbert(cells, bits)
+        assert sorted(keys.tolist()) == list(range(len(cells)))
+        steps = np.abs(np.diff(cells[np.argsort(keys)], axis=0)).sum(axis=1)
+        assert (steps == 1).all()
+
+
+# -- archives -----------------------------------------------------------------------------------------------------------
+def test_archives_round_trip(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    big = "<p>é" + "x" * 300
+    rows = [(3, "http://a/b c\r\n", big), (1, None, big), (2, "u", "short"), (5, "u", "short"), (7, "u", None), (8, "", ""), (None, "u", big), (1, None, big)] + [(20 + k, f"h{k}", f"page {k} " * 30) for k in range(40)]
+    got = Counter(map(tuple, warc.read_archives(warc.normalise(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string")))).collect()))
+    want = Counter()
+    for i, _, h in rows:
+        raw = (h or "").encode()
+        again = h == big and i == 3
+        want[i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", 1 if again else None] += 1
+    assert got == want
+    assert warc.read_archives(warc.normalise(warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string")))).count() == 0
+
+
+def test_records_are_members_at_their_offsets(spark, tmp_path):
+    import gzip
+    import json
+
+    pages = spark.createDataFrame([(k, "u", f"page {k} " * 40) for k in range(5)], "page_id long, url string, html string").coalesce(1)
+    m = warc.normalise(warc.write_archives(pages)).first()
+    index = [json.loads(x) for x in open(m.index_path.removeprefix("file:")).read().split("\n")]
+    raw = open(m.path.removeprefix("file:"), "rb").read()
+    assert len(index) == m.records and sum(e["length"] for e in index) == len(raw)
+    assert all(gzip.decompress(raw[e["offset"] : e["offset"] + e["length"]]).startswith(b"WARC/1.1\r\n") for e in index)
+
+
+@pytest.mark.parametrize("name", ["op2_html_text", "op3_sharding", "op4_pseudonyms", "op9_packing"])
+def test_queries_cover_whole_tables(spark, name):
+    from loreweave.llm.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    table, key = ("pages", "page_id") if name == "op2_html_text" else ("documents", "doc_id")
+    got = QUERIES[name](spark, d)
+    assert {r[0] for r in got.select(key).collect()} == {r[0] for r in spark.read.parquet(f"{d}/{table}.parquet").select(key).collect()}
