@@ -21,7 +21,7 @@ STORE = "^([0-9a-f]{16}|global)$"
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, modified, content) of all files below root, without pruned folders; path is relative."""
+    """(path, length, modified, content) of all files below root, without pruned folders; path is relative. Spark passes over names that begin with a dot or an underscore."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").removeprefix("file://")
     path = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), f"^{re.escape(base)}/", "")
