@@ -41,13 +41,15 @@ RULES = (
 BASE = ("few_words", "repeats")
 
 
-def _when(alive: Column | None, c: Column) -> Column:
-    return c if alive is None else F.when(alive, c)
+def _fence() -> Column:
+    """Always true, but not deterministic: a filter moves below a projection only if all of that is deterministic, and moved
+    below the measures it would repeat them within itself, once for each use of each step."""
+    return F.monotonically_increasing_id() >= 0
 
 
-def _measure_words(df: DataFrame, alive: Column | None) -> DataFrame:
+def _measure_words(df: DataFrame) -> DataFrame:
     # Words are held in a column of their own, so they are split once however often they are used.
-    df = df.withColumn("q_words", _when(alive, F.array_remove(F.split("q_text", _SPACE), "")))
+    df = df.withColumn("q_words", F.when(_fence(), F.array_remove(F.split("q_text", _SPACE), "")))
     chars = F.aggregate("q_words", F.lit(0).cast("long"), lambda a, w: a + F.length(w))
     return df.withColumns({"n_words": F.size("q_words").cast("long"), "word_chars": chars})
 
@@ -57,47 +59,46 @@ def _shifted(name: str, by: int) -> tuple[Column, Column]:
     return F.slice(name, 1, n), F.slice(name, by + 1, n)
 
 
-def _measure_repeats(df: DataFrame, alive: Column | None) -> DataFrame:
+def _measure_repeats(df: DataFrame) -> DataFrame:
     """Words inside windows found twice or more: windows are hashed by doubling, sorted, and neighbours compared."""
-    some = F.col("n_words") > WINDOW
-    df = df.withColumn("q_hash", F.when(some if alive is None else some & alive, F.transform("q_words", lambda w: F.xxhash64(w))))
+    df = df.withColumn("q_hash", F.when(F.col("n_words") > WINDOW, F.transform("q_words", lambda w: F.xxhash64(w))))
     by = 1
     while by < WINDOW:
         df = df.withColumn("q_hash", F.zip_with(*_shifted("q_hash", by), lambda a, b: F.xxhash64(a, b)))
         by *= 2
-    df = df.withColumn("q_sorted", F.when(F.size(F.array_distinct("q_hash")) < F.size("q_hash"), F.array_sort(F.transform("q_hash", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    df = df.withColumn("q_sorted", F.when((F.size(F.array_distinct("q_hash")) < F.size("q_hash")) & _fence(), F.array_sort(F.transform("q_hash", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     # Whether a window equals the next in order of hashes, then whether it equals the next or the one before.
     df = df.withColumn("q_next", F.zip_with(*_shifted("q_sorted", 1), lambda a, b: a["h"] == b["h"]))
     again = F.zip_with("q_next", F.concat(F.array(F.lit(False)), "q_next"), lambda a, b: F.coalesce(a, F.lit(False)) | b)
     df = df.withColumn("q_at", F.filter(F.zip_with("q_sorted", again, lambda s, yes: F.when(yes, s["i"])), lambda i: i.isNotNull()))
-    df = df.withColumn("q_at", F.array_sort("q_at"))
+    df = df.withColumn("q_at", F.when(_fence(), F.array_sort("q_at")))
     covered = F.zip_with("q_at", F.slice("q_at", 2, F.greatest(F.size("q_at") - 1, F.lit(0))), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
     total = F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda a, n: a + n), F.lit(0).cast("long"))
-    return df.withColumn("n_repeat_words", _when(alive, total))
+    return df.withColumn("n_repeat_words", total)
 
 
-def _measure_symbols(df: DataFrame, alive: Column | None) -> DataFrame:
-    return df.withColumn("n_symbols", _when(alive, F.regexp_count("q_text", F.lit("[#*$%&|<>]")).cast("long")))
+def _measure_symbols(df: DataFrame) -> DataFrame:
+    return df.withColumn("n_symbols", F.regexp_count("q_text", F.lit("[#*$%&|<>]")).cast("long"))
 
 
-def _measure_lines(df: DataFrame, alive: Column | None) -> DataFrame:
-    df = df.withColumn("q_lines", _when(alive, F.filter(F.split("q_text", "\n"), lambda x: x.rlike(_WORD))))
+def _measure_lines(df: DataFrame) -> DataFrame:
+    df = df.withColumn("q_lines", F.filter(F.split("q_text", "\n"), lambda x: x.rlike(_WORD)))
     n = F.size("q_lines").cast("long")
     return df.withColumns({"n_lines": n, "n_dup_lines": n - F.size(F.array_distinct("q_lines"))})
 
 
-def _measure_capitals(df: DataFrame, alive: Column | None) -> DataFrame:
-    count = lambda pattern: _when(alive, F.regexp_count("q_text", F.lit(pattern)).cast("long"))
+def _measure_capitals(df: DataFrame) -> DataFrame:
+    count = lambda pattern: F.regexp_count("q_text", F.lit(pattern)).cast("long")
     return df.withColumns({"n_letters": count(r"\p{L}"), "n_capitals": count(r"\p{Lu}")})
 
 
 MEASURES = {"words": _measure_words, "repeats": _measure_repeats, "symbols": _measure_symbols, "lines": _measure_lines, "capitals": _measure_capitals}
 
 
-def measure(df: DataFrame, names: list[str], alive: Column | None = None) -> DataFrame:
-    """df (with q_text) with the named measures, in columns of their own; null where `alive` is false."""
+def measure(df: DataFrame, names: list[str]) -> DataFrame:
+    """df (with q_text) with the named measures, in columns of their own."""
     for name in names:
-        df = MEASURES[name](df, alive)
+        df = MEASURES[name](df)
     return df
 
 
@@ -129,25 +130,27 @@ def ordered(estimates: dict[str, tuple[float, float]], rules: tuple[Rule, ...] =
     return sorted(rules, key=lambda r: (-(estimates[r.name][1] / (estimates[r.name][0] or 1.0)), estimates[r.name][0], r.name))
 
 
-def cascade(docs: DataFrame, order: list[Rule], whole: bool = False) -> DataFrame:
-    """docs with `rejected_by`, the first rule in order that rejects the row (else null), and the measures taken.
+def cascade(docs: DataFrame, order: list[Rule]) -> DataFrame:
+    """docs (with text) without the rows that a rule rejects; q_text and the measures of the rules stay beside docs' columns.
 
-    whole: every measure is taken of every row, as a report needs; else only of rows that are still in.
+    Each rule is a filter of its own, and what it measures is measured of the rows that are still in.
     """
-    df = docs.withColumn("q_text", F.coalesce("text", F.lit("")))
-    df = df.withColumn("rejected_by", F.lit(None).cast("string"))
-    done: set[str] = set()
-    if whole:
-        df, done = measure(df, list(MEASURES)), set(MEASURES)
-    for rule in order:
-        for name in rule.measures:
-            if name not in done:
-                df = measure(df, [name], F.col("rejected_by").isNull())
-                done.add(name)
-        df = df.withColumn("rejected_by", F.when(F.col("rejected_by").isNull() & F.expr(rule.rejects), F.lit(rule.name)).otherwise(F.col("rejected_by")))
+    df, done = docs.withColumn("q_text", F.coalesce("text", F.lit(""))), set()
+    for k, rule in enumerate(order):
+        df = measure(df, [m for m in rule.measures if m not in done]).withColumn(f"q_in{k}", _fence())
+        done |= set(rule.measures)
+        df = df.where(f"not coalesce({rule.rejects}, false) and q_in{k}")
     return df
 
 
+def verdict(df: DataFrame, order: list[Rule]) -> DataFrame:
+    """df (with all measures) with `rejected_by`, the first rule in order that rejects the row, else null."""
+    first = F.lit(None).cast("string")
+    for rule in reversed(order):
+        first = F.when(F.expr(rule.rejects), F.lit(rule.name)).otherwise(first)
+    return df.withColumn("rejected_by", first)
+
+
 def report(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
@@ -155,7 +158,7 @@ def report(docs: DataFrame) -> DataFrame:
     an empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
-    out = cascade(docs, ordered(estimate(docs)), whole=True)
+    out = verdict(measure(docs.withColumn("q_text", F.coalesce("text", F.lit(""))), list(MEASURES)), ordered(estimate(docs)))
     base = F.expr(" or ".join(f"({r.rejects})" for r in RULES if r.name in BASE))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), F.when(base, F.lit(False)).otherwise(F.col("rejected_by").isNull()).alias("kept"))
 
@@ -164,5 +167,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that no rule rejects, with all their columns; cases as in `report`."""
     names = docs.columns
     bare = docs.select(F.struct(*names).alias("q_row"), F.col("text"))  # no column of docs can clash with a measure
-    kept = cascade(bare, ordered(estimate(docs))).where("rejected_by is null")
-    return kept.select("q_row.*")
+    return cascade(bare, ordered(estimate(docs))).select("q_row.*")
