@@ -83,7 +83,7 @@ def _judge(tag: str, raw: str) -> tuple[str, bool, bool]:
     for value in (*kinds, values.get("id", "")):
         names = _names(value)
         if not {"with", "has", "no", "without"} & set(names):  # "content-with-sidebar" is no sidebar
-            found |= NAMES & set(names)
+            found |= NAMES & {*names, *(a + b for a, b in zip(names, names[1:], strict=False))}  # "side-bar" is a sidebar
     own = found and found <= _OWN
     return label, bool(found), bool(own) or (tag == "header" and not found)
 
