@@ -26,14 +26,27 @@ _NUMBER = re.compile(
       (?P<date>(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}))
     | (?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.[0-9]))
     | (?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})
-    | (?P<card>[0-9](?:[ -]?[0-9]){12,18})
+    | (?P<card>[0-9]{13,19}|[0-9]{4}(?P<four>[ -])[0-9]{4}(?P=four)[0-9]{4}(?P=four)[0-9]{4}|[0-9]{4}(?P<six>[ -])[0-9]{6}(?P=six)[0-9]{4,5})
     | (?P<iban>[A-Z]{2}[0-9]{2}(?:\ ?[0-9A-Z]){11,30})
     | (?P<phone>(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{8,15})
     )(?![0-9A-Za-z_])""",
     re.X,
 )
 _EMAIL = re.compile(r"(?<![0-9A-Za-z._%+-])([0-9A-Za-z._%+-]+)@([0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)+)")
+#: Public prefixes by which access keys are known without a name before them, and the forms of what follows.
+_KEY = re.compile(
+    r"""(?<![0-9A-Za-z_])(?:
+      A[KS]IA(?P<aws>[0-9A-Z]{16})
+    | gh[opsur]_(?P<hub>[0-9A-Za-z]{36})
+    | AIza(?P<api>[0-9A-Za-z_-]{35})
+    | xox[abprs]-(?P<chat>[0-9A-Za-z-]{10,})
+    | [rs]k_(?:live|test)_(?P<pay>[0-9A-Za-z]{16,})
+    )(?![0-9A-Za-z_])""",
+    re.X,
+)
 _SECRET = re.compile(r"""(?i:\b(?:api[_-]?key|access[_-]?key|token|secret|passw(?:or)?d|pwd))['"]?\s*(?:[=:]|=>)\s*['"]?([0-9A-Za-z_+/-]{8,})""")
+#: A text without a match has no personal values.
+_SOME = "[0-9@]|A[KS]IA|AIza|gh[opsur]_|xox[abprs]-|[rs]k_(live|test)_"
 _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 _DIGITS, _LOWER, _UPPER, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdef"
 
@@ -190,15 +203,22 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, Counter]:
     """The text with its personal values permuted, and how many of each kind."""
     found: Counter = Counter()
 
-    def number(m: re.Match) -> str:
-        kind = m.lastgroup
-        new = _RULES[kind](key, m[0])
-        if new is None and kind == "card":  # no card, but it may still be a phone number with separators
-            kind, new = "phone", _phone(key, m[0]) if not m[0].isdigit() and len(re.sub("[^0-9]", "", m[0])) <= 15 else None
-        if new is None:
-            return m[0]
-        found[kind] += 1
-        return new
+    def numbers() -> str:
+        out, at = [], 0
+        while m := _NUMBER.search(text, at):
+            kind, old = m.lastgroup, m[0]
+            new = _RULES[kind](key, old)
+            while new is None and kind == "iban" and " " in old:  # words that follow an account number are none of it
+                old = old.rpartition(" ")[0]
+                new = _iban(key, old)
+            out += [text[at : m.start()], old if new is None else new]
+            at = m.start() + len(old)
+            found[kind] += new is not None
+        return "".join([*out, text[at:]])
+
+    def access_key(m: re.Match) -> str:
+        found["secret"] += 1
+        return m[0][: m.start(m.lastgroup) - m.start()] + _characters(key, "secret", m[m.lastgroup])
 
     def email(m: re.Match) -> str:
         if not any(c in _DIGITS or c in _LOWER or c in _UPPER for c in m[1]):
@@ -207,15 +227,16 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, Counter]:
         return f"{_characters(key, 'email', m[1])}@{m[2]}"
 
     def secret(m: re.Match) -> str:
-        if not re.search("[0-9]", m[1]):
+        if not re.search("[0-9]", m[1]) or _KEY.fullmatch(m[1]):  # access keys have been replaced already
             return m[0]
         found["secret"] += 1
         return m[0][: m.start(1) - m.start()] + _characters(key, "secret", m[1], bool(re.fullmatch("[0-9a-f]+", m[1])))
 
+    text = _KEY.sub(access_key, text)
     if re.search("[0-9]", text):
         # Secrets go first and number rules skip what they wrote: a run inside a word is no number.
         text = _SECRET.sub(secret, text)
-        text = _NUMBER.sub(number, text)
+        text = numbers()
     if "@" in text:
         text = _EMAIL.sub(email, text)
     return text, found
@@ -227,7 +248,7 @@ def _run(key: bytes, extra: bool):
             at = batch.schema.get_field_index("text")
             old = batch.column(at)
             texts = old.to_pylist() if batch.num_rows else []
-            some = pc.fill_null(pc.match_substring_regex(old, "[0-9@]"), False).to_pylist()
+            some = pc.fill_null(pc.match_substring_regex(old, _SOME), False).to_pylist()
             counts = [Counter()] * len(texts)
             for k, yes in enumerate(some):
                 if yes:
