@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,19 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, with_row_id
-from .words import slices, split_words
+from .words import Words, slices, split_words, text_bytes
 
 BUCKETS, DIMS, GRID_BITS = 256, 4, 10
 #: Distinct chunks of text that a worker remembers the tokens of.
-CACHE = 400_000
+CACHE = 600_000
 
 _PROJECTION = np.random.default_rng(11).standard_normal((BUCKETS, DIMS))
 _encoders: dict[tuple, Encoder] = {}
 
 
 class Encoder:
-    """Token ids of many texts. Tokens of this vocabulary never span ASCII white space, so each distinct chunk
-    between white space is tokenised once."""
+    """Token ids of many texts. Tokens of this vocabulary span neither ASCII white space nor the place between an ASCII letter or
+    digit and a stop or comma after it, and it takes A-Z as a-z, so each distinct chunk between those is tokenised once."""
 
     def __init__(self, path: str, end: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -40,43 +41,69 @@ class Encoder:
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end
         self._batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids = np.array([self.end], np.uint32)
-        self.start, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
-        self.vector = _PROJECTION[[self.end * 2654435761 % (1 << 32) % BUCKETS]]
+        normalizer = self.tokenizer.normalizer
+        self.folds = normalizer is not None and normalizer.normalize_str("AZ") == "az"
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Entry 0 is the end id. Hashes are sorted, and entry has the number of each one's ids, size and vector.
+        self.hash, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.start, self.size = np.array([end], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.vector = _PROJECTION[[end * 2654435761 % (1 << 32) % BUCKETS]]
+        self.uses = np.zeros(1, np.int64)
+
+    def _forget(self) -> None:
+        """Leaves the half of the chunks that were met in most slices."""
+        keep = np.concatenate([[0], np.sort(1 + np.argpartition(-self.uses[1:], CACHE // 2)[: CACHE // 2])])
+        new = np.full(len(self.size), -1)
+        new[keep] = np.arange(len(keep))
+        self.hash, self.entry = self.hash[new[self.entry] >= 0], new[self.entry[new[self.entry] >= 0]]
+        size = self.size[keep]
+        first = np.cumsum(size) - size
+        self.ids = self.ids[np.arange(int(size.sum())) + np.repeat(self.start[keep] - first, size)]
+        self.start, self.size, self.vector, self.uses = first, size, self.vector[keep], self.uses[keep] // 2
 
-    def _learn(self, hashes: np.ndarray, data: bytes, start: np.ndarray, end: np.ndarray) -> None:
+    def _learn(self, data: bytes, start: np.ndarray, end: np.ndarray) -> None:
         texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist(), strict=True)]
         rows = [e.ids for e in self._batch(texts, add_special_tokens=False)]
         size = np.array([len(r) for r in rows], np.int64)
-        flat = np.fromiter((x for r in rows for x in r), np.uint32, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(rows), np.uint32, int(size.sum()))
         first = np.cumsum(size) - size
-        vectors = np.zeros((len(rows) + 1, DIMS))
+        vectors = np.zeros((len(rows), DIMS))
         np.add.at(vectors, np.repeat(np.arange(len(rows)), size), _PROJECTION[flat.astype(np.uint64) * np.uint64(2654435761) % np.uint64(1 << 32) % np.uint64(BUCKETS)])
-        at = len(self.size)
-        self.known.update(zip(hashes.tolist(), range(at, at + len(rows)), strict=True))
         self.start = np.concatenate([self.start, first + len(self.ids)])
         self.ids = np.concatenate([self.ids, flat])
         self.size = np.concatenate([self.size, size])
-        self.vector = np.concatenate([self.vector, vectors[:-1]])
+        self.vector = np.concatenate([self.vector, vectors])
+        self.uses = np.concatenate([self.uses, np.zeros(len(rows), np.int64)])
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts with the end id after each, the first place of each text, and mean projected vectors."""
-        words = split_words(texts, "space", fold=False)
+    def _entries(self, words: Words, data: bytes) -> np.ndarray:
+        """The entry of each word; new ones are learnt."""
         distinct, at, back = np.unique(words.hash, return_index=True, return_inverse=True)
-        if len(self.known) > CACHE:
-            self.clear()
-        index = np.fromiter((self.known.get(h, 0) for h in distinct.tolist()), np.int64, len(distinct))
-        new = np.flatnonzero(index == 0)
+        if len(self.hash) > CACHE:
+            self._forget()
+        place = np.searchsorted(self.hash, distinct)
+        known = place < len(self.hash)
+        known[known] = self.hash[place[known]] == distinct[known]
+        new = np.flatnonzero(~known)
         if len(new):
-            self._learn(distinct[new], words.data.tobytes(), words.start[at[new]], words.end[at[new]])
-            index[new] = np.arange(len(self.size) - len(new), len(self.size))
+            more = np.arange(len(self.size), len(self.size) + len(new))
+            self._learn(data, words.start[at[new]], words.end[at[new]])
+            self.hash, self.entry = np.insert(self.hash, place[new], distinct[new]), np.insert(self.entry, place[new], more)
+            place += np.cumsum(~known) - ~known
+        own = self.entry[place]
+        self.uses[own] += 1
+        return own[back]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts with the end id after each, the first place of each text, and mean projected vectors."""
+        data = text_bytes(texts)[0].tobytes()
+        small = data.lower()
+        # Special tokens in a text are told by their case.
+        fold = self.folds and not any(t in small for t in self.special)
+        words = split_words(texts, "space", fold=fold, stops=True)
         docs = len(words.first) - 1
         chunk = np.zeros(len(words.hash) + docs, np.int64)  # 0, the end id, stays where a text ends
-        chunk[np.arange(len(words.hash)) + words.doc] = index[back]
+        if len(words.hash):
+            chunk[np.arange(len(words.hash)) + words.doc] = self._entries(words, data)
         chunk_first = words.first[:-1] + np.arange(docs)
         size = self.size[chunk]
         before = np.cumsum(size) - size

@@ -19,6 +19,10 @@ _SPACE = np.ones(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = False
 _ALNUM = np.zeros(256, bool)
 _ALNUM[0x30:0x3A] = _ALNUM[0x41:0x5B] = _ALNUM[0x61:0x7B] = _ALNUM[0x80:] = True
+_ASCII = _ALNUM.copy()
+_ASCII[0x80:] = False
+_STOP = np.zeros(256, bool)
+_STOP[list(b".,;:!?")] = True
 #: `[^\x20\x09-\x0D]+` and `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` (after A-Z became a-z).
 CLASSES = {"space": _SPACE, "alnum": _ALNUM}
 
@@ -71,7 +75,8 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts, and where each begins (one more at the end)."""
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
     texts = texts.fill_null("")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -80,9 +85,9 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def split_words(texts: pa.Array, kind: str, fold: bool = True) -> Words:
-    """Words of every text; null has none. fold: hashes take A-Z as a-z."""
-    data, offsets = _bytes(texts)
+def split_words(texts: pa.Array, kind: str, fold: bool = True, stops: bool = False) -> Words:
+    """Words of every text; null has none. fold: hashes take A-Z as a-z. stops: a stop or comma after an ASCII letter or digit is a word of its own."""
+    data, offsets = text_bytes(texts)
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
@@ -97,6 +102,13 @@ def split_words(texts: pa.Array, kind: str, fold: bool = True) -> Words:
     after[-1], after[:-1] = False, inside[1:]
     after[full[1:] - 1] = False
     end = np.flatnonzero(inside & ~after) + 1
+    if stops:
+        own = np.flatnonzero(_STOP[data[end - 1]] & (end - start > 1))
+        own = own[_ASCII[data[end[own] - 2]]]
+        last = end[own] - 1
+        start = np.sort(np.concatenate([start, last]))
+        end[own] -= 1
+        end = np.sort(np.concatenate([end, last + 1]))
     up, down = _power(n + 1)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
@@ -140,7 +152,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
     """Parts of a batch whose texts have about `most` bytes together."""
     if not batch.num_rows:
         return
-    _, offsets = _bytes(batch.column(column))
+    _, offsets = text_bytes(batch.column(column))
     at = 0
     while at < batch.num_rows:
         to = int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1
