@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .words import slices, split_words
+from .words import slices, split_words, tidied
 
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 6 << 20
@@ -141,7 +141,7 @@ def _mark(block, keep: list[str]):
                     [*keep, "lw_words", "lw_hits", "lw_items", "lw_mask", "lw_longest", "lw_longest_at"],
                 )
 
-    return run
+    return tidied(run)
 
 
 def _marked(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .components import connected_components
-from .words import mix, shingles, slices, split_words
+from .words import mix, shingles, slices, split_words, tidied
 
 PERMS, BITS, BANDS, ROWS = 128, 4, 20, 4
 #: A group holds at most two blocks of so many members or shingles (one longer set is a block of its own).
@@ -104,7 +104,7 @@ def _signatures(width: int):
                 ["doc_id", "n_shingles", "digest", "sig", "bands"],
             )
 
-    return run
+    return tidied(run)
 
 
 def _whole_sets(width: int):
@@ -114,7 +114,7 @@ def _whole_sets(width: int):
             own = [np.unique(hashes[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(i) for i in keep] + [pa.array(own, pa.binary())], [part.schema.names[i] for i in keep] + ["shingles"])
 
-    return run
+    return tidied(run)
 
 
 def _links(nodes: np.ndarray, blocks: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], i: int, j: int, percent: int) -> np.ndarray:
@@ -176,7 +176,7 @@ def _confirm(percent: int):
         if out := flush():
             yield out
 
-    return run
+    return tidied(run)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataFrame:

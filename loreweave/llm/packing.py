@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, with_row_id
-from .words import Words, slices, split_words, text_bytes
+from .words import Words, slices, split_words, text_bytes, tidied
 
 BUCKETS, DIMS, GRID_BITS = 256, 4, 10
 #: Distinct chunks of text that a worker remembers the tokens of.
-CACHE = 600_000
+CACHE = 400_000
 
 _PROJECTION = np.random.default_rng(11).standard_normal((BUCKETS, DIMS))
 _encoders: dict[tuple, Encoder] = {}
@@ -135,7 +135,7 @@ def _encode(path: str, end: int):
                     ["row_id", "doc_id", "n", "ids", *(f"v{k}" for k in range(DIMS))],
                 )
 
-    return run
+    return tidied(run)
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -175,7 +175,7 @@ def _hilbert_keys(mean: list[float], deviation: list[float]):
             cells = np.clip((scaled + 3) / 6 * (1 << GRID_BITS), 0, (1 << GRID_BITS) - 1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hilbert(cells, GRID_BITS))], ["row_id", "doc_id", "n", "key"])
 
-    return run
+    return tidied(run)
 
 
 def _running(batches):
@@ -204,7 +204,7 @@ def _pieces(length: int, with_ids: bool):
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field("doc_id").type)] + [pa.array(c, pa.int64()) for c in columns[1:7]] + [pa.array(columns[7], pa.binary())] * with_ids, names)
 
-    return run
+    return tidied(run)
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end: int = 2, with_ids: bool = True) -> DataFrame:

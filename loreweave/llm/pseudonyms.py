@@ -18,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .words import tidied
+
 ROUNDS = 8
 KINDS = ("card", "date", "email", "iban", "ip", "phone", "secret", "ssn")
 
@@ -265,7 +267,7 @@ def _run(key: bytes, extra: bool):
                     columns[n] = pa.array([len(t) if yes and t is not None else was for t, was, yes in zip(texts, columns[n].to_pylist(), some, strict=True)], pa.int64())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return run
+    return tidied(run)
 
 
 def _ddl(df: DataFrame) -> str:

@@ -6,7 +6,9 @@ it belongs to a word, and lower-casing A-Z is a byte map. A batch of texts is ha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,12 +50,31 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        for key, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[key] = np.cumprod(steps, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+    """Powers for n bytes; those for more than a slice are not kept."""
+    if len(_powers["up"]) >= n:
+        return _powers["up"], _powers["down"]
+    made = {}
+    for key, base in (("up", _BASE), ("down", _INVERSE)):
+        steps = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
+        steps[0] = 1
+        made[key] = np.cumprod(steps, dtype=np.uint64)
+    if n <= SLICE_BYTES + 1:
+        _powers.update(made)
+    return made["up"], made["down"]
+
+
+def tidied(run: Callable) -> Callable:
+    """run over a task's batches; what the task held then goes back to the system, as the worker stays for other stages."""
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidy
 
 
 @dataclass
