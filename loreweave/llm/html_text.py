@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from . import dom
 from .common import cut
 
-#: A text is a constant of its slot if it stands there on so many pages of the host at least, and on this share of them.
+#: A text is a constant of its slot if it stands there on so many pages of the host at least, and on this share of them; pages that
+#: read the same are one.
 LEAST_PAGES, LEAST_SHARE = 4, 0.6
 #: Outside articles, a block with this share of its text in links is a menu.
 LINK_SHARE = 0.8
@@ -39,18 +40,18 @@ def _digest(text: str) -> str:
 
 
 def _texts(batches):
-    """For each page the digest of its skeleton with the slot and text digest of every block that isn't left out anyway; a row
-    without slot has the skeleton itself."""
+    """For each page the digest of the text it would give without constants, its skeleton, and the slot and text digest of every
+    block that isn't left out anyway."""
     for batch in batches:
         rows: list[tuple] = []
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             tree = dom.parse(page)
+            found = [b for b in dom.blocks(tree) if not b.dropped]
             shape = json.dumps(dom.slots(dom.skeleton(tree)))
-            short = _digest(shape)
-            rows.append((host, short, None, shape))
-            rows += [(host, short, slot, text) for slot, text in {(b.slot, _digest(b.text)) for b in dom.blocks(tree) if not b.dropped}]
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["host", "shape", "slot", "text"])
+            rows.append((host, _digest("\n\n".join(b.text for b in _read(found))), _digest(shape), shape, sorted({f"{_digest(b.text)} {b.slot}" for b in found})))
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = [pa.string()] * 4 + [pa.list_(pa.string())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "page", "shape", "skeleton", "blocks"])
 
 
 def _aligned(batches):
@@ -75,15 +76,18 @@ def _renamed(wrapper: str, shape: str) -> dict[str, str]:
     return out
 
 
+def _read(found: list[dom.Block]) -> list[dom.Block]:
+    """Blocks of the main element, or else of articles, or else those that are no menus."""
+    if any(b.main_tag == "main" for b in found):
+        return [b for b in found if b.main_tag == "main"]
+    if any(b.main for b in found):
+        return [b for b in found if b.main]
+    return [b for b in found if b.linked < LINK_SHARE]
+
+
 def main_text(page: str, wrapper: tuple | None, constants: frozenset | set) -> str:
     """Content blocks of a page, joined by blank lines."""
-    found = [b for b in dom.blocks(dom.parse(page), wrapper) if not b.dropped]
-    if any(b.main_tag == "main" for b in found):
-        found = [b for b in found if b.main_tag == "main"]
-    elif any(b.main for b in found):
-        found = [b for b in found if b.main]
-    else:
-        found = [b for b in found if b.linked < LINK_SHARE]
+    found = _read([b for b in dom.blocks(dom.parse(page), wrapper) if not b.dropped])
     return "\n\n".join(b.text for b in found if not constants or f"{b.slot} {_digest(b.text)}" not in constants)
 
 
@@ -108,18 +112,22 @@ def extract(pages: DataFrame) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url, text, n_chars (code points).
 
     Blocks of the main text in page order, white space inside each taken as one space, joined by a blank line. Null and empty
-    html give an empty text. Pages without a usable url form one host of their own. Repeated pages count each time; with
-    few pages of a host nothing is constant. Other columns are ignored; an empty table gives an empty result.
+    html give an empty text. Pages without a usable url form one host of their own. Every page gets its row, but pages
+    that read the same count once among their host's pages; with few such pages nothing is constant. Other columns are ignored; an empty table gives an empty result.
     """
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.expr(_HOST).alias("host"))
-    texts = pages.select("host", "html").mapInArrow(_texts, "host string, shape string, slot string, text string")
-    texts, _ = cut(texts.groupBy("host", "shape", "slot", "text").agg(F.count(F.lit(1)).alias("n")), "slot-texts")
-    shapes = texts.where("slot is null").select("host", "shape", F.col("text").alias("skeleton"), "n")
+    texts = pages.select("host", "html").mapInArrow(_texts, "host string, page string, shape string, skeleton string, blocks array<string>")
+    # Copies of a page have one vote, however many they are: else they would make their own text a constant.
+    votes = texts.groupBy("host", "page").agg(F.min(F.struct("shape", "skeleton", "blocks")).alias("vote")).select("host", "vote.*")
+    votes, _ = cut(votes, "page-votes")
+    texts = votes.select("host", "shape", F.explode("blocks").alias("block")).groupBy("host", "shape", "block").agg(F.count(F.lit(1)).alias("n"))
+    texts = texts.select("host", "shape", F.substring_index("block", " ", 1).alias("text"), F.expr("substring(block, instr(block, ' ') + 1)").alias("slot"), "n")
+    shapes = votes.groupBy("host", "shape", "skeleton").agg(F.count(F.lit(1)).alias("n"))
     wrappers = shapes.groupBy("host").agg(F.max(F.struct("n", "skeleton")).alias("most"), F.sum("n").alias("pages")).where(f"pages >= {LEAST_PAGES}")
     wrappers, _ = cut(wrappers.select("host", F.col("most.skeleton").alias("wrapper"), "pages"), "wrappers")
     shapes, _ = cut(shapes.join(wrappers, "host").select("host", "shape", "skeleton", "wrapper"), "shapes")
     # A skeleton is aligned with its host's wrapper once, not once a page.
-    aligned = _small(texts.where("slot is not null"), shapes, ["host", "shape"], "inner").select("host", "wrapper", "skeleton", "slot", "text", "n")
+    aligned = _small(texts, shapes, ["host", "shape"], "inner").select("host", "wrapper", "skeleton", "slot", "text", "n")
     texts = aligned.mapInArrow(_aligned, "host string, slot string, text string, n long").groupBy("host", "slot", "text").agg(F.sum("n").alias("n")).where(f"n >= {LEAST_PAGES}")
     constant = texts.join(wrappers.select("host", "pages"), "host").where(f"n >= {LEAST_SHARE} * pages")
     # A page has so many blocks, and a constant stands on most pages: a host's constants are fewer than a page's blocks / LEAST_SHARE.

@@ -33,6 +33,14 @@ def test_templates_are_learnt_and_content_stays(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copies_of_a_page_have_one_vote(spark):
+    copies = [page(k, "<h1>Same</h1><p>copied text", "c.example.com") for k in range(4)]
+    hot = [page(k, "<h1>Hot</h1><p>copied often", "h.example.com") for k in range(10, 40)] + [page(k, f"<h1>Own {k}</h1><p>other {k}", "h.example.com") for k in range(40, 46)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(copies + hot, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == "Same\n\ncopied text\n\nRead more in the archive" for k in range(4))
+    assert all(got[k] == "Hot\n\ncopied often" for k in range(10, 40)) and all(got[k] == f"Own {k}\n\nother {k}" for k in range(40, 46))
+
+
 def test_article_is_read_alone():
     h = "<body><div class=ad>buy</div><article class='post with-sidebar'><header><h1>Head</h1></header><p>One<p>Two <span class='share-buttons'>Share</span>end<aside>x</aside><table><tr><td>a<td>b</table></article><p>outside</body>"
     assert html_text.main_text(h, None, set()) == "Head\n\nOne\n\nTwo end\n\na\n\nb"
