@@ -1,7 +1,7 @@
 """Licence scan as an exact set-similarity join with containment, in SQL functions alone.
 
-A text block is a run of lines without a blank line between. It matches a template if the block's words hold at least
-THRESHOLD of the template's distinct words. Words of templates are ordered by their frequency over the blocks of all documents,
+A paragraph is a run of lines without a blank line between, and a text block is a run of up to PARAGRAPHS neighbouring paragraphs. It
+matches a template if the block's words hold at least THRESHOLD of the template's distinct words and no shorter block within it does. Words of templates are ordered by their frequency over the blocks of all documents,
 rarest first. A block that meets the threshold must hold a word of the template's prefix (its n - needed + 1 rarest words), must
 have enough template words at all (length filter), and after the first common word both must have enough left (positional filter);
 candidates that pass all three are confirmed on whole sets. Only words of templates can be shared, so blocks keep no others.
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import cut, with_row_id
 
 THRESHOLD = 0.8
+#: In its published layout no notice of TEMPLATES has more paragraphs (apache and bsd have three, gpl two).
+PARAGRAPHS = 3
 #: Public licence notices, and the phrases that name a licence.
 TEMPLATES = {
     "apache": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
@@ -50,8 +52,9 @@ def _phrases(df: DataFrame) -> DataFrame:
     """Places of phrases, with s the text's words between single spaces. (?i) takes ASCII letters alone."""
     s, n = F.col("s"), F.col("n_base")
     df = df.withColumn("n_base", F.regexp_count("s", F.lit(f"(?i) (?:{_ANY})(?= )")).cast("long"))
-    first = _spaces(F.substring(s, F.lit(1), F.regexp_instr("s", F.lit(f"(?i) (?:{_ANY})(?= )")))) - 1
-    last = _spaces(F.regexp_extract("s", f"(?i)^(.*) (?:{_ANY})(?= )", 1))
+    # What stands before a phrase is taken as a group: regexp_instr counts UTF-16 units, substring code points. (?s): '.' is any character.
+    first = _spaces(F.regexp_extract("s", f"(?is)^(.*?) (?:{_ANY})(?= )", 1))
+    last = _spaces(F.regexp_extract("s", f"(?is)^(.*) (?:{_ANY})(?= )", 1))
     labels = F.array(*(F.when(s.rlike(f"(?i) {p} "), F.lit(label)) for p, label in sorted(PHRASES.items(), key=lambda x: x[1])))
     return df.withColumns(
         {
@@ -62,16 +65,33 @@ def _phrases(df: DataFrame) -> DataFrame:
     )
 
 
+def _runs(own: Column) -> Column:
+    """Blocks of paragraphs (first, words): each with up to PARAGRAPHS - 1 that follow it; without longer ones that have no word more."""
+
+    def longer(x: Column, y: Column) -> Column:
+        both = F.array_union(x["words"], y["words"])
+        return F.struct(F.struct(x["block"]["first"].alias("first"), (x["block"]["paragraphs"] + 1).alias("paragraphs")).alias("block"), both.alias("words"), (F.size(both) > F.greatest(F.size(x["words"]), F.size(y["words"]))).alias("more"))
+
+    runs = [own]
+    for k in range(1, PARAGRAPHS):
+        # No paragraph follows the last ones: their words are null.
+        runs.append(F.filter(F.zip_with(runs[-1], F.slice(own, k + 1, F.size(own)), longer), lambda x: x["words"].isNotNull()))
+    return F.concat(*runs)
+
+
 def blocks_and_phrases(docs: DataFrame, words: dict[str, list[str]], threshold: float) -> DataFrame:
-    """One row per document: row_id, doc_id, n_words, the phrase columns, and blocks (number, template words) that can match at all."""
+    """One row per document: row_id, doc_id, n_words, the phrase columns, and blocks (place, template words) that can match at all."""
     vocabulary = F.array(*map(F.lit, sorted({w for ws in words.values() for w in ws})))
     least = min(math.ceil(threshold * len(ws)) for ws in words.values())
     df = with_row_id(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")))
     df = df.withColumn("s", F.concat(F.lit(" "), F.regexp_replace("t", _OTHER, " "), F.lit(" ")))
     df = df.withColumn("s", F.regexp_replace("s", "  +", " "))
     df = _phrases(df.withColumn("n_words", F.greatest(_spaces(F.col("s")) - 1, F.lit(0)).cast("long")))
-    own = F.transform(F.split("t", _BLANK), lambda b, i: F.struct(i.alias("block"), F.array_intersect(F.split(F.lower(b), _OTHER), vocabulary).alias("words")))
-    df = df.withColumn("blocks", F.filter(own, lambda b: F.size(b["words"]) >= least))
+    place = lambda i: F.struct(i.alias("first"), F.lit(1).alias("paragraphs")).alias("block")
+    own = F.transform(F.split("t", _BLANK), lambda b, i: F.struct(place(i), F.array_intersect(F.split(F.lower(b), _OTHER), vocabulary).alias("words"), F.lit(True).alias("more")))
+    df = df.withColumn("own", own).withColumn("blocks", _runs(F.col("own")))
+    kept = F.filter("blocks", lambda b: b["more"] & (F.size(b["words"]) >= least))
+    df = df.withColumn("blocks", F.transform(kept, lambda b: F.struct(b["block"].alias("block"), b["words"].alias("words"))))
     return df.select("row_id", "doc_id", "n_words", "n_base", "first_word", "last_word", "base", "blocks")
 
 
@@ -105,14 +125,23 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     n_base counts places where a phrase's words stand one after another, first_word and last_word are the smallest and largest
     word number (from 0) where one starts, else null; labels adds the names of templates that a block matches; both are
     distinct, sorted and joined by commas. score is 1 with a phrase, else the largest containment found, else 0. matches has the blocks
-    (number, template, containment). A null text is an empty one: no words, no labels, score 0. Repeated rows are scanned each time;
+    (number of the first paragraph, template, containment, number of paragraphs). A null text is an empty one: no words, no labels, score 0. Repeated rows are scanned each time;
     other columns are ignored; an empty table gives an empty result.
     """
     words = template_words(templates)
     rows, _ = cut(blocks_and_phrases(docs, words, threshold), "licence-blocks")
     blocks = rows.select("row_id", F.inline("blocks"))
-    found = containment_join(blocks, words, threshold).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("block", "template", "containment"))).alias("matches"))
-    out = rows.drop("blocks").join(found, "row_id", "left").withColumn("matches", F.coalesce("matches", F.array().cast("array<struct<block int, template string, containment double>>")))
+    found = containment_join(blocks, words, threshold).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("template", "block.first", "block.paragraphs", "containment"))).alias("found"))
+
+    def shortest(x: Column, n: Column) -> Column:
+        # Blocks within this one are close by, as all are in order of their first paragraph.
+        near = F.slice("found", F.greatest(n + 2 - PARAGRAPHS, F.lit(1)), F.lit(PARAGRAPHS * (PARAGRAPHS + 1)))
+        end = lambda y: y["first"] + y["paragraphs"]
+        return ~F.exists(near, lambda y: (y["template"] == x["template"]) & (y["first"] >= x["first"]) & (end(y) <= end(x)) & (y["paragraphs"] < x["paragraphs"]))
+
+    out = rows.drop("blocks").join(found, "row_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<template string, first int, paragraphs int, containment double>>")))
+    matches = F.transform(F.filter("found", shortest), lambda x: F.struct(x["first"].alias("block"), x["template"].alias("template"), x["containment"].alias("containment"), x["paragraphs"].alias("paragraphs")))
+    out = out.withColumn("matches", F.array_sort(matches)).drop("found")
     named = F.array_sort(F.array_distinct(F.concat("base", F.transform("matches", lambda m: m["template"]))))
     best = F.array_max(F.transform("matches", lambda m: m["containment"]))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce(best, F.lit(0.0)))

@@ -189,6 +189,17 @@ def test_phrases_and_templates(spark):
     assert licences.scan(df.limit(0)).count() == 0
 
 
+def test_places_are_counted_in_words_and_notices_over_paragraphs_match(spark):
+    apache = licences.TEMPLATES["apache"].replace(" http", "\n\n http").replace(" Unless", "\n\n Unless")
+    bsd = licences.TEMPLATES["bsd"].replace(" Redistributions", "\n\n1. Redistributions")
+    gpl = licences.TEMPLATES["gpl"].replace(" This program is distributed", "\n\nThis program is distributed")
+    texts = ["\U0001f600\U0001f600\U0001f600\U0001f600 a b mit license", "a\u2028b \x85 c mit license d \u2029 mit license", f"intro\n\n{apache}\n\ntail", bsd, gpl, f"one\n\n{licences.TEMPLATES['mit']}\n\ntwo"]
+    rows = [r for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert [(r.first_word, r.last_word) for r in rows[:2]] == [(3, 3), (3, 7)]
+    assert [{m.template for m in r.matches} >= {n} for r, n in zip(rows[2:], ("apache", "bsd", "gpl", "mit"), strict=True)] == [True] * 4
+    assert [(m.block, m.paragraphs) for m in rows[5].matches if m.template == "mit"] == [(1, 1)]  # and no longer block around it
+
+
 def test_filters_lose_no_block(spark):
     import random
 
