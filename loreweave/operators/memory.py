@@ -237,12 +237,15 @@ def aging_actions(memories: DataFrame, now_ms: int, low_signal_days: int = 14, c
 
 
 def drain_actions(captures: DataFrame, keepers: DataFrame) -> DataFrame:
-    """(id, action, reason) for a backlog of captures (id, body): by rule and tier of the routed prompt, unless a keeper has the body."""
+    """(id, action, reason) for a backlog (id, type, status, body): what is no candidate capture stays, and so does a trimmed body
+    that a keeper has; the others go by rule and tier of the routed prompt. Repeated bodies are judged each time."""
+    trimmed = F.regexp_replace("body", r"^[\s\u00a0\ufeff]+|[\s\u00a0\ufeff]+$", "")
     prompt = t.routed_prompt("body")
-    rows = captures.withColumns({"rule": rules.structural_reject(prompt), "tier": rules.capture_tier(prompt)})
-    rows = rows.join(keepers.select("body", F.lit(1).alias("kept")).distinct(), "body", "left")
-    action = F.when(F.col("kept") == 1, "keep").when(F.col("rule").isNotNull() | (F.col("tier") == "low"), "trash").otherwise("keep")
-    reason = F.when(F.col("kept") == 1, "keeper").when(F.col("rule").isNotNull(), F.col("rule")).when(F.col("tier") == "low", "low-tier").otherwise("signal")
+    rows = captures.withColumns({"rule": rules.structural_reject(prompt), "tier": rules.capture_tier(prompt), "trimmed": trimmed})
+    rows = rows.join(keepers.select(trimmed.alias("trimmed"), F.lit(1).alias("kept")).distinct(), "trimmed", "left")
+    other = ~F.coalesce((F.col("status") == "candidate") & (F.col("type") == "capture"), F.lit(False))
+    action = F.when(other | (F.col("kept") == 1), "keep").when(F.col("rule").isNotNull() | (F.col("tier") == "low"), "trash").otherwise("keep")
+    reason = F.when(other, "not-candidate-capture").when(F.col("kept") == 1, "keeper").when(F.col("rule").isNotNull(), F.col("rule")).when(F.col("tier") == "low", "low-tier").otherwise("signal")
     return rows.select("id", action.alias("action"), reason.alias("reason"))
 
 

@@ -167,10 +167,23 @@ def triage(v):
 
 @query("drain", with_views("memories", f"SELECT CASE WHEN id % 4 = 0 THEN 'keep' WHEN ({_GATE}) IS NOT NULL OR {_SIGNAL} = 0 THEN 'trash' ELSE 'keep' END AS action, count(*) AS n FROM memories WHERE body IN (SELECT body FROM memories GROUP BY body HAVING count(*) = 1) GROUP BY 1"))
 def drain(v):
-    """A backlog of captures without signal: keepers stay."""
+    """A backlog of captures without signal: keepers stay. Bodies that stand once, all taken as candidate captures; drain_backlog takes all records as they are."""
     once = v.memories.groupBy("body").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("body")
     m = v.memories.join(once, "body", "left_semi")
-    return memory.drain_actions(m.select("id", "body"), m.where("id % 4 = 0").select("body")).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+    m = m.withColumns({"status": F.lit("candidate"), "type": F.lit("capture")})
+    return memory.drain_actions(m, m.where("id % 4 = 0").select("body")).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+_TRIMMED = "regexp_replace(body, '^\\s+|\\s+$', '', 'g')"
+
+
+@query("drain_backlog", with_views("memories", f"k AS (SELECT DISTINCT {_TRIMMED} AS body FROM memories WHERE id % 4 = 0), a AS (SELECT CASE WHEN status <> 'candidate' OR id % 2 = 0 AND type <> 'capture' THEN 'other' WHEN {_TRIMMED} IN (SELECT body FROM k) THEN 'keeper' WHEN ({_GATE}) IS NOT NULL OR {_SIGNAL} = 0 THEN 'trash' ELSE 'signal' END AS why FROM memories) SELECT why, count(*) AS n FROM a GROUP BY why"))
+def drain_backlog(v):
+    """All records, copies as well: what is drained, and why the rest stays. Every second record of another type is taken as a capture."""
+    m = v.memories.withColumn("type", F.when(F.col("id") % 2 != 0, "capture").otherwise(F.col("type")))
+    d = memory.drain_actions(m, m.where("id % 4 = 0").select("body"))
+    why = F.when(F.col("action") == "trash", "trash").when(F.col("reason") == "not-candidate-capture", "other").otherwise(F.col("reason"))
+    return d.groupBy(why.alias("why")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("record_markdown", with_views("memories", "SELECT id::VARCHAR AS id, title, status, trim(body, chr(10)) = trim(body, chr(10)) AS same FROM memories"))

@@ -302,3 +302,11 @@ def test_incremental_reindex(spark):
     changes = spark.createDataFrame([("b", "changed"), ("d", "removed")], "path string, change string")
     imports = spark.createDataFrame([("a", "b"), ("c", "x")], "from_path string, to_path string")
     assert {tuple(r) for r in reconcile.reindex(rows, fresh, changes, imports).collect()} == {("a", 2), ("b", 2), ("c", 1)}
+
+
+def test_drain_judges_copies_and_leaves_other_records(spark):
+    rows = [(1, "capture", "candidate", "ok"), (2, "capture", "candidate", "ok"), (3, "capture", "active", "ok"), (4, "decision", "candidate", "ok"), (5, "capture", "candidate", " \n\tyes "), (6, "capture", None, "ok")]
+    keepers = spark.createDataFrame([("yes\n",), ("yes",), ("yes",)], "body string")
+    got = {r.id: (r.action, r.reason) for r in memory.drain_actions(spark.createDataFrame(rows, "id int, type string, status string, body string"), keepers).collect()}
+    assert len(got) == 6 and got[1] == got[2] and got[1][0] == "trash" and got[5] == ("keep", "keeper")
+    assert got[3] == got[4] == got[6] == ("keep", "not-candidate-capture")
