@@ -202,8 +202,8 @@ def graph_export(v):
 
 @query("embeddings_by_trigram")
 def embeddings_by_trigram(v):
-    """Hashed trigram vectors of document titles."""
-    return library.embed(v.docs.select(F.col("path").alias("id"), F.substring("title", 1, 200).alias("text")))
+    """Hashed trigram vectors of whole documents."""
+    return library.embed(v.docs.select(F.col("path").alias("id"), F.col("body").alias("text")))
 
 
 @query("stores", with_views("scope", "SELECT DISTINCT sha256(repo)[1:16] AS repo_key FROM scope"))

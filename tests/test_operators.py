@@ -310,3 +310,24 @@ def test_drain_judges_copies_and_leaves_other_records(spark):
     got = {r.id: (r.action, r.reason) for r in memory.drain_actions(spark.createDataFrame(rows, "id int, type string, status string, body string"), keepers).collect()}
     assert len(got) == 6 and got[1] == got[2] and got[1][0] == "trash" and got[5] == ("keep", "keeper")
     assert got[3] == got[4] == got[6] == ("keep", "not-candidate-capture")
+
+
+def test_embeddings_hold_the_whole_document(spark):
+    from types import SimpleNamespace
+
+    from loreweave.plans.upkeep_queries import embeddings_by_trigram
+
+    head = "same words " * 20
+    bodies = {"a": head + "first end", "b": head + "other end", "c": head + "first end\nsecond line", "d": "", "e": "ab"}
+    docs = spark.createDataFrame([(k, x.split("\n")[0], x) for k, x in bodies.items()], "path string, title string, body string")
+    got = {r.id: r.vec for r in embeddings_by_trigram(SimpleNamespace(docs=docs)).collect()}
+    for k, x in bodies.items():
+        want = [0.0] * 384
+        for i in range(len(x) - 2):
+            h = 2166136261
+            for c in x[i : i + 3]:
+                h = (h ^ ord(c)) * 16777619 & 0xFFFFFFFF
+            want[h % 384] += 1
+        size = sum(w * w for w in want) ** 0.5 or 1
+        assert got[k] == pytest.approx([w / size for w in want])
+    assert got["a"] != got["b"] and got["a"] != got["c"]
