@@ -13,6 +13,8 @@ from ..functions import text as t
 
 SYMBOL_LIMIT = 3500
 LEAST_SIMILARITY, NEIGHBOURS = 0.65, 2
+#: Vectors in a block of the search for edges.
+BLOCK = 256
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -139,6 +141,59 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, least:
     return pairs.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("sim"), "target"))).where(F.col("n") <= k).drop("n")
 
 
+def _block_neighbours(k: int, least: float):
+    """For each pair of blocks of vectors, the k most similar ones of the second for each of the first. Products find who can be among them;
+    those are summed again in order of the places, so that equal vectors are equally similar wherever they stand."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, targets = (batch.column(c)[i].values for c in ("a_ids", "b_ids"))
+                x, y = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).reshape(len(n), -1) for c, n in (("a_vec", ids), ("b_vec", targets)))
+                sims = x @ y.T
+                if batch.column("a_block")[i].as_py() == batch.column("b_block")[i].as_py():
+                    np.fill_diagonal(sims, -np.inf)
+                floor = np.full(len(ids), least)
+                if len(targets) > k:
+                    floor = np.maximum(floor, np.partition(sims, len(targets) - k, axis=1)[:, len(targets) - k])
+                r, c = np.nonzero(sims >= floor[:, None] - 1e-9)
+                exact = np.zeros(len(r))
+                for d in range(x.shape[1]):
+                    exact += x[r, d] * y[c, d]
+                r, c, exact = (z[exact >= least] for z in (r, c, exact))
+                order = np.lexsort((c, -exact, r))
+                r, c, exact = r[order], c[order], exact[order]
+                kept = np.arange(len(r)) - np.searchsorted(r, r) < k
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(r[kept])), targets.take(pa.array(c[kept])), pa.array(exact[kept], pa.float64())], ["source", "target", "sim"])
+
+    return run
+
+
+def semantic_edges(vectors: DataFrame, k: int = NEIGHBOURS, least: float = LEAST_SIMILARITY) -> DataFrame:
+    """(source, target, sim): every vector (id, vec; unit length) with its k most similar ones of at least `least`, ties by target, each
+    unordered pair once; the source is the smaller id of those that have the other among theirs. Null and empty vectors have no edges,
+    nor have vectors of different lengths.
+
+    Exact, as the graph asks for: blocks of BLOCK vectors meet in pairs, so the products grow with the square of the vectors.
+    """
+    v = vectors.where("size(vec) > 0").select("id", F.col("vec").cast("array<double>").alias("vec"), F.size("vec").alias("dim"))
+    n = -(-v.count() // BLOCK) or 1
+    rows = v.groupBy("dim", F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("id", "vec"))).alias("rows"))
+    packed = cut(rows.select("dim", "block", F.col("rows.id").alias("ids"), F.flatten("rows.vec").alias("vec")), "vector-blocks")
+    sides = [packed.select(*(F.col(c).alias(f"{s}_{c}") for c in packed.columns)) for s in "ab"]
+    # So many tasks that each has few pairs of blocks.
+    # No equality in the join's condition: one length is the rule, and an equi-join would send all pairs to one task.
+    pairs = sides[0].repartition(n).crossJoin(sides[1]).where("abs(a_dim - b_dim) < 1")
+    kind = vectors.schema["id"].dataType.simpleString()
+    near = pairs.mapInArrow(_block_neighbours(k, least), f"source {kind}, target {kind}, sim double")
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("sim"), "target"))).where(F.col("n") <= k)
+    once = near.groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.min("source").alias("source"), F.first("sim").alias("sim"))
+    return once.select("source", F.when(F.col("source") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("target"), "sim")
+
+
 def hot_spots(edges: DataFrame, top: int = 5) -> DataFrame:
     """Targets with the most inbound edges."""
     return edges.groupBy("target").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "target").limit(top)

@@ -233,6 +233,12 @@ def semantic_edges(v):
     return graph.nearest(v.vectors, v.vectors.where("id % 5 = 0"), 2, 0.3).withColumn("sim", F.round("sim", 6))
 
 
+@query("semantic_edges_all", with_views("vectors", f"p AS (SELECT q.id AS source, v.id AS target, {_DOT('q.vec', 'v.vec')} AS sim FROM vectors v, vectors q WHERE v.id <> q.id), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sim DESC, target) AS n FROM p WHERE sim >= 0.3) SELECT min(source) AS source, least(source, target) + greatest(source, target) - min(source) AS target, round(min(sim), 6) AS sim FROM r WHERE n <= 2 GROUP BY least(source, target), greatest(source, target)"))
+def semantic_edges_all(v):
+    """Two nearest vectors of every one, each pair once."""
+    return graph.semantic_edges(v.vectors, 2, 0.3).withColumn("sim", F.round("sim", 6))
+
+
 @query("vector_topk", with_views("vectors", f"q AS (SELECT vec FROM vectors WHERE id = 0) SELECT v.id, round({_DOT('v.vec', 'q.vec')}, 6) AS score FROM vectors v, q ORDER BY {_DOT('v.vec', 'q.vec')} DESC, v.id LIMIT 10"))
 def vector_topk(v):
     """Ten vectors nearest to the first."""

@@ -331,3 +331,21 @@ def test_embeddings_hold_the_whole_document(spark):
         size = sum(w * w for w in want) ** 0.5 or 1
         assert got[k] == pytest.approx([w / size for w in want])
     assert got["a"] != got["b"] and got["a"] != got["c"]
+
+
+def test_semantic_edges_of_all_records(spark, monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(graph, "BLOCK", 16)
+    vectors = []
+    for k in range(60):
+        v = [rng.gauss(0, 1) for _ in range(4)]
+        size = sum(x * x for x in v) ** 0.5
+        vectors.append((k, vectors[7][1] if k % 9 == 8 else [x / size for x in v]))
+    extra = [(100, [1.0]), (101, []), (102, None)]
+    want = {}
+    for a, x in vectors:
+        scored = sorted((-sum(p * q for p, q in zip(x, y, strict=True)), b) for b, y in vectors if b != a)
+        for s, b in [z for z in scored if -z[0] >= 0.65][:2]:
+            want.setdefault((min(a, b), max(a, b)), (a, b, pytest.approx(-s)))
+    got = [tuple(r) for r in graph.semantic_edges(spark.createDataFrame(vectors + extra, "id long, vec array<double>")).collect()]
+    assert sorted(got) == sorted(want.values(), key=lambda w: w[:2]) and {a for a, _, _ in got} - set(range(0, 60, 5))
