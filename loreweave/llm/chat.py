@@ -11,12 +11,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 #: All fields that mappings read.
 FIELDS = (
     "messages array<struct<role string, content string>>, conversations array<struct<from string, value string>>, turns array<struct<role string, text string>>, "
     "system string, instruction string, input string, output string, prompt string, completion string, response string, question string, answer string"
 )
+#: The parser otherwise gives null for a record with a string of over 20 million characters or a number of over 1,000 digits.
+NO_LIMITS = {"maxStringLen": str(2**31 - 1), "maxNumLen": str(2**31 - 1)}
 #: Template: marks of a turn, and the strings that are escaped in texts (its own and those of other common templates).
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 _TAIL = r"(\||/?INST\]|/?s>)"
@@ -67,18 +70,29 @@ def _mappings() -> list[Mapping]:
 MAPPINGS = _mappings()
 
 
-def schema_text(paths: tuple[str, ...]) -> str:
-    """How a record with these paths describes itself."""
-    top: dict[str, list[str]] = {}
-    for path in paths:
-        name, _, below = path.partition("[].")
-        top.setdefault(name, []).extend([below] if below else [])
-    return "OBJECT<" + ", ".join(f"{k}: ARRAY<OBJECT<{', '.join(f'{b}: STRING' for b in sorted(v))}>>" if v else f"{k}: STRING" for k, v in sorted(top.items())) + ">"
+def _known() -> dict[str, list[str]]:
+    """Fields of FIELDS, with the fields of their records where they are lists."""
+    return {f.name: [b.name for b in f.dataType.elementType.fields] if isinstance(f.dataType, ArrayType) else [] for f in StructType.fromDDL(FIELDS).fields}
+
+
+def path_text(paths: tuple[str, ...]) -> str:
+    """How a record with these paths describes itself: its fields in the order of FIELDS, those of a list's records after the list."""
+    out = []
+    for name, below in _known().items():
+        own = [f"{name}[].{b}" for b in below if f"{name}[].{b}" in paths]
+        out += [f"{name}[]", *own] if own else [name] if name in paths else []
+    return ",".join(out)
 
 
 def fingerprint(record: str) -> Column:
-    """Hash of the nested field paths of `p`, the record's known fields."""
-    return F.xxhash64(F.schema_of_variant(F.try_parse_json(F.to_json(record))))
+    """Hash of the field paths of `p`, the record's known fields, that are not null; null for a null record."""
+    found = []
+    for name, below in _known().items():
+        c = F.col(f"{record}.{name}")
+        found.append(F.when(c.isNotNull(), F.lit(f"{name}[]" if below else name)))
+        # An empty list, or one of empty records, has no paths below.
+        found += [F.when(F.expr(f"exists({record}.{name}, x -> x.`{b}` IS NOT NULL)"), F.lit(f"{name}[].{b}")) for b in below]
+    return F.when(F.col(record).isNotNull(), F.xxhash64(F.concat_ws(",", *found)))
 
 
 def escape(text: str | Column) -> Column:
@@ -103,10 +117,10 @@ def _role_in(c: Column) -> Column:
 
 def canonical(records: DataFrame, column: str = "record") -> DataFrame:
     """records with `layout` (null: unknown or broken) and `turns` (array of role, text; null for those)."""
-    parsed = records.withColumn("p", F.from_json(column, FIELDS)).withColumn("print", fingerprint("p"))
+    parsed = records.withColumn("p", F.from_json(column, FIELDS, NO_LIMITS)).withColumn("print", fingerprint("p"))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role string, text string>>")
     for m in reversed(MAPPINGS):
-        own = F.col("print") == F.xxhash64(F.lit(schema_text(m.paths)))
+        own = F.col("print") == F.xxhash64(F.lit(path_text(m.paths)))
         layout = F.when(own, F.lit(m.name)).otherwise(layout)
         turns = F.when(own, F.expr(m.turns)).otherwise(turns)
     return parsed.withColumn("layout", layout).withColumn("turns", turns).drop("p", "print")

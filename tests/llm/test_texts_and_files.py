@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loreweave.llm import chat, html_text, licences, packing, pseudonyms, quality, warc
 from loreweave.llm.queries import op6_chat_format, tokenizer_path
@@ -138,6 +139,23 @@ def test_texts_come_back_unchanged(spark):
     assert chat.chat_digest(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_layouts_are_told_by_paths_that_hold_something(spark):
+    import json
+
+    ask = {"role": "user", "content": "a"}
+    cases = [({"messages": [None, {}, ask]}, "messages"), ({"messages": [{"role": "user"}, {"content": "b"}]}, "messages"), ({"messages": []}, None), ({"messages": [{}]}, None), ({"messages": None, "prompt": "a", "completion": "b"}, "prompt")]
+    cases += [({"messages": [], "prompt": "a", "completion": "b"}, None), ({"messages": [{"role": "user"}]}, None), ({"messages": [ask], "system": "s"}, "messages_system"), ({"prompt": "a", "completion": "b", "x": 1, "answer": "c"}, None), ({}, None)]
+    got = chat.format_chats(spark.createDataFrame([(json.dumps(c), n) for c, n in cases], "record string, want string")).collect()
+    assert [r.layout for r in got] == [r.want for r in got]
+
+
+def test_a_turn_of_over_20_million_characters_comes_back(spark):
+    n = 20_100_000
+    df = spark.range(2).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.when(F.col("id") == 0, "q").otherwise(F.repeat(F.lit("x"), F.lit(n))).alias("text"))
+    r = chat.chat_digest(df).first()
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (2, n, hashlib.sha256(b"x" * n).hexdigest())
+
+
 def test_hostile_conversation_is_in_the_query(spark):
     r = op6_chat_format(spark, "/root/testdata/sf0.001").where("conv_id = -7").first()
     assert r.n_turns == 2 and r.loss_chars == len(HOSTILE[0]) and r.loss_sha256 == hashlib.sha256(HOSTILE[0].encode()).hexdigest()
