@@ -1,13 +1,16 @@
 """Block trees of HTML pages, and their alignment by simple tree matching.
 
-Only block elements are nodes; inline elements belong to the text around them. A node's label is its tag with the names of
-its classes; a run of siblings with one label is one repeated slot, so that pages with more or fewer paragraphs have one skeleton.
+Only block elements are nodes; inline elements belong to the text around them. A node's label is its tag with its id and the names of
+its classes; siblings with one label are one repeated slot, so that pages with more or fewer paragraphs have one skeleton. Trees are
+walked with stacks of their own and skeletons are flat lists, so pages may be nested as deeply as they like.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -22,7 +25,6 @@ _RAW_END = {tag: re.compile(rf"</{tag}\s*>?", re.I) for tag in RAW}
 BLOCK = frozenset(
     "address article aside blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav object ol optgroup option p pre search section select summary svg table tbody td tfoot th thead tr ul".split()
 )
-_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag of the first kind ends an open element of the second, up to the nearest of the third.
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 _IMPLIED = {
@@ -38,8 +40,14 @@ _IMPLIED = {
 }
 _SCOPE = frozenset("article aside body button dialog div footer form header html li main nav object section table td th".split())
 
-#: Elements that hold no main text, wherever they stand.
-DROPPED = frozenset("aside button canvas dialog embed fieldset footer form frameset head iframe input label legend menu nav noembed noframes noscript object optgroup option script search select style svg template textarea title".split())
+#: Elements that hold no text of a page, wherever they stand.
+GONE = frozenset("button canvas datalist embed frameset head iframe input label legend noembed noframes noscript object optgroup option script select style svg template textarea title".split())
+#: Elements that are furniture by what the standard says of them, and those that hold the main text.
+FURNITURE = frozenset("aside dialog fieldset footer form menu nav search".split())
+MAIN = frozenset(["article", "main"])
+#: Elements that hold one paragraph, and headings of a page.
+PARAGRAPH = frozenset("address caption center dd dt figcaption h1 h2 h3 h4 h5 h6 legend li p pre summary td th".split())
+NAMED, MAINLY = 1, 2
 #: Names (parts of class and id values) that mark menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
 NAMES = frozenset(
     """ad ads adbox adslot adsense advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist consent
@@ -56,7 +64,8 @@ _OWN = frozenset(["header", "banner", "masthead"])
 class Node:
     tag: str
     label: str
-    dropped: bool
+    gone: bool
+    flag: int  # NAMED: furniture by its tag, role or name; MAINLY: an article or main element
     up: Node | None
     children: list[Node] = field(default_factory=list)
     text: list[str] = field(default_factory=list)  # of a block
@@ -68,47 +77,53 @@ def _names(value: str) -> list[str]:
 
 
 @lru_cache(20_000)
-def _judge(tag: str, raw: str) -> tuple[str, bool, bool]:
-    """Label, whether the element is dropped, and whether only outside articles."""
+def _judge(tag: str, raw: str) -> tuple[str, bool, bool, bool]:
+    """Label, whether the element is gone, whether it is named furniture, and whether that holds only outside articles."""
     values = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(raw)} if raw else {}
-    kinds = values.get("class", "").split()
-    label = ".".join([tag, *sorted(re.sub(r"\d+", "#", k) for k in kinds)])
-    if tag in DROPPED or "hidden" in values or values.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", "")):
-        return label, True, False
-    if values.get("role", "").lower() in ROLES:
-        return label, True, False
+    kinds, own_id = values.get("class", "").split(), values.get("id", "")
+    # A number of one or two digits tells columns apart, a longer one is that of a page.
+    label = ".".join([tag, *sorted(re.sub(r"\d{3,}", "#", k) for k in kinds)])
+    if re.fullmatch(r"[A-Za-z][A-Za-z_-]*\d*", own_id):
+        label += "#" + re.sub(r"\d+", "", own_id)
+    if tag in GONE or "hidden" in values or values.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", "")):
+        return label, True, False, False
+    if tag in FURNITURE or values.get("role", "").lower() in ROLES:
+        return label, False, True, False
     if tag in ("html", "body", "main"):
-        return label, False, False
+        return label, False, False, False
     found = set()
-    for value in (*kinds, values.get("id", "")):
+    for value in (*kinds, own_id):
         names = _names(value)
         if not {"with", "has", "no", "without"} & set(names):  # "content-with-sidebar" is no sidebar
             found |= NAMES & {*names, *(a + b for a, b in zip(names, names[1:], strict=False))}  # "side-bar" is a sidebar
     own = found and found <= _OWN
-    return label, bool(found), bool(own) or (tag == "header" and not found)
+    return label, False, bool(found) or tag == "header", bool(own) or (tag == "header" and not found)
 
 
 def parse(page: str) -> Node:
     """The block tree of a page. Broken and unfinished markup is taken as far as it goes."""
-    root = Node("#", "#", False, None)
-    at, here, links, silent = 0, root, 0, 0  # silent: dropped inline elements that are open
+    root = Node("#", "#", False, 0, None)
+    at, here, links, silent = 0, root, 0, 0  # silent: left out inline elements that are open
+    is_open: Counter = Counter()  # tags of here and the elements around it
 
     def say(text: str) -> None:
         blocks = here.children
         if not blocks or blocks[-1].tag != "#text":
             if not text.strip():
                 return
-            blocks.append(Node("#text", "#text", False, here))
+            blocks.append(Node("#text", "#text", False, 0, here))
         blocks[-1].text.append(text)
         if links:
             blocks[-1].linked += len(text.strip())
 
-    def article_above(node: Node | None) -> bool:
-        while node is not None:
-            if node.tag in ("article", "main"):
-                return True
-            node = node.up
-        return False
+    def leave(node: Node) -> None:
+        """Closes node and all that is open inside it."""
+        nonlocal here, links, silent
+        while here is not node:
+            is_open[here.tag] -= 1
+            here = here.up
+        is_open[node.tag] -= 1
+        here, links, silent = node.up, 0, 0
 
     for m in _TOKEN.finditer(page):
         if m.start() < at:  # inside a script or the like
@@ -125,14 +140,14 @@ def parse(page: str) -> Node:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in BLOCK:
-                node = here
+                node = here if is_open[tag] else root  # an end without a start costs no walk
                 while node is not root and node.tag != tag:
                     if tag not in _SCOPE and node.tag in _SCOPE:
                         node = root
                         break
                     node = node.up
                 if node is not root:
-                    here, links, silent = node.up, 0, 0
+                    leave(node)
             elif silent:
                 silent -= 1
             continue
@@ -145,30 +160,30 @@ def parse(page: str) -> Node:
             continue
         if tag in VOID and tag != "hr":
             continue
-        label, dropped, outside = _judge(tag, rest)
-        if tag == "header" and outside:
-            dropped = True
-        if dropped and outside and article_above(here):
-            dropped = False
+        label, gone, named, outside = _judge(tag, rest)
+        if named and outside and (is_open["article"] or is_open["main"]):
+            named = False
         if tag in BLOCK:
-            if tag in _ENDS_P:
+            if tag in _ENDS_P and is_open["p"]:
                 node = here
                 while node is not root and node.tag != "p" and node.tag not in _SCOPE:
                     node = node.up
                 if node.tag == "p":
-                    here, links, silent = node.up, 0, 0
+                    leave(node)
             if tag in _IMPLIED:
                 ends, stop = _IMPLIED[tag]
                 node = here
-                while node is not root and node.tag not in stop:
+                while any(is_open[e] for e in ends) and node is not root and node.tag not in stop:
+                    up = node.up
                     if node.tag in ends:
-                        here, links, silent = node.up, 0, 0
-                    node = node.up
-            node = Node(tag, label, dropped, here)
+                        leave(node)
+                    node = up
+            node = Node(tag, label, gone, NAMED if named else MAINLY if tag in MAIN else 0, here)
             here.children.append(node)
             if tag != "hr" and not rest.endswith("/"):
                 here = node
-        elif silent or (dropped and not rest.endswith("/")):
+                is_open[tag] += 1
+        elif silent or ((gone or named) and not rest.endswith("/")):
             silent += 1
         elif tag == "a":
             links += 1
@@ -177,97 +192,115 @@ def parse(page: str) -> Node:
     return root
 
 
-def skeleton(node: Node) -> tuple:
-    """(label, children) with runs of equal siblings taken once; text is no part of it."""
-    out: list[tuple] = []
-    for child in node.children:
-        s = skeleton(child) if child.children else (child.label, ())
-        if not out or s != out[-1]:
-            out.append(s)
-    return node.label, tuple(out)
-
-
-def _merge(s: tuple) -> tuple:
-    """Siblings of one label become one slot that has the children of all."""
-    slots: dict[str, list] = {}
-    for child in s[1]:
-        slots.setdefault(child[0], []).extend(child[1])
-    return s[0], tuple(_merge((label, tuple(children))) for label, children in slots.items())
-
-
-@lru_cache(20_000)
-def slots(s: tuple) -> tuple:
-    """A skeleton with one slot for each label among siblings."""
-    return _merge(s)
-
-
-@lru_cache(50_000)
-def match(a: tuple, b: tuple) -> tuple[int, tuple]:
-    """Simple tree matching: the most nodes that can be paired top down and in order, and the pairs of children."""
-    if a[0] != b[0]:
-        return 0, ()
-    m, n = len(a[1]), len(b[1])
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    size = [[match(x, y)[0] for y in b[1]] for x in a[1]]
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + size[i - 1][j - 1])
-    pairs, i, j = [], m, n
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
-    return best[m][n] + 1, tuple(reversed(pairs))
+@dataclass(slots=True)
+class Skeleton:
+    """Slots of a page that have text below them, each after the one around it and its elder siblings. Slot 0 is the page."""
 
+    labels: list[str]
+    parents: list[int]
+    flags: list[int]
 
-@lru_cache(50_000)
-def names(wrapper: tuple, page: tuple, at: str = "") -> dict:
-    """Nested names of a page's slots: those of the wrapper where they align, else the page's own path. Not to be changed."""
-    paired = {j: i for i, j in match(wrapper, page)[1]} if wrapper else {}
-    out = {}
-    for j, child in enumerate(page[1]):
-        i = paired.get(j)
-        name = f"{at}/{i}" if i is not None else f"{at}/+{child[0]}"
-        out[child[0]] = (name, names(wrapper[1][i] if i is not None else (), child, name))
-    return out
+    @property
+    def children(self) -> list[list[int]]:
+        out: list[list[int]] = [[] for _ in self.labels]
+        for k, p in enumerate(self.parents[1:], 1):
+            out[p].append(k)
+        return out
 
 
 @dataclass(slots=True)
 class Block:
-    slot: str
+    slot: int
     text: str
-    dropped: bool
-    main: int  # number of the article or main element that holds it, 0: none
-    main_tag: str
-    linked: float
-
-
-def blocks(root: Node, wrapper: tuple | None = None) -> list[Block]:
-    """Text blocks of a page in order, each with its slot in the wrapper (or in the page's own skeleton)."""
-    own = slots(skeleton(root))
-    out: list[Block] = []
-    count = 0
+    linked: int  # characters inside links
+
+
+def read(page: str) -> tuple[Skeleton, list[Block]]:
+    """The skeleton of a page, and its text blocks in order. White space inside a block is one space; gone elements have none."""
+    labels, parents, flags, ids, found = ["#"], [-1], [0], {}, []
+    stack = [(iter(parse(page).children), 0)]
+    while stack:
+        rest, at = stack[-1]
+        node = next(rest, None)
+        if node is None:
+            stack.pop()
+            continue
+        if node.gone:
+            continue
+        text = _SPACE.sub(" ", "".join(node.text)).strip() if node.tag == "#text" else ""
+        if node.tag == "#text" and not text:
+            continue
+        slot = ids.setdefault((at, node.label), len(labels))
+        if slot == len(labels):
+            labels.append(node.label)
+            parents.append(at)
+            flags.append(node.flag)
+        if text:
+            found.append(Block(slot, text, node.linked))
+        else:
+            stack.append((iter(node.children), slot))
+    # Slots without text go, and the others are numbered anew in the order of the tree: equal trees get equal numbers.
+    full = [False] * len(labels)
+    for b in found:
+        slot = b.slot
+        while slot >= 0 and not full[slot]:
+            full[slot], slot = True, parents[slot]
+    full[0] = True
+    below: list[list[int]] = [[] for _ in labels]
+    for k in range(len(labels) - 1, 0, -1):
+        if full[k]:
+            below[parents[k]].append(k)
+    new, order, open_ = [-1] * len(labels), [], [0]
+    while open_:
+        k = open_.pop()
+        new[k] = len(order)
+        order.append(k)
+        open_ += below[k]
+    for b in found:
+        b.slot = new[b.slot]
+    return Skeleton([labels[k] for k in order], [new[parents[k]] if k else -1 for k in order], [flags[k] for k in order]), found
+
+
+def _heaviest(pairs: list[tuple[int, int]]) -> list[int]:
+    """Which of the pairs (place, weight) make the heaviest run of rising places."""
+    places: list[int] = []
+    best: list[int] = []
+    last: list[int] = []
+    before = []
+    for k, (place, weight) in enumerate(pairs):
+        i = bisect_left(places, place)
+        total = weight + (best[i - 1] if i else 0)
+        before.append(last[i - 1] if i else -1)
+        j = i
+        while j < len(best) and best[j] <= total:
+            j += 1
+        places[i:j], best[i:j], last[i:j] = [place], [total], [k]
+    out, k = [], last[-1] if last else -1
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return out
 
-    def walk(node: Node, named: dict, dropped: bool, main: int, tag: str) -> None:
-        nonlocal count
-        for child in node.children:
-            name, below = named[child.label]
-            if child.tag == "#text":
-                raw = "".join(child.text)
-                text = _SPACE.sub(" ", raw).strip()
-                if text:
-                    out.append(Block(name, text, dropped, main, tag, child.linked / len(text)))
-                continue
-            gone = dropped or child.dropped
-            if child.tag in ("article", "main") and not gone and not main:
-                count += 1
-                walk(child, below, gone, count, child.tag)
-            else:
-                walk(child, below, gone, main, tag)
 
-    walk(root, names(wrapper or own, own), False, 0, "")
+def align(wrapper: Skeleton, page: Skeleton) -> list[int]:
+    """For each slot of the page its slot in the wrapper, or -1. Simple tree matching: the most slots that can be paired top down, in
+    order and by label. Siblings have different labels, so only slots with one path of labels can meet."""
+    theirs, mine = wrapper.children, page.children
+    pairs, below = [(0, 0)], [[]]
+    for k, (a, b) in enumerate(pairs):  # grows while it is walked
+        at = {wrapper.labels[x]: x for x in theirs[a]}
+        for y in mine[b]:
+            if (x := at.get(page.labels[y])) is not None:
+                below[k].append(len(pairs))
+                pairs.append((x, y))
+                below.append([])
+    size, chosen = [1] * len(pairs), [[]] * len(pairs)
+    for k in range(len(pairs) - 1, -1, -1):
+        chosen[k] = [below[k][i] for i in _heaviest([(pairs[x][0], size[x]) for x in below[k]])]
+        size[k] += sum(size[x] for x in chosen[k])
+    out, open_ = [-1] * len(page.labels), [0]
+    while open_:
+        k = open_.pop()
+        out[pairs[k][1]] = pairs[k][0]
+        open_ += chosen[k]
     return out
