@@ -1,10 +1,10 @@
 """Benchmark decontamination by suffix arrays over the training documents.
 
 Documents are taken in shards of a few megabytes. The suffix array of a shard holds its word positions ordered by the words that
-follow them, to the depth of a window and no further than the document; it is built by doubling: ranks of single words give those of
-pairs, these those of four words, and so on. Every window of every test suffix is then found by two binary searches, which
-give all its places in the shard at once. The benchmark goes to the workers in blocks of bounded size, one pass over the
-documents for each block.
+follow them, no further than the document; it is built by doubling: ranks of single words give those of pairs, these those of four
+words, and so on up to a window. Every suffix of every test item is found by two binary searches, which give all its places in the
+shard at once; from there the words that both have in common are followed on to the end of the longest verbatim match. The benchmark
+goes to the workers in blocks of bounded size, one pass over the documents for each block.
 """
 
 from __future__ import annotations
@@ -14,66 +14,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .words import slices, split_words, tidied
 
-#: Bytes of text in a shard, about.
-SHARD_BYTES = 6 << 20
-#: Characters of benchmark text that one pass over the documents handles.
+#: Bytes of text in a shard, about; a longer text is a shard of its own.
+SHARD_BYTES = 3 << 20
+#: Characters of benchmark text that one pass over the documents handles: 8 bytes a word, on the driver and in each worker. A longer
+#: item is a block of its own.
 BLOCK_CHARS = 8 << 20
-STATE = ("lw_words", "lw_hits", "lw_items", "lw_mask")
-_STATE_TYPES = "lw_words long, lw_hits long, lw_items array<string>, lw_mask binary, lw_longest long, lw_longest_at long"
+_MATCH = pa.struct([("item_id", pa.string()), ("item_start", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])
+_STATE = {"lw_words": "long", "lw_hits": "long", "lw_items": "array<string>", "lw_mask": "binary", "lw_matches": "array<struct<item_id string, item_start long, start long, length long>>"}
 
 
 def suffix_array(hashes: np.ndarray, doc_end: np.ndarray, depth: int) -> np.ndarray:
-    """Positions ordered by their next `depth` words; the end of a document comes before any word."""
+    """Positions ordered by their next `depth` words; the end of a document comes before any word. Ties are in order of position."""
     n = len(hashes)
-    rank = np.unique(hashes, return_inverse=True)[1].astype(np.int64) + 1
+    rank = np.unique(hashes, return_inverse=True)[1].astype(np.int32)
     known = 1
     while known < depth:
         step = min(known, depth - known)
-        at = np.arange(n) + step
-        after = np.where(at < doc_end, rank[np.minimum(at, n - 1)], 0)
-        rank = np.unique(rank * (n + 1) + after, return_inverse=True)[1].astype(np.int64) + 1
+        key = (rank.astype(np.int64) + 1) * (n + 1)
+        inside = np.flatnonzero(doc_end - np.arange(n, dtype=np.int32) > step)
+        key[inside] += rank[inside + step] + 1
+        rank = np.unique(key, return_inverse=True)[1].astype(np.int32)
         known += step
-    return np.argsort(rank, kind="stable")
+        if int(rank.max()) == n - 1:  # all differ already
+            break
+    return np.argsort(rank, kind="stable").astype(np.int32)
 
 
-class Windows:
-    """The distinct windows of a block of items, and the items that have each."""
+class Suffixes:
+    """The items of a block as one run of word hashes, and the suffixes that begin a window."""
 
     def __init__(self, items: list[tuple], window: int) -> None:
         words = split_words(pa.array([text for _, text in items], pa.large_string()), "alnum")
-        self.depth = window
-        found: dict[bytes, set[str]] = {}
-        for (item, _), a, n in zip(items, words.first[:-1].tolist(), words.counts.tolist(), strict=True):
-            size = min(n, window)
-            for k in range(n - size + 1 if n else 0):
-                found.setdefault(words.hash[a + k : a + k + size].tobytes(), set()).add(str(item))
-        self.items = [sorted(x) for x in found.values()]
-        self.size = np.array([len(x) // 8 for x in found], np.int64)
-        self.words = np.zeros((len(found), window), np.uint64)
-        for row, key in zip(self.words, found, strict=True):
-            row[: len(key) // 8] = np.frombuffer(key, np.uint64)
+        self.window, self.names, self.hashes = window, [str(item) for item, _ in items], words.hash
+        counts = words.counts
+        size = np.minimum(counts, window)
+        many = np.where(counts > 0, counts - size + 1, 0)
+        self.item = np.repeat(np.arange(len(items)), many)  # of each suffix
+        self.start = words.first[:-1][self.item] + np.arange(len(self.item)) - np.repeat(np.cumsum(many) - many, many)
+        self.size = size[self.item]
+        self.first, self.end = words.first[:-1][self.item], words.first[1:][self.item]
 
     def _search(self, hashes: np.ndarray, order: np.ndarray, doc_end: np.ndarray, past: bool) -> np.ndarray:
-        """For each window the first place in the suffix array whose suffix is not before it, or (past) is beyond all that begin with it."""
+        """For each suffix of the items the first place in the suffix array that isn't before its window, or (past) is beyond all that begin with it."""
         lo, hi = np.zeros(len(self.size), np.int64), np.full(len(self.size), len(order), np.int64)
         while (open_ := np.flatnonzero(lo < hi)).size:
             mid = (lo[open_] + hi[open_]) >> 1
-            at, size, words = order[mid], self.size[open_], self.words[open_]
-            before = np.zeros(len(at), bool)  # the suffix comes before the window
-            begins = np.ones(len(at), bool)  # the suffix begins with the window
+            at, size, own = order[mid].astype(np.int64), self.size[open_], self.start[open_]
+            before = np.zeros(len(at), bool)  # the shard's suffix comes before the item's
+            begins = np.ones(len(at), bool)  # it begins with the window
             tied = np.arange(len(at))
-            for k in range(self.depth):
+            for k in range(self.window):
                 tied = tied[k < size[tied]]
                 if not tied.size:
                     break
                 place = at[tied] + k
                 ended = place >= doc_end[at[tied]]
-                mine, theirs = hashes[np.minimum(place, len(hashes) - 1)], words[tied, k]
-                less = ended | (mine < theirs)
-                before[tied[less]] = True
+                mine, theirs = hashes[np.minimum(place, len(hashes) - 1)], self.hashes[own[tied] + k]
+                before[tied[ended | (mine < theirs)]] = True
                 same = ~ended & (mine == theirs)
                 begins[tied[~same]] = False
                 tied = tied[same]
@@ -83,69 +83,88 @@ class Windows:
             hi[open_[~before]] = mid[~before]
         return lo
 
-    def matches(self, hashes: np.ndarray, doc_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places (word numbers) where windows stand, and the windows. doc_end: for each word, where its document ends."""
+    def places(self, hashes: np.ndarray, doc_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places (word numbers of the shard) where windows stand, and the numbers of their suffixes. doc_end: for each word, where its document ends."""
         none = np.zeros(0, np.int64)
         if not len(hashes) or not len(self.size):
             return none, none
-        order = suffix_array(hashes, doc_end, self.depth)
+        order = suffix_array(hashes, doc_end, self.window)
         a, b = self._search(hashes, order, doc_end, False), self._search(hashes, order, doc_end, True)
         n = b - a
         which = np.repeat(np.arange(len(n)), n)
-        return order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)], which
-
-
-def _runs(mask: np.ndarray) -> tuple[int, int]:
-    """Length and start of the longest run of hits."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
-    if not len(edge):
-        return 0, -1
-    n = edge[1::2] - edge[::2]
-    k = int(n.argmax())
-    return int(n[k]), int(edge[2 * k])
-
-
-def _mark(block, keep: list[str]):
+        return order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)].astype(np.int64), which
+
+    def longest(self, hashes: np.ndarray, doc_first: np.ndarray, doc_end: np.ndarray, place: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, suffixes and lengths of the longest verbatim matches: those that no word before or after continues."""
+        start = self.start[which]
+        inner = (start > self.first[which]) & (place > doc_first[place])
+        inner[inner] = self.hashes[start[inner] - 1] == hashes[place[inner] - 1]
+        place, which, start = place[~inner], which[~inner], start[~inner]
+        length = self.size[which].copy()
+        open_ = np.arange(len(place))
+        while open_.size:
+            a, b = start[open_] + length[open_], place[open_] + length[open_]
+            more = (a < self.end[which[open_]]) & (b < doc_end[place[open_]])
+            open_, a, b = open_[more], a[more], b[more]
+            same = self.hashes[a] == hashes[b]
+            open_ = open_[same]
+            length[open_] += 1
+        return place, which, length
+
+
+def _shards(batches):
+    """Runs of rows with about SHARD_BYTES of text, with their words: hashes and the first of each row."""
+    for batch in batches:
+        for part in slices(batch, "text", SHARD_BYTES):
+            runs = [split_words(x.column("text"), "alnum") for x in slices(part, "text")]
+            counts = np.concatenate([w.counts for w in runs])
+            yield part, np.concatenate([w.hash for w in runs]), np.concatenate([[0], np.cumsum(counts)])
+
+
+def _mark(block, keep: list[str], whole: bool):
     def run(batches):
-        windows = block.value
-        for batch in batches:
-            for part in slices(batch, "text", SHARD_BYTES):
-                words = split_words(part.column("text"), "alnum")
-                counts = words.counts
-                place, which = windows.matches(words.hash, np.repeat(words.first[1:], counts))
-                step = np.zeros(len(words.hash) + 1, np.int64)
-                np.add.at(step, place, 1)
-                np.add.at(step, place + windows.size[which] if len(which) else place, -1)
-                hit = np.cumsum(step)[:-1] > 0
-                found: dict[int, set] = {}
-                for d, w in {(d, w) for d, w in zip((np.searchsorted(words.first, place, "right") - 1).tolist(), which.tolist(), strict=True)}:
-                    found.setdefault(d, set()).update(windows.items[w])
-                old = part.schema.get_field_index("lw_mask")
-                hits, items, masks, runs = [], [], [], []
-                had = part.column(part.schema.get_field_index("lw_items")).to_pylist() if old >= 0 else None
-                was = part.column(old).to_pylist() if old >= 0 else None
-                for d, (a, n) in enumerate(zip(words.first[:-1], counts, strict=True)):
-                    mask, own = hit[a : a + n], found.get(d, set())
-                    if was is not None:
-                        own = own | set(had[d])
-                        if was[d]:
-                            mask = mask | np.unpackbits(np.frombuffer(was[d], np.uint8), count=n).astype(bool)
-                    some = bool(mask.any())
-                    hits.append(int(mask.sum()) if some else 0)
-                    items.append(sorted(own))
-                    masks.append(np.packbits(mask).tobytes() if some else None)
-                    runs.append(_runs(mask) if some else (0, -1))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index(c)) for c in keep]
-                    + [pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(masks, pa.binary()), pa.array([r[0] for r in runs], pa.int64()), pa.array([r[1] for r in runs], pa.int64())],
-                    [*keep, "lw_words", "lw_hits", "lw_items", "lw_mask", "lw_longest", "lw_longest_at"],
-                )
+        items = block.value
+        names = np.array(items.names, object)
+        for part, hashes, first in _shards(batches):
+            counts = np.diff(first)
+            doc_first, doc_end = np.repeat(first[:-1], counts), np.repeat(first[1:], counts)
+            place, which = items.places(hashes, doc_end)
+            step = np.zeros(len(hashes) + 1, np.int32)
+            np.add.at(step, place, 1)
+            np.add.at(step, place + items.size[which], -1)
+            hit = np.cumsum(step)[:-1] > 0
+            found: dict[int, set] = {}
+            matches: dict[int, list] = {}
+            if whole and len(place):
+                doc = np.searchsorted(first, place, "right") - 1
+                for d, k in (divmod(x, len(names)) for x in np.unique(doc * len(names) + items.item[which]).tolist()):
+                    found.setdefault(d, set()).add(items.names[k])
+                for p, w, n in zip(*(x.tolist() for x in items.longest(hashes, doc_first, doc_end, place, which)), strict=True):
+                    d = int(np.searchsorted(first, p, "right")) - 1
+                    matches.setdefault(d, []).append((str(names[items.item[w]]), int(items.start[w] - items.first[w]), p - int(first[d]), n))
+            old = {c: part.column(part.schema.get_field_index(c)).to_pylist() if c in part.schema.names else None for c in _STATE}
+            hits, rows_items, masks, rows_matches = [], [], [], []
+            for d, (a, n) in enumerate(zip(first[:-1].tolist(), counts.tolist(), strict=True)):
+                mask, own, long = hit[a : a + n], found.get(d, set()), matches.get(d, [])
+                if old["lw_items"] is not None:
+                    own = own | set(old["lw_items"][d] or ())
+                    long = long + [tuple(x.values()) for x in old["lw_matches"][d] or ()]
+                    if old["lw_mask"][d]:
+                        mask = mask | np.unpackbits(np.frombuffer(old["lw_mask"][d], np.uint8), count=n).astype(bool)
+                some = bool(mask.any())
+                hits.append(int(mask.sum()) if some else 0)
+                masks.append(np.packbits(mask).tobytes() if some else None)
+                rows_items.append(sorted(own))
+                rows_matches.append([dict(zip(("item_id", "item_start", "start", "length"), x, strict=True)) for x in sorted(set(long), key=lambda x: (-x[3], x[2], x[0], x[1]))])
+            columns = [pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(rows_items, pa.list_(pa.string())), pa.array(masks, pa.binary()), pa.array(rows_matches, pa.list_(_MATCH))]
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in keep] + columns, [*keep, *_STATE])
 
     return tidied(run)
 
 
-def _marked(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """docs with the state columns; one pass for each block of the benchmark."""
+def _marked(docs: DataFrame, benchmark: DataFrame, window: int, whole: bool) -> DataFrame:
+    """docs with the state columns; one pass for each block of the benchmark. whole: with items and matches."""
+    small_batches(docs.sparkSession)
     spark, keep = docs.sparkSession, docs.columns
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     chars = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
@@ -153,8 +172,8 @@ def _marked(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     items = benchmark.select("item_id", "text").where("text is not null")
     for k in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        block = spark.sparkContext.broadcast(Windows([(r.item_id, r.text) for r in own.collect()], window))
-        docs = docs.mapInArrow(_mark(block, keep), f"{kept}, {_STATE_TYPES}")
+        block = spark.sparkContext.broadcast(Suffixes([(r.item_id, r.text) for r in own.collect()], window))
+        docs = docs.mapInArrow(_mark(block, keep, whole), f"{kept}, {', '.join(f'{c} {t}' for c, t in _STATE.items())}")
         if k + 1 < blocks:
             docs, _ = cut(docs, "contamination")
     return docs
@@ -165,15 +184,16 @@ _CONTAMINATED = "lw_hits > 0 and 20 * lw_hits >= lw_words"
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """One row per row of docs (doc_id, text): n_words, n_hit (words inside any occurrence of a benchmark window),
-    n_items and items_sha256 (the items with occurring windows), contaminated (n_hit > 0 and 20 * n_hit >= n_words),
-    longest_words and longest_start (the longest stretch of hit words; 0 and -1 where there is none).
+    n_items and items_sha256 (the items with occurring windows), contaminated (n_hit > 0 and 20 * n_hit >= n_words), and matches: the
+    longest verbatim matches of window words or more (of a shorter item: all of it) that no word before or after continues, longest first, each with
+    item_id, item_start and start (word numbers from 0 in the item and in the document) and length in words.
 
-    Words are runs of ASCII letters, digits and all characters past ASCII, A-Z taken as a-z. A window is `window`
+    Words are runs of ASCII letters, digits and all characters past ASCII, A-Z taken as a-z; they are told apart by 64-bit hashes. A window is `window`
     consecutive words of an item, or a shorter item as a whole. Null and wordless texts have no words and no hits;
     null or wordless items have no windows. Repeated documents and items count alike each time; an empty benchmark
-    hits nothing. Other columns are ignored.
+    hits nothing, an empty table gives an empty result. Other columns are ignored.
     """
-    out = _marked(docs.select("doc_id", "text"), benchmark, window)
+    out = _marked(docs.select("doc_id", "text"), benchmark, window, True)
     return out.select(
         "doc_id",
         F.col("lw_words").alias("n_words"),
@@ -181,12 +201,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Da
         F.size("lw_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("lw_items", ","), 256).alias("items_sha256"),
         F.expr(_CONTAMINATED).alias("contaminated"),
-        F.col("lw_longest").alias("longest_words"),
-        F.col("lw_longest_at").alias("longest_start"),
+        F.col("lw_matches").alias("matches"),
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """The rows of docs that `contamination` doesn't call contaminated, with all their columns; cases as there."""
     bare = docs.select(F.struct(*docs.columns).alias("lw_row"), "text")  # no column of docs can clash with the state
-    return _marked(bare, benchmark, window).where(f"not ({_CONTAMINATED})").select("lw_row.*")
+    return _marked(bare, benchmark, window, False).where(f"not ({_CONTAMINATED})").select("lw_row.*")
