@@ -88,7 +88,8 @@ def _measure_lines(df: DataFrame) -> DataFrame:
 
 
 def _measure_capitals(df: DataFrame) -> DataFrame:
-    count = lambda pattern: F.regexp_count("q_text", F.lit(pattern)).cast("long")
+    # q_in is null where a rule has rejected the row: nothing is counted there.
+    count = lambda pattern: F.regexp_count("q_in", F.lit(pattern)).cast("long")
     return df.withColumns({"n_letters": count(r"\p{L}"), "n_capitals": count(r"\p{Lu}")})
 
 
@@ -96,17 +97,24 @@ MEASURES = {"words": _measure_words, "repeats": _measure_repeats, "symbols": _me
 
 
 def measure(df: DataFrame, names: list[str]) -> DataFrame:
-    """df (with q_text) with the named measures, in columns of their own."""
+    """df (with q_text, and q_in, which is q_text while no rule has rejected the row) with the named measures, in columns of their own."""
     for name in names:
         df = MEASURES[name](df)
     return df
 
 
-def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
-    """For each rule the seconds a row and the share of rows rejected, on a sample of `rows` rows at most; (0, 0) for an empty table."""
+def _texts(docs: DataFrame) -> DataFrame:
+    df = docs.withColumn("q_text", F.coalesce("text", F.lit("")))
+    return df.withColumn("q_in", F.col("q_text"))
+
+
+def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS, given: tuple[str, ...] = (), where: str | None = None) -> dict[str, tuple[float, float]]:
+    """For each rule the seconds a row and the share of rows rejected, on a sample of `rows` rows at most; (0, 0) for an empty one.
+    Measures that are given cost a rule nothing; where: a condition over them that the sample's rows have to meet."""
     total = docs.count()
-    sample = docs.select(F.coalesce("text", F.lit("")).alias("q_text"))
-    sample, got = cut(sample.sample(min(1.0, 2 * rows / max(total, 1)), seed=3).limit(rows), "quality-sample", n=F.count(F.lit(1)))
+    sample = _texts(docs).select("q_text", "q_in").sample(min(1.0, 2 * rows / max(total, 1)), seed=3).limit(rows)
+    sample = measure(sample, list(given)).where(where or "true")
+    sample, got = cut(sample.drop(*(c for c in sample.columns if c.startswith("q_") and c not in ("q_text", "q_in"))), "quality-sample", n=F.count(F.lit(1)))
     n = got["n"]
     if not n:
         return {r.name: (0.0, 0.0) for r in rules}
@@ -120,7 +128,7 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPL
     floor = timed(sample, "q_text = ''")[0]
     out = {}
     for rule in rules:
-        seconds, hits = timed(measure(sample, list(rule.measures)), rule.rejects)
+        seconds, hits = timed(measure(sample, [m for m in rule.measures if m not in given]), rule.rejects)
         out[rule.name] = (max(seconds - floor, 1e-4) / n, hits / n)
     return out
 
@@ -135,7 +143,7 @@ def cascade(docs: DataFrame, order: list[Rule]) -> DataFrame:
 
     Each rule is a filter of its own, and what it measures is measured of the rows that are still in.
     """
-    df, done = docs.withColumn("q_text", F.coalesce("text", F.lit(""))), set()
+    df, done = _texts(docs), set()
     for k, rule in enumerate(order):
         df = measure(df, [m for m in rule.measures if m not in done]).withColumn(f"q_in{k}", _fence())
         done |= set(rule.measures)
@@ -143,24 +151,37 @@ def cascade(docs: DataFrame, order: list[Rule]) -> DataFrame:
     return df
 
 
-def verdict(df: DataFrame, order: list[Rule]) -> DataFrame:
-    """df (with all measures) with `rejected_by`, the first rule in order that rejects the row, else null."""
-    first = F.lit(None).cast("string")
-    for rule in reversed(order):
-        first = F.when(F.expr(rule.rejects), F.lit(rule.name)).otherwise(first)
-    return df.withColumn("rejected_by", first)
+def judge(df: DataFrame, order: list[Rule], given: tuple[str, ...]) -> DataFrame:
+    """df (with given measures, q_text and q_in) with q_kept, whether no rule rejects the row. All rows stay; a rule measures those that
+    no earlier rule has rejected, and of the others nothing."""
+    done = set(given)
+    df = df.withColumn("q_kept", F.col("q_in").isNotNull())
+    for rule in order:
+        df = measure(df, [m for m in rule.measures if m not in done])
+        done |= set(rule.measures)
+        df = df.withColumn("q_kept", F.col("q_kept") & ~F.coalesce(F.expr(rule.rejects), F.lit(False)) & _fence())
+        df = df.withColumn("q_in", F.when(F.col("q_kept") & _fence(), F.col("q_in")))
+    return df
+
+
+#: Measures that the report gives of every row, and the base rules over them.
+REPORTED = ("words", "repeats", "symbols", "lines")
+OWN_RULES = tuple(r for r in RULES if r.name not in BASE)
+BASE_FAILED = " or ".join(f"({r.rejects})" for r in RULES if r.name in BASE)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
-    Null and empty texts have no words and fail the base rules. Repeated rows are judged each time; other columns are ignored,
-    an empty table gives an empty result.
+    The reported measures are taken of every row. The method's own rules go in the order that a sample of rows that pass the base rules
+    gives, and what else they measure is measured of rows that are still in. Null and empty texts have no words and fail the base
+    rules. Repeated rows are judged each time; texts may be of any length; other columns are ignored, an empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
-    out = verdict(measure(docs.withColumn("q_text", F.coalesce("text", F.lit(""))), list(MEASURES)), ordered(estimate(docs)))
-    base = F.expr(" or ".join(f"({r.rejects})" for r in RULES if r.name in BASE))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), F.when(base, F.lit(False)).otherwise(F.col("rejected_by").isNull()).alias("kept"))
+    order = ordered(estimate(docs, OWN_RULES, given=REPORTED, where=f"not ({BASE_FAILED})"), OWN_RULES)
+    df = measure(_texts(docs), list(REPORTED)).withColumn("base_failed", F.expr(f"({BASE_FAILED}) and monotonically_increasing_id() >= 0"))
+    df = judge(df.withColumn("q_in", F.when(~F.col("base_failed") & _fence(), F.col("q_text"))), order, REPORTED)
+    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("q_kept").alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
