@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: ASCII capitals only: the contracts lower-case A-Z and leave every other letter as it is.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: A batch of rows for Python ends after so many bytes.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker gets at once, unless the session says how much that is. Rows may be long: a bound on their number is none."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a temporary one on a local master, whose
+    driver and executor are one process; on a cluster that is an error, as its machines don't see each other's folders."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="loreweave-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, with_row_id
+from .common import cut, small_batches, with_row_id
 from .words import Words, slices, split_words, text_bytes, tidied
 
 BUCKETS, DIMS, GRID_BITS = 256, 4, 10
@@ -215,6 +215,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end: int = 2, with
     are numbered from 0 and all but the last are full. Ties on the curve go by doc_id, then by row; repeated rows are packed each
     time. An empty table gives no pieces. Other columns are ignored. tokenizer: path of a vocabulary file on all workers.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = with_row_id(docs.select("doc_id", "text")).select("row_id", "doc_id", "text")
     vectors = ", ".join(f"v{k} double" for k in range(DIMS))

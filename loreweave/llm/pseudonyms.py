@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .common import small_batches
 from .words import tidied
 
 ROUNDS = 8
@@ -280,10 +281,12 @@ def mask(docs: DataFrame, key: str) -> DataFrame:
     Null texts stay null, texts without personal values stay as they are, repeated rows get equal results, other
     columns pass through whatever their names. An empty table gives an empty one. Rows are handled one by one.
     """
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(_run(key.encode(), False), _ddl(docs))
 
 
 def mask_report(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, the masked text, n_masked and a count for each kind (card, date, email, iban, ip, phone, secret, ssn); nulls as in `mask`."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     return docs.mapInArrow(_run(key.encode(), True), f"{_ddl(docs)}, n_masked long, " + ", ".join(f"n_{k} long" for k in KINDS))

@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, scratch
+from .common import cut, scratch, small_batches
 
 #: An archive is closed after so many bytes of payload, and streams are read in parts of so many.
 ARCHIVE_BYTES, READ_BYTES = 64 << 20, 1 << 20
@@ -189,6 +189,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 100
     it. A null html is an empty payload, a null url an empty target, a row without page_id a response. Repeated rows give a
     record each. An empty table gives no archives. Other columns are ignored.
     """
+    small_batches(pages.sparkSession)
     folder = folder or scratch(pages.sparkSession, "warc")
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     pages = pages.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))

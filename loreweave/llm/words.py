@@ -14,8 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-#: Texts are taken together up to about so many bytes; a longer text is taken alone.
-SLICE_BYTES = 2 << 20
+#: Texts are taken together up to about so many bytes; a longer text is taken alone. Words are hashed in pieces of so many bytes.
+SLICE_BYTES, PIECE = 1 << 20, 1 << 18
 
 _SPACE = np.ones(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = False
@@ -35,7 +35,15 @@ _BYTE_CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _FOLDED_CODES = _BYTE_CODES[_LOWER]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+
+
+def _powers(base: np.uint64) -> np.ndarray:
+    out = np.full(PIECE + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_UP, _DOWN = _powers(_BASE), _powers(_INVERSE)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,20 +57,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers for n bytes; those for more than a slice are not kept."""
-    if len(_powers["up"]) >= n:
-        return _powers["up"], _powers["down"]
-    made = {}
-    for key, base in (("up", _BASE), ("down", _INVERSE)):
-        steps = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
-        steps[0] = 1
-        made[key] = np.cumprod(steps, dtype=np.uint64)
-    if n <= SLICE_BYTES + 1:
-        _powers.update(made)
-    return made["up"], made["down"]
-
-
 def tidied(run: Callable) -> Callable:
     """run over a task's batches; what the task held then goes back to the system, as the worker stays for other stages."""
 
@@ -130,12 +124,33 @@ def split_words(texts: pa.Array, kind: str, fold: bool = True, stops: bool = Fal
         start = np.sort(np.concatenate([start, last]))
         end[own] -= 1
         end = np.sort(np.concatenate([end, last + 1]))
-    up, down = _power(n + 1)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((_FOLDED_CODES if fold else _BYTE_CODES)[data] * up[:n], out=total[1:])
-    hashed = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    return Words(data, start, end, np.searchsorted(start, offsets).astype(np.int64), hashed)
+    return Words(data, start, end, np.searchsorted(start, offsets).astype(np.int64), _hashes(data, start, end, _FOLDED_CODES if fold else _BYTE_CODES))
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """A hash of each word's bytes: the polynomial of their codes, and the length. Only a piece of the texts is spread out at a time."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        lo = int(start[i])
+        j = int(np.searchsorted(end, lo + PIECE, "right"))
+        if j == i:  # one word is longer than a piece
+            total, power = 0, 1
+            for at in range(lo, int(end[i]), PIECE):
+                part = data[at : min(at + PIECE, int(end[i]))]
+                total += power * int((codes[part] * _UP[: len(part)]).sum(dtype=np.uint64))
+                power = power * int(_UP[PIECE]) % (1 << 64)
+            out[i] = np.uint64((total + int(end[i]) - lo) % (1 << 64))
+            i += 1
+            continue
+        n = int(end[j - 1]) - lo
+        total = np.empty(n + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(codes[data[lo : lo + n]] * _UP[:n], out=total[1:])
+        a, b = start[i:j] - lo, end[i:j] - lo
+        out[i:j] = (total[b] - total[a]) * _DOWN[a] + (b - a).astype(np.uint64)
+        i = j
+    return mix(out)
 
 
 def ngram_hash(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -114,6 +114,13 @@ def test_words_match_patterns(texts):
             assert [len(set(hashes[a:b].tolist())) for a, b in zip(first[:-1], first[1:], strict=True)] == [len({tuple(x[i : i + n]) for i in range(len(x) - n + 1)} or ({tuple(x)} - {()})) for x in want]
 
 
+def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
+    texts = pa.array(["a bb " + "c" * 50 + " dd", "E" * 33, " ".join("xyz"[k % 3] * (k % 21) for k in range(200))])
+    whole = words.split_words(texts, "space").hash.tolist()
+    monkeypatch.setattr(words, "PIECE", 16)
+    assert words.split_words(texts, "space").hash.tolist() == whole
+
+
 # -- decontamination ----------------------------------------------------------------------------------------------------
 def alnum(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
@@ -136,6 +143,24 @@ def brute_hits(docs, items, window=13):
     return out
 
 
+def brute_matches(docs, items, window=13):
+    """Longest verbatim matches: common stretches that can't be made longer at either end."""
+    out = {}
+    for i, text in docs:
+        w, found = alnum(text), set()
+        for item, t in items:
+            b = alnum(t)
+            for s in range(len(b)):
+                for p in range(len(w)):
+                    n = 0
+                    while s + n < len(b) and p + n < len(w) and b[s + n] == w[p + n]:
+                        n += 1
+                    if n >= min(len(b), window) and not (s and p and b[s - 1] == w[p - 1]):
+                        found.add((str(item), s, p, n))
+        out[i] = sorted(found)
+    return out
+
+
 def contaminated_rows(rng):
     vocab = [f"v{i}" for i in range(30)]
     items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice((2, 5, 13, 14, 40))))) for i in range(12)]
@@ -155,14 +180,26 @@ def test_contamination_matches_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(contamination, "BLOCK_CHARS", block)
     docs, items = contaminated_rows(random.Random(3))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = contamination.contamination(frame(spark, docs), bench).drop("longest_words", "longest_start")
+    got = contamination.contamination(frame(spark, docs), bench)
     want = brute_hits(docs, items)
-    assert {tuple(r) for r in got.collect()} == want
+    assert {tuple(r) for r in got.drop("matches").collect()} == want
+    longest = {r.doc_id: [tuple(m) for m in r.matches] for r in got.collect()}
+    assert any(longest.values()) and {i: sorted(m) for i, m in longest.items()} == brute_matches(docs, items)
+    assert all(m == sorted(m, key=lambda x: -x[3]) for m in longest.values())
     kept = contamination.decontaminate(frame(spark, docs), bench)
     assert kept.columns == ["doc_id", "text", "n_shingles", "kept"]
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in want if not r[-1]}
 
 
+def test_contamination_of_a_very_long_text(spark):
+    text = " ".join(f"w{i * i % 9973}" for i in range(400_000))
+    item = " ".join(text.split()[250_000:250_300])
+    got = contamination.contamination(frame(spark, [(1, text), (2, item.upper()), (3, "x" * 3_000_000)]), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    rows = {r.doc_id: r for r in got.collect()}
+    assert ("7", 0, 250_000, 300) in map(tuple, rows[1].matches) and not rows[1].contaminated
+    assert [tuple(m) for m in rows[2].matches] == [("7", 0, 0, 300)] and rows[2].contaminated and rows[3].n_words == 1
+
+
 def test_contamination_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     rows = contamination.contamination(frame(spark, [(1, "a b"), (1, "a b")]), bench).collect()

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loreweave.llm import chat, html_text, licences, packing, pseudonyms, quality, warc
+from loreweave.llm import chat, dom, html_text, licences, packing, pseudonyms, quality, warc
 from loreweave.llm.queries import op6_chat_format, tokenizer_path
 
 KEY = b"test"
@@ -49,6 +49,66 @@ def test_article_is_read_alone():
     assert html_text.main_text("<p>a < b and c</p><!-- <p>no --><p>d", None, set()) == "a < b and c\n\nd"
 
 
+def plain_page(k, host="w.example.com", body=None):
+    """A page whose furniture has no name: a long advert that varies, a constant notice, and a short article."""
+    advert = " ".join(f"buy{k}x{i}" for i in range(40 if k == 3 else 4))
+    body = body or f"<h1>Story {k}</h1><p>{' '.join(f'word{k}v{i}' for i in range(5 if k == 3 else 60))}</p><p>end {k}</p>"
+    return (k, f"https://{host}/{k}", f"<body><div class=x1><p>{advert}</p></div><div class=x2>{body}<p>All rights are with their owners</p></div><div class=x3><a href=/>Go</a> <a href=/z>Up {k}</a></div></body>")
+
+
+def test_the_wrapper_decides(spark):
+    rows = [plain_page(k) for k in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    for k in range(9):
+        assert got[k] == f"Story {k}\n\n" + " ".join(f"word{k}v{i}" for i in range(5 if k == 3 else 60)) + f"\n\nend {k}"
+    # Without it the constant stays on all pages, and the advert of page 3 outweighs its article.
+    alone = {k: html_text.main_text(h) for k, _, h in rows}
+    assert all("All rights" in alone[k] for k in range(9) if k != 3) and "buy3x0" in alone[3]
+
+
+def test_names_only_weigh(spark):
+    """An element that calls itself furniture, but holds nearly all that varies on the host's pages, is the content."""
+    rows = [(k, f"https://n.example.com/{k}", f"<body><div class=other><p>hint {k}</p></div><div class='promo-box'><h1>T{k}</h1><p>{' '.join(f'w{k}x{i}' for i in range(200))}</p></div></body>") for k in range(6)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k].startswith(f"T{k}\n\nw{k}x0") and "hint" not in got[k] for k in range(6))
+
+
+def test_deep_and_long_pages(spark):
+    deep = "<div>" * 100_000 + "<p>at the bottom"
+    wide = "<body>" + "".join(f"<div class=c{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}>t{k}</div>" for k in range(5000))
+    long = "<article>" + "<p>some words stand here, again</p>" * 60_000 + "</article>"
+    junk = "</div>" * 50_000 + "<li>" * 20_000 + "a<b c" + "<p" * 1000
+    rows = [(k, f"http://deep.example.com/{k}", h) for k, h in enumerate((deep, deep, wide, long, junk, deep + " too", "<div>" * 100_000 + "</article>" * 100_000 + "x"))]
+    df = spark.createDataFrame([(*r, "c", -1) for r in rows], "page_id long, url string, html string, host string, n_chars long")
+    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    assert got[0] == got[1] == "at the bottom" and got[5] == "at the bottom too" and got[6] == "x" and got[3].count("some words") == 60_000 and len(got[2]) > 5000
+
+
+def brute_pairing(a, b, s, t):
+    """The most slots that can be paired top down, in order and by label: plain recursion over children."""
+    if s.labels[a] != t.labels[b]:
+        return 0
+    x, y = s.children[a], t.children[b]
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(1, len(x) + 1):
+        for j in range(1, len(y) + 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + brute_pairing(x[i - 1], y[j - 1], s, t))
+    return 1 + best[-1][-1]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(["<div class=a>", "<div class=b>", "<ul>", "<section>", "</div>", "</ul>", "</section>", "t"]), max_size=40), st.lists(st.sampled_from(["<div class=b>", "<div class=a>", "<ul>", "<section>", "</div>", "</ul>", "</section>", "t"]), max_size=40))
+def test_alignment_pairs_the_most_slots(one, two):
+    s, t = (dom.read("".join(x))[0] for x in (one, two))
+    pairs = [(a, b) for b, a in enumerate(dom.align(s, t)) if a >= 0]
+    assert len(pairs) == brute_pairing(0, 0, s, t)
+    assert all(s.labels[a] == t.labels[b] for a, b in pairs) and len({a for a, _ in pairs}) == len(pairs)
+    for a, b in pairs[1:]:
+        assert (s.parents[a], t.parents[b]) in pairs
+        assert all((a < c) == (b < d) for c, d in pairs if s.parents[c] == s.parents[a] and c != a)
+
+
 # -- pseudonyms ---------------------------------------------------------------------------------------------------------
 @settings(max_examples=40, deadline=None)
 @given(st.integers(2, 400))
@@ -184,6 +244,29 @@ def test_quality_measures_match_brute_force(spark):
     assert quality.report(df.limit(0)).count() == 0
 
 
+def test_nothing_more_is_measured_of_rejected_rows(spark, monkeypatch):
+    base = "the quick brown fox jumps over a lazy dog while seven calm owls watch the moon rise above quiet hills"
+    texts = [base, "### $$$ %%% " * 2 + base, None, "BOOM " * 9, "BOOM " + " ".join(f"#${k}%|" for k in range(30)), base.upper()]
+    boom = F.when(F.col("q_in").contains("BOOM"), F.raise_error(F.lit("measured a rejected row"))).otherwise(0)
+
+    def capitals(df):
+        return df.withColumns({"n_letters": F.lit(100) + boom.cast("long"), "n_capitals": F.when(F.col("q_in").isNotNull(), F.regexp_count("q_in", F.lit(r"\p{Lu}"))).otherwise(0)})
+
+    monkeypatch.setitem(quality.MEASURES, "capitals", capitals)
+    monkeypatch.setattr(quality, "estimate", lambda docs, rules=quality.RULES, **_: {r.name: (1.0, 0.9 - k / 10) for k, r in enumerate(rules)})
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in quality.report(df).collect()}
+    assert [rows[i].kept for i in range(6)] == [True, False, False, False, False, False] and rows[4].n_symbols == 120 and not rows[4].base_failed
+    assert [r.doc_id for r in quality.keep_good(df).collect()] == [0]
+
+
+def test_quality_of_a_very_long_text(spark):
+    df = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(1_500_000))), (2, "y" * 8_000_000), (3, "line\n" * 1_000_000)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in quality.report(df).collect()}
+    assert rows[1].kept and rows[1].n_words == 1_500_000 and rows[1].n_repeat_words == 0
+    assert rows[2].word_chars == 8_000_000 and rows[2].base_failed and (rows[3].n_dup_lines, rows[3].n_repeat_words) == (999_999, 1_000_000)
+
+
 def test_rules_go_by_rejections_per_second():
     e = {r.name: (1.0, 0.0) for r in quality.RULES} | {"repeats": (10.0, 0.5), "symbols": (0.1, 0.2), "few_words": (0.5, 0.1)}
     assert [r.name for r in quality.ordered(e)][:3] == ["symbols", "few_words", "repeats"]
