@@ -14,16 +14,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternates the large-star and small-star steps: each node's larger neighbours, then its smaller ones,
     are tied to the smallest node seen. Nothing is collected: a step is a grouped minimum and a join, whose
     hot nodes Spark can split, and each round ends in a table in the shared folder. Self-loops and repeated
-    edges do no harm; no edges give no rows.
+    edges do no harm; no edges give no rows. The minima are dealt anew before they are joined: a side that is a plain exchange is one that
+    adaptive execution can split, and so a hot node's edges go to several tasks.
     """
     e = edges.where(f"{a} != {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     e, was = cut(e, "edges", n=F.count(F.lit(1)), h=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
     while was["n"]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition("u")
         large = both.join(low, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        small = large.join(low.repartition("u"), "u")
         small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         e, now = cut(small, "edges", n=F.count(F.lit(1)), h=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
         if now == was:

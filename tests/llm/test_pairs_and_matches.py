@@ -64,11 +64,29 @@ def near(rng, n=60, groups=5):
 
 def test_near_duplicates_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 5)  # groups span several blocks
+    monkeypatch.setattr(minhash, "BLOCK_SIGNATURES", 3)
     rows = near(random.Random(1))
     got = {tuple(r) for r in minhash.near_duplicates(frame(spark, rows)).collect()}
     assert got == brute(rows)
 
 
+def test_chains_about_the_threshold_match_brute_force(spark, monkeypatch):
+    """Members of a bucket that aren't like its smallest one, but like one another, are found as well."""
+    monkeypatch.setattr(minhash, "BLOCK_SIGNATURES", 7)
+    rng, rows = random.Random(4), []
+    for g in range(4):
+        w = [f"g{g}w{i}" for i in range(60)]
+        for k in range(30):  # each a small step from the one before: ends are far apart
+            rows.append((1000 * g + rng.randrange(1000), " ".join(w)))
+            w[(7 * k) % 60] = f"g{g}n{k}"
+            if k % 11 == 10:
+                w[k % 60 : k % 60 + 6] = [f"g{g}cut{k}{i}" for i in range(6)]
+    rows = list({i: (i, t) for i, t in rows}.values())
+    got = {tuple(r) for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    want = brute(rows)
+    assert got == want and 8 < len({r[2] for r in want}) < len(rows)
+
+
 def test_near_duplicates_odd_cases(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
     rows = [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (3, None)]
