@@ -274,7 +274,7 @@ def test_rules_go_by_rejections_per_second():
 
 # -- licences -----------------------------------------------------------------------------------------------------------
 def test_phrases_and_templates(spark):
-    mit = licences.TEMPLATES["mit"]
+    mit = licences.TEMPLATES["mit"].text
     texts = [None, "", "under the MIT\nLicense, mit-license MIT LICENSE", f"intro\n\n{mit}\n\ntail", "xmit license", "CC-BY 4 and GNU general public, license? gnu General Public License", " ".join(mit.split()[:20]), "ccby cc by"]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, labels string")
     rows = {r.doc_id: r for r in licences.scan(df).collect()}
@@ -291,16 +291,36 @@ def test_phrases_and_templates(spark):
 
 
 def test_places_are_counted_in_words_and_notices_over_paragraphs_match(spark):
-    apache = licences.TEMPLATES["apache"].replace(" http", "\n\n http").replace(" Unless", "\n\n Unless")
-    bsd = licences.TEMPLATES["bsd"].replace(" Redistributions", "\n\n1. Redistributions")
-    gpl = licences.TEMPLATES["gpl"].replace(" This program is distributed", "\n\nThis program is distributed")
-    texts = ["\U0001f600\U0001f600\U0001f600\U0001f600 a b mit license", "a\u2028b \x85 c mit license d \u2029 mit license", f"intro\n\n{apache}\n\ntail", bsd, gpl, f"one\n\n{licences.TEMPLATES['mit']}\n\ntwo"]
+    apache = licences.TEMPLATES["apache"].text.replace(" http", "\n\n http").replace(" Unless", "\n\n Unless")
+    bsd = licences.TEMPLATES["bsd"].text.replace(" Redistributions", "\n\n1. Redistributions")
+    gpl = licences.TEMPLATES["gpl"].text.replace(" This program is distributed", "\n\nThis program is distributed")
+    texts = ["\U0001f600\U0001f600\U0001f600\U0001f600 a b mit license", "a\u2028b \x85 c mit license d \u2029 mit license", f"intro\n\n{apache}\n\ntail", bsd, gpl, f"one\n\n{licences.TEMPLATES['mit'].text}\n\ntwo"]
     rows = [r for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
     assert [(r.first_word, r.last_word) for r in rows[:2]] == [(3, 3), (3, 7)]
     assert [{m.template for m in r.matches} >= {n} for r, n in zip(rows[2:], ("apache", "bsd", "gpl", "mit"), strict=True)] == [True] * 4
     assert [(m.block, m.paragraphs) for m in rows[5].matches if m.template == "mit"] == [(1, 1)]  # and no longer block around it
 
 
+def test_a_notice_is_told_from_prose_and_from_its_sisters(spark):
+    prose = " ".join(f"word{k}" for k in range(400))
+    cases = {
+        "This file is licensed under CC BY 4.0.": "cc-by",
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",
+        "This report is under review by the general public, see version 3 of the work plan for the license of each part": "",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-notice",
+        licences.TEMPLATES["lgpl"].text: "lgpl",
+        licences.TEMPLATES["agpl"].text: "agpl",
+        licences.TEMPLATES["gpl"].text: "gpl,gpl-notice",
+        licences.TEMPLATES["cc-by-sa"].text: "cc-by-sa",
+        f"{prose} {licences.TEMPLATES['zlib'].text} {prose}": "zlib",
+        " ".join(f"{w} {prose}" for w in licences.TEMPLATES["isc"].text.split()): "",  # the same words, far apart
+        f"{prose} " * 2000 + licences.TEMPLATES["unlicense"].text: "unlicense",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licences.scan(df).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
 def test_filters_lose_no_block(spark):
     import random
 
