@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from itertools import chain
 
@@ -31,9 +32,31 @@ _PROJECTION = np.random.default_rng(11).standard_normal((BUCKETS, DIMS))
 _encoders: dict[tuple, Encoder] = {}
 
 
+def _projected(ids: np.ndarray) -> np.ndarray:
+    return _PROJECTION[ids.astype(np.uint64) * np.uint64(2654435761) % np.uint64(1 << 32) % np.uint64(BUCKETS)]
+
+
+def _separable(tokenizer) -> bool:
+    """Whether texts may be cut at white space and before stops: no token of the vocabulary goes across, and all its tokens, written with
+    spaces, stops and capitals between, give the same ids cut and whole."""
+    words = sorted({w.removeprefix("##").removesuffix("</w>") for w in tokenizer.get_vocab(with_added_tokens=False)})
+    # Lone letters stand for bytes in some vocabularies; white space in a longer token is written as such, or by one of three letters.
+    if any(len(w) > 1 and re.search(r"[\s\u0120\u010a\u2581]|[0-9A-Za-z][.,;:!?]", w) for w in words):
+        return False
+    words = [w for w in words if w.isascii() and w.isalnum()]
+    ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    for at in range(0, len(words), 500):
+        own = words[at : at + 500]
+        chunks = [x for k, w in enumerate(own) for x in ((w, " ") if k % 3 else (w.title(), ".,;:!?"[k % 6], "\n  "))]
+        if ids("".join(chunks)) != [i for c in chunks if c.strip() for i in ids(c)]:
+            return False
+    return True
+
+
 class Encoder:
-    """Token ids of many texts. Tokens of this vocabulary span neither ASCII white space nor the place between an ASCII letter or
-    digit and a stop or comma after it, and it takes A-Z as a-z, so each distinct chunk between those is tokenised once."""
+    """Token ids of many texts. If tokens of the vocabulary span neither ASCII white space nor the place between an ASCII letter or
+    digit and a stop or comma after it (`separable`), each distinct chunk between those is tokenised once; chunks are told apart by 64-bit
+    hashes. With other vocabularies every text is tokenised as a whole."""
 
     def __init__(self, path: str, end: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -44,10 +67,11 @@ class Encoder:
         normalizer = self.tokenizer.normalizer
         self.folds = normalizer is not None and normalizer.normalize_str("AZ") == "az"
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.separable = _separable(self.tokenizer)
         # Entry 0 is the end id. Hashes are sorted, and entry has the number of each one's ids, size and vector.
         self.hash, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.start, self.size = np.array([end], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
-        self.vector = _PROJECTION[[end * 2654435761 % (1 << 32) % BUCKETS]]
+        self.vector = _projected(np.array([end]))
         self.uses = np.zeros(1, np.int64)
 
     def _forget(self) -> None:
@@ -68,7 +92,7 @@ class Encoder:
         flat = np.fromiter(chain.from_iterable(rows), np.uint32, int(size.sum()))
         first = np.cumsum(size) - size
         vectors = np.zeros((len(rows), DIMS))
-        np.add.at(vectors, np.repeat(np.arange(len(rows)), size), _PROJECTION[flat.astype(np.uint64) * np.uint64(2654435761) % np.uint64(1 << 32) % np.uint64(BUCKETS)])
+        np.add.at(vectors, np.repeat(np.arange(len(rows)), size), _projected(flat))
         self.start = np.concatenate([self.start, first + len(self.ids)])
         self.ids = np.concatenate([self.ids, flat])
         self.size = np.concatenate([self.size, size])
@@ -95,6 +119,11 @@ class Encoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts with the end id after each, the first place of each text, and mean projected vectors."""
+        if not self.separable:
+            rows = [e.ids + [self.end] for e in self._batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            first = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+            ids = np.fromiter(chain.from_iterable(rows), np.uint32, int(first[-1]))
+            return ids, first, np.add.reduceat(_projected(ids), first[:-1], axis=0) / np.diff(first)[:, None]
         data = text_bytes(texts)[0].tobytes()
         small = data.lower()
         # Special tokens in a text are told by their case.
