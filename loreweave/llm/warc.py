@@ -204,16 +204,20 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 100
     return cut(rows.mapInArrow(_write(folder, date), "path string, records long, payload_bytes long"), "warc-manifest")[0]
 
 
+def _each(archives: DataFrame) -> DataFrame:
+    """A task for each archive: a lost executor costs the archives it was at."""
+    n = archives.count()
+    return archives.repartition(n) if n > 1 else archives
+
+
 def normalise(archives: DataFrame, folder: str | None = None) -> DataFrame:
     """Inflates each archive (path) once, rewrites every record as its own gzip member and writes an index of offsets beside
     it; returns path, index_path, records. No more than a record is held. A broken stream fails the task."""
     folder = folder or scratch(archives.sparkSession, "warc-members")
-    tasks = archives.sparkSession.sparkContext.defaultParallelism
-    return cut(archives.select("path").repartition(tasks).mapInArrow(_normalise(folder), "path string, index_path string, records long"), "warc-index")[0]
+    return cut(_each(archives.select("path")).mapInArrow(_normalise(folder), "path string, index_path string, records long"), "warc-index")[0]
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """Reads every record through its index: page_id, payload_bytes, payload_digest (recomputed where the payload is there),
     record_type, refers_to."""
-    tasks = archives.sparkSession.sparkContext.defaultParallelism
-    return archives.select("path", "index_path").repartition(tasks).mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return _each(archives.select("path", "index_path")).mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
