@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A batch of rows for Python ends after so many bytes.
 BATCH_BYTES = 4 << 20
+_places: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +59,18 @@ def cut(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
     else:
         df.write.parquet(path)
         got = {}
-    return spark.read.schema(df.schema).parquet(path), got
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out, got
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that cut has written. Nothing may be left that reads them: results that are still lazy included."""
+    for table_ in tables:
+        if path := _places.pop(table_, None):
+            jvm = table_.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table_.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:

@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, discard, small_batches
 from .components import connected_components
 from .words import mix, shingles, slices, split_words, tidied
 
 PERMS, BITS, BANDS, ROWS = 128, 4, 20, 4
 #: A group holds at most two blocks of so many members or shingles (one longer set is a block of its own), and of so many signatures.
-BLOCK_MEMBERS, BLOCK_SHINGLES, BLOCK_SIGNATURES = 1000, 500_000, 4000
+BLOCK_MEMBERS, BLOCK_SHINGLES, BLOCK_SIGNATURES = 1000, 500_000, 1000
 #: Estimates below the threshold by more than so many standard deviations are not confirmed: 6 in 10^9.
 SIGMAS = 5.7
 
@@ -305,20 +305,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
     stars = stars.where(f"100 * least(n_shingles, hub_n) >= {percent} * greatest(n_shingles, hub_n)").select("node", "hub", "sig", "hub_sig")
     stars, _ = cut(stars.mapInArrow(_likely(percent), "node long, hub long"), "stars")
     hub_sets = _sets_of(docs, stars.select(F.col("hub").alias("node")).distinct(), width).select(F.col("node").alias("hub"), "shingles")
-    stars = stars.join(docs.withColumnRenamed("doc_id", "node"), "node").join(hub_sets, "hub").select("node", "hub", "text", "shingles")
-    links, found = _some(stars.mapInArrow(_confirm_stars(width, percent), "a long, b long"), "links")
+    pairs = stars.join(docs.withColumnRenamed("doc_id", "node"), "node").join(hub_sets, "hub").select("node", "hub", "text", "shingles")
+    links, found = _some(pairs.mapInArrow(_confirm_stars(width, percent), "a long, b long"), "links")
 
     joined = connected_components(links) if found else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     label = F.coalesce("component", "node").alias("label")
     members = shared.select(F.col("key").alias("group"), "node").join(joined, "node", "left").select("group", "node", label)
     members = _dealt(members.withColumn("one", F.lit(1)), [("one", BLOCK_SIGNATURES)]).join(own, "node")
     ties, n = _some(_by_group(members).mapInArrow(_likely_groups(percent), "a long, b long"), "ties")
+    discard(shared, stars)
     if n:
-        members = connected_components(ties).join(joined.withColumnRenamed("component", "own"), "node", "left").join(own, "node")
+        groups = connected_components(ties)
+        members = groups.join(joined.withColumnRenamed("component", "own"), "node", "left").join(own, "node")
         members = members.select(F.col("component").alias("group"), "node", F.coalesce("own", "node").alias("label"), "n_shingles", "sig", F.lit(1).alias("one"))
         members, _ = cut(_dealt(members, [("one", BLOCK_MEMBERS), ("n_shingles", BLOCK_SHINGLES)]), "candidates")
         whole = _sets_of(docs, members.select("node").distinct(), width)
         more, n = _some(_by_group(members.join(whole, "node")).mapInArrow(_confirm_groups(percent), "a long, b long"), "more-links")
+        discard(ties, members)
         if n:
             joined = connected_components(links.unionByName(more))
     answer = classes.select("digest", "node").join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))

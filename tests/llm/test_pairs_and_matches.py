@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -249,6 +250,34 @@ def test_shards_are_balanced_and_gapless(spark):
     assert sharding.shard(frame(spark, []), 40).count() == 0
 
 
+def test_equal_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SPREAD", 7)
+    rows = [(3, "same")] * 300 + [(None, "x")] * 200 + [(i, "y") for i in range(100)] + [(None, None)]
+    got = sharding.shard(frame(spark, rows), 8, 64).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == len(rows) and sorted((r.doc_id or -1, r.size) for r in got) == sorted((i or -1, len(t or "") + 16) for i, t in rows)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values()) and {len(s) for s in by.values()} <= {75, 76}
+    assert sharding.segments_for(0) == sharding.segments_for(4096 * sharding.SEGMENT_ROWS) == 4096 and sharding.segments_for(50_000_000_000) == 65536
+
+
+def test_one_more_shard_moves_few_rows():
+    """With uneven segments: besides the rows that the new shard takes, few move between old ones."""
+    rng = random.Random(9)
+    counts = {s: rng.choice((0, 5, 40, 40, 45, 200)) for s in range(4096)}
+    total = sum(counts.values())
+    spread = []
+    for shards in (40, 41):
+        where = {}
+        for p in sharding.allot(counts, sharding.ring(shards), shards):
+            where.update({(p["segment"], k): p["shard"] for k in range(p["lo"], p["hi"])})
+        assert len(where) == total and max(Counter(where.values()).values()) - min(Counter(where.values()).values()) <= 1
+        spread.append(where)
+    moved = [k for k in spread[0] if spread[0][k] != spread[1][k]]
+    assert len(moved) < 0.08 * total and sum(spread[1][k] != 40 for k in moved) < 0.06 * total
+
+
 def test_few_rows_move(spark):
     """A row leaves its own shard only where that is full, and then goes on clockwise."""
     counts = {s: 10 for s in range(256)}

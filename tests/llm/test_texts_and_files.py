@@ -359,6 +359,29 @@ def test_packing_holds_every_token_once(spark):
     assert packing.pack(df.limit(0), tokenizer_path()).count() == 0
 
 
+def test_vocabularies_across_white_space_are_told(spark):
+    from tokenizers import Tokenizer
+
+    byte = "/opt/tokenizers/byte_bpe_50k.json"
+    assert packing.Encoder(tokenizer_path(), 2).separable and not packing.Encoder(byte, 2).separable
+    tok, texts = Tokenizer.from_file(byte), ["a b  c, Hello World.", None, "x" * 300_000, " lead"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in sorted(packing.pack(df, byte, length=64).collect(), key=lambda r: (r.doc_id, r.start)):
+        got[r.doc_id] = got.get(r.doc_id, b"") + r.ids
+    assert got == {i: np.array(tok.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes() for i, t in enumerate(texts)}
+
+
+def test_packing_of_a_very_long_text(spark):
+    from tokenizers import Tokenizer
+
+    text = " ".join(f"Word{k % 977}, and" for k in range(300_000))
+    rows = packing.pack(spark.createDataFrame([(1, text), (2, "b")], "doc_id long, text string"), tokenizer_path()).collect()
+    ids = Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids + [2]
+    got = b"".join(r.ids for r in sorted(rows, key=lambda r: r.start) if r.doc_id == 1)
+    assert got == np.array(ids, "<u4").tobytes() and max(r.length for r in rows) <= 4096
+
+
 def test_hilbert_curve_visits_neighbours():
     for dims, bits in ((2, 3), (3, 2), (4, 2)):
         cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
@@ -383,6 +406,20 @@ def test_archives_round_trip(spark, monkeypatch):
     assert warc.read_archives(warc.normalise(warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string")))).count() == 0
 
 
+def test_a_very_long_page_is_archived(spark):
+    big = "<p>" + "long \u00e9 " * 3_000_000
+    rows = [(2, "u", big), (1, "u", big), (3, "u", None)]
+    got = {r.page_id: r for r in warc.read_archives(warc.normalise(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string")))).collect()}
+    assert (got[2].record_type, got[2].refers_to, got[1].record_type) == ("revisit", 1, "response")
+    assert got[1].payload_bytes == got[2].payload_bytes == len(big.encode()) and got[1].payload_digest == hashlib.sha256(big.encode()).hexdigest()
+
+
+def test_long_texts_are_masked(spark):
+    text = "filler words stand here " * 400_000 + "mail bob.smith@mail.example.com, ip 10.1.2.3"
+    r = pseudonyms.mask_report(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
+    assert (r.n_masked, r.n_email, r.n_ip) == (2, 1, 1) and len(r.text) == len(text) and r.text[:9_000_000] == text[:9_000_000]
+
+
 def test_records_are_members_at_their_offsets(spark, tmp_path):
     import gzip
     import json
