@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, discard, small_batches
-from .components import connected_components
+from .components import apart, connected_components
 from .words import mix, shingles, slices, split_words, tidied
 
 PERMS, BITS, BANDS, ROWS = 128, 4, 20, 4
@@ -264,8 +264,8 @@ def _dealt(members: DataFrame, weights: list[tuple[str, int]]) -> DataFrame:
     for name, part in (("p", "top.w{0}"), ("q", "all{0} - top.w{0}")):
         parts.append("cast(greatest(" + ", ".join(f"ceil(({part.format(k)}) / {most})" for k, (_, most) in enumerate(weights)) + f", 1) AS int) AS {name}")
     whole = labels.groupBy("group").agg(F.max(F.struct(*(f"w{k}" for k in range(len(weights))), "label")).alias("top"), F.count(F.lit(1)).alias("n"), *(F.sum(f"w{k}").alias(f"all{k}") for k in range(len(weights))))
-    whole = whole.where("n > 1").selectExpr("group", *parts).repartition("group")  # a table of its own in the join, which so can split hot groups
-    out = members.join(whole, "group").withColumn("major", F.col("label") == F.col("top"))
+    whole = whole.where("n > 1").selectExpr("group", *parts)
+    out = members.join(apart(whole, "group", "top"), "group").withColumn("major", F.col("label") == F.col("top"))
     out = out.withColumn("block", F.when(F.col("major"), F.pmod(F.xxhash64("node"), F.col("p"))).otherwise(F.col("p") + F.pmod(F.xxhash64("node"), F.col("q"))).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.when(F.col("major"), F.col("p")).otherwise(0), F.col("p") + F.col("q") - 1)))
     return out.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("top", "p", "q", "major", "other")
@@ -297,7 +297,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
     classes, _ = cut(classes.select("digest", F.col("r.doc_id").alias("node"), "r.n_shingles", "r.sig", "r.bands"), "classes")
     keys = classes.select("node", F.explode("bands").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
-    shared, _ = cut(keys.join(hubs.repartition("key"), "key"), "buckets")
+    shared, _ = cut(keys.join(apart(hubs, "key", "hub"), "key"), "buckets")
 
     own = classes.select("node", "n_shingles", "sig")
     hub = classes.select(F.col("node").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("sig").alias("hub_sig"))
@@ -322,8 +322,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
         whole = _sets_of(docs, members.select("node").distinct(), width)
         more, n = _some(_by_group(members.join(whole, "node")).mapInArrow(_confirm_groups(percent), "a long, b long"), "more-links")
         discard(ties, members)
-        if n:
-            joined = connected_components(links.unionByName(more))
+        if n:  # the links found late join what is joined already
+            of = lambda end: joined.select(F.col("node").alias(end), F.col("component").alias(f"{end}_own"))
+            late = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_own", "a").alias("a"), F.coalesce("b_own", "b").alias("b"))
+            late = connected_components(late).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+            ends = more.select(F.col("a").alias("node")).unionByName(more.select(F.col("b").alias("node"))).distinct().join(joined, "node", "left_anti")
+            joined = joined.unionByName(ends.select("node", F.col("node").alias("component"))).join(late, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
     answer = classes.select("digest", "node").join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = sets.select("doc_id", "n_shingles", "digest").join(answer, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
