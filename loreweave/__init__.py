@@ -1,0 +1,9 @@
+"""Project-knowledge analytics and training-data operators on PySpark."""
+
+from .functions.config import settings
+from .operators.code import package_roots, resolve_calls, resolve_import_files, symbols
+from .operators.graph import blast_radius, blast_report
+from .operators.reconcile import freshness, reindex
+from .operators.suggest import suggest, suggest_with_memories
+
+__all__ = ["blast_radius", "blast_report", "freshness", "package_roots", "reindex", "resolve_calls", "resolve_import_files", "settings", "suggest", "suggest_with_memories", "symbols"]

@@ -98,3 +98,32 @@ def is_noise_reason(reason: Column | str) -> Column:
     """Whether a deprecation reason calls the capture noise; null is no reason."""
     r = F.trim(_c(reason))
     return F.coalesce(r.rlike("(?i)" + "|".join(f"(?:{p})" for p in NOISE_REASONS)), F.lit(False))
+
+
+#: Lines that older agents put at the end of a record's body in place of scope fields.
+_TRAILER_TAGS = "scopeFiles scopeTags source confidence globalScope".split()
+TRAILER_LINE = r"[^\S\n]*(?:" + "|".join(f"<{x}>[^\\n]*?</{x}>" for x in _TRAILER_TAGS) + r"|</invoke>)[^\S\n]*"
+#: The longest end of a body of which every line is such a line or blank; what stands before it, and it.
+TRAILER = rf"(?s)^(|.*?\n)({TRAILER_LINE}(?:\n(?:{TRAILER_LINE}|[^\S\n]*))*)$"
+
+
+def _listed(payload: Column) -> Column:
+    """Values of a scope line: a JSON list of strings alone, or else words between commas; trimmed, each once, blanks left out."""
+    raw = F.trim(payload)
+    is_json = raw.startswith("[") | raw.startswith("{")
+    parsed = F.try_parse_json(raw)
+    strings = F.when(F.schema_of_variant(parsed) == "ARRAY<STRING>", F.from_json(raw, "array<string>"))
+    values = F.when(is_json, F.coalesce(strings, F.array().cast("array<string>"))).otherwise(F.split(raw, ","))
+    return F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def legacy_scope(body: Column | str) -> Column:
+    """(matched, files, tags, body): scope lines at the very end of a body read and cut off; such lines anywhere else stay. Without a
+    trailer the body is as it was, with one it ends in one line feed or is empty."""
+    b = F.coalesce(F.col(body) if isinstance(body, str) else body, F.lit(""))
+    trailer = F.regexp_extract(b, TRAILER, 2)
+    matched = trailer != ""
+    of = lambda tag: _listed(F.regexp_extract(trailer, f"(?s)<{tag}>(.*?)</{tag}>", 1))
+    left = F.regexp_replace(F.regexp_extract(b, TRAILER, 1), r"\s+$", "")
+    left = F.when(left == "", "").otherwise(F.concat(left, F.lit("\n")))
+    return F.struct(matched.alias("matched"), of("scopeFiles").alias("files"), of("scopeTags").alias("tags"), F.when(matched, left).otherwise(b).alias("body"))

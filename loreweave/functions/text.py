@@ -73,6 +73,40 @@ def tokenize(value: Column | str) -> Column:
     return F.array_distinct(F.filter(both, lambda t: t.isNotNull() & (t != "") & ~t.rlike("^[a-z]$")))
 
 
+def once(value: Column) -> Column:
+    """value as a generator of its own: the optimizer neither repeats it where it is used several times nor moves filters on it below."""
+    return F.explode(F.array(value))
+
+
+def fenced(number: Column) -> Column:
+    """number, but not deterministic: filters on it are not moved below, where they would work it out a second time."""
+    return number + F.monotonically_increasing_id() * F.lit(0)
+
+
+def plural_forms(token: Column | str) -> Column:
+    """A token and all words whose singular it is."""
+    w = _c(token)
+    n = F.length(w)
+    ies = F.when(w.endswith("y"), F.concat(F.substring(w, F.lit(1), n - 1), F.lit("ies")))
+    more = F.array_compact(F.array(F.concat(w, F.lit("s")), F.concat(w, F.lit("es")), ies))
+    return F.concat(F.array(w), F.filter(more, lambda x: plural_stem(x).eqNullSafe(w)))
+
+
+def holds_token(value: Column | str, token: str, forms: list[str]) -> Column:
+    """Whether tokenize(value) has the token, found without making the tokens. forms: its plural_forms.
+
+    A token is a whole word, a camel part of one, or a path segment whose parts are joined; all in any form. Values in which the letters don't
+    stand at all are told by a plain search.
+    """
+    v, either = _c(value), "|".join(forms)
+    letters = token[:-1] if len(forms) > 1 and token.endswith("y") else token
+    bare = F.replace(F.replace(F.lower(v), F.lit("_")), F.lit("-"))
+    word = f"(?i)(?<![a-zA-Z0-9])(?:{either})(?![a-zA-Z0-9])"
+    spaced = F.regexp_replace(F.regexp_replace(v, "([A-Z]+)([A-Z][a-z])", "$1 $2"), "([a-z0-9])([A-Z])", "$1 $2")
+    joined = r"(?i)(?:\A|[/\\])[_-]*(?:" + "|".join("[_-]*".join(f) for f in forms) + r")[_-]*(?:\z|[/\\])"
+    return F.when(bare.contains(letters), v.rlike(word) | spaced.rlike(word) | v.rlike(joined)).otherwise(False)
+
+
 def tokenize_task(value: Column | str) -> Column:
     """tokenize without the stopwords of tasks."""
     return F.array_except(tokenize(value), F.array(*map(F.lit, TASK_STOPWORDS)))
@@ -193,9 +227,12 @@ def capture_title(text: Column | str, body: Column | str) -> Column:
 
 
 def tag_words(text: Column | str) -> Column:
-    """Words of a text that may be tags, with repeats."""
-    stop = F.array(*map(F.lit, TAG_STOPWORDS))
-    return F.filter(F.split(F.lower(_c(text)), "[^a-z0-9_-]+"), lambda w: (F.length(w) >= 4) & ~F.array_contains(stop, w))
+    """Words of a text that may be tags unless they are stopwords, with repeats."""
+    return F.filter(F.split(F.lower(_c(text)), "[^a-z0-9_-]+"), lambda w: F.length(w) >= 4)
+
+
+def is_tag(word: Column) -> Column:
+    return ~word.isin(*TAG_STOPWORDS)
 
 
 def patch_paths(patch: Column | str) -> Column:

@@ -114,6 +114,32 @@ def _braced(path: str, source: str, lang: str) -> list[tuple]:
 ADAPTERS = {"python": _python, "typescript": lambda p, s: _braced(p, s, "typescript"), "c": lambda p, s: _braced(p, s, "c"), "cpp": lambda p, s: _braced(p, s, "c")}
 
 
+#: What an adapter's language offers, by extension.
+CAPABILITIES = {
+    "python": ((".py",), ("functions", "imports", "calls", "package roots")),
+    "typescript": ((".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"), ("functions", "imports", "calls")),
+    "c": ((".c", ".h"), ("functions", "declarations", "includes", "calls", "companion sources")),
+    "cpp": ((".cc", ".cpp", ".cxx", ".hh", ".hpp", ".hxx"), ("functions", "declarations", "includes", "calls", "companion sources")),
+}
+
+
+def package_roots(repos: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo, root): where a repository's Python packages lie, by the first of pyproject.toml, setup.cfg and setup.py (repo, path, body) at its
+    root that says so; else the root itself, an empty string."""
+    quoted = lambda c: F.regexp_extract_all(c, F.lit("[\"']([^\"']+)[\"']"), 1)
+    one = lambda p: F.filter(F.array(F.regexp_extract("body", p, 1)), lambda x: x != "")
+    named = F.col("path")
+    found = (
+        F.when(named == "pyproject.toml", quoted(F.regexp_extract("body", r"\bwhere\s*=\s*\[([^\]]+)\]", 1)))
+        .when(named == "setup.cfg", one(r"package_dir\s*=\s*\w*\s*=\s*([^\s;#]+)"))
+        .when(named == "setup.py", one("package_dir\\s*=\\s*\\{[^}]*[\"']\\s*:\\s*[\"']([^\"']+)[\"']"))
+    )
+    order = F.when(named == "pyproject.toml", 0).when(named == "setup.cfg", 1).otherwise(2)
+    said = files.select("repo", order.alias("o"), found.alias("roots")).where("size(roots) > 0").groupBy("repo").agg(F.min_by("roots", "o").alias("roots"))
+    roots = F.coalesce("roots", F.array(F.lit("")))
+    return repos.select("repo").distinct().join(said, "repo", "left").select("repo", F.explode(F.array_distinct(roots)).alias("root"))
+
+
 def symbols(sources: DataFrame, adapters: dict | None = None) -> DataFrame:
     """Functions, declarations, calls and imports of source files (path, body); files of unknown languages and with syntax errors give none."""
     own = adapters or ADAPTERS

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,12 @@ BLOCK = 256
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir (a temporary one where that is unset): a loop's lineage ends there."""
+    """df as a table in the folder of spark.checkpoint.dir: a loop's lineage ends there. Where that is unset, in a temporary folder on a local
+    master; on a cluster that is an error, as its machines don't see each other's folders."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="loreweave-"))
     path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -94,6 +98,55 @@ def project_graph(files: DataFrame, imports: DataFrame, functions: DataFrame, ca
     return nodes, present_edges(edges, nodes)
 
 
+def node_details(ids: DataFrame, memories: DataFrame) -> DataFrame:
+    """(id, kind, repo, label, fields) of node ids kind:repo:rest. Of memories by their record, which has to be there; of files, directories,
+    symbols and projects by the id itself. memories (repo, id, title, type, status, excerpt); ids that are none are left out."""
+    of = lambda k: F.regexp_extract("id", "(?s)^([a-z]+):([^:]*):(.*)$", k)
+    x = ids.select("id", of(1).alias("kind"), of(2).alias("repo"), of(3).alias("rest")).where(F.col("kind").isin("memory", "file", "dir", "symbol", "project"))
+    m = memories.select(F.col("repo"), F.col("id").cast("string").alias("rest"), "title", F.create_map(F.lit("type"), "type", F.lit("status"), "status", F.lit("excerpt"), "excerpt").alias("fields"))
+    own = x.where("kind = 'memory'").join(m, ["repo", "rest"]).select("id", "kind", "repo", F.col("title").alias("label"), "fields")
+    symbol = F.when(F.col("rest").contains("::"), F.create_map(F.lit("file"), F.substring_index("rest", "::", 1), F.lit("name"), F.expr("substring(rest, instr(rest, '::') + 2)"))).otherwise(F.create_map(F.lit("name"), "rest"))
+    other = x.where("kind != 'memory'").select("id", "kind", "repo", F.when(F.col("rest") == "", F.col("repo")).otherwise(F.col("rest")).alias("label"), F.when(F.col("kind") == "symbol", symbol).otherwise(F.create_map(F.lit("path"), "rest")).alias("fields"))
+    return own.unionByName(other)
+
+
+def cluster_labels(projects: DataFrame, memories: DataFrame) -> DataFrame:
+    """(repo, label): the last part of a project's path (repo, worktree), or eight characters of its key; stores of records alone by their key."""
+    short, last = F.substring("repo", 1, 8), F.try_element_at(F.filter(F.split("worktree", "/"), lambda x: x != ""), F.lit(-1))
+    code = projects.select("repo", F.coalesce(last, short).alias("label"))
+    rest = memories.select("repo").distinct().join(code, "repo", "left_anti").select("repo", F.when(F.col("repo") == "global", "global").otherwise(short).alias("label"))
+    return code.distinct().unionByName(rest)
+
+
+def build(mode: str, store: dict[str, DataFrame], repo: str | None = None, semantic: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, kind, label) and edges (source, target, rel) of a view of all stores or of one.
+
+    memory: records with their links and shared scopes, and on demand similar ones; file: files with their imports; dir: top
+    directories with the edges between them; bridge: records anchored to files. store: files and imports, or memories (id, title, repo), links, scope and vectors.
+    """
+    own = lambda k: store[k] if repo is None or "repo" not in store[k].columns else store[k].where(F.col("repo") == repo)
+    if mode in ("memory", "bridge"):
+        m = own("memories").select("id", "title", "repo")
+        nodes = m.select(F.concat_ws(":", F.lit("memory"), "repo", "id").alias("id"), F.lit("memory").alias("kind"), F.col("title").alias("label"))
+        name = lambda df, a, b, rel: df.join(m.select(F.col("id").alias(a), F.concat_ws(":", F.lit("memory"), "repo", "id").alias("s")), a).join(m.select(F.col("id").alias(b), F.concat_ws(":", F.lit("memory"), "repo", "id").alias("t")), b).select(F.col("s").alias("source"), F.col("t").alias("target"), rel.alias("rel"))
+        if mode == "bridge":
+            files = own("files")
+            at = anchor_edges(own("scope"), files)
+            edges = at.select(F.concat_ws(":", F.lit("memory"), "repo", "source").alias("source"), F.concat_ws(":", F.lit("file"), "repo", "target").alias("target"), F.lit("anchors").alias("rel"))
+            anchored = files.select(F.concat_ws(":", F.lit("file"), "repo", "path").alias("id"), F.lit("file").alias("kind"), F.col("path").alias("label"))
+            return nodes.join(edges.select(F.col("source").alias("id")), "id", "left_semi").unionByName(anchored.join(edges.select(F.col("target").alias("id")), "id", "left_semi")), edges
+        edges = name(link_edges(store["links"], m), "source", "target", F.col("rel")).unionByName(name(scope_edges(own("scope")), "source", "target", F.lit("scope")))
+        if semantic:
+            edges = edges.unionByName(name(semantic_edges(store["vectors"].join(m, "id", "left_semi")), "source", "target", F.lit("semantic")))
+        return nodes, edges
+    if mode == "file":
+        return project_graph(own("files"), own("imports"), store["functions"], store["calls"], "off")
+    if mode == "dir":
+        nodes, edges = dir_rollup(own("files"), file_edges(own("imports"), own("files")))
+        return nodes.select(t.node_id("dir", "dir").alias("id"), F.lit("dir").alias("kind"), F.col("dir").alias("label")), edges.select(t.node_id("dir", "source").alias("source"), t.node_id("dir", "target").alias("target"), F.lit("imports").alias("rel"))
+    raise ValueError(f"mode has to be memory, bridge, file or dir, not {mode!r}")
+
+
 def present_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose ends are both nodes."""
     return edges.join(nodes.select(F.col("id").alias("source")), "source", "left_semi").join(nodes.select(F.col("id").alias("target")), "target", "left_semi").select(edges.columns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 
 import pandas as pd
@@ -148,22 +150,53 @@ def inverted_index(texts: DataFrame) -> DataFrame:
     return w.join(stems(w), "word").groupBy("source", "id", F.col("stem").alias("term")).agg(F.sum("n").alias("tf"))
 
 
-def full_text(index: DataFrame, query: str, limit: int = POOL) -> DataFrame:
-    """(source, id, rank, score): texts that hold all terms of the query, best BM25 first within each source, `limit` of each."""
-    spark = index.sparkSession
-    q = _words(spark.range(1).select(F.lit(query).alias("q")), "q").select("word")
-    terms = q.join(stems(q), "word").select(F.col("stem").alias("term")).distinct()
-    need = terms.agg(F.count(F.lit(1)).alias("need"))
-    size = index.groupBy("source", "id").agg(F.sum("tf").alias("len"))
+def _terms(spark, query: str) -> list[str]:
+    """Stems of a query's words; a plan's parameter."""
+    return sorted({_porter(r.word) for r in _words(spark.range(1).select(F.lit(query).alias("q")), "q").select("word").collect()})
+
+
+def _root(stem: str) -> str:
+    """What every word with this stem begins with: rules take endings off, and put back no more than an e, an i for a y, or ble for bility."""
+    return stem[:-2] if stem.endswith("ble") else stem[:-1] if stem.endswith(("i", "e", "bl")) else stem
+
+
+def _ranked(hits: DataFrame, size: DataFrame, terms: list[str], limit: int) -> DataFrame:
+    """Texts with all terms among hits (source, id, term, tf), by BM25. size: (source, id, len) of all texts with a word."""
     stats = size.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg"))
-    hits = index.join(F.broadcast(terms), "term")
     df = hits.groupBy("source", "term").agg(F.count(F.lit(1)).alias("df"))
     x = hits.join(df, ["source", "term"]).join(size, ["source", "id"]).join(stats, "source")
     idf = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + F.lit(K1) * (1 - B + F.lit(B) * F.col("len") / F.col("avg")))
-    scored = x.groupBy("source", "id").agg(F.sum(weight).alias("score"), F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(need)).where("n = need")
+    scored = x.groupBy("source", "id").agg(F.sum(weight).alias("score"), F.count(F.lit(1)).alias("n")).where(F.col("n") == len(terms))
+    return _top(scored, limit)
+
+
+def _top(scored: DataFrame, limit: int) -> DataFrame:
+    """The best `limit` of each source, ranks from 0. The bound on the row number is one that Spark applies before the shuffle too."""
     w = Window.partitionBy("source").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < limit).select("source", "id", "rank", "score")
+    best = scored.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit)
+    return best.select("source", "id", (F.col("n") - 1).alias("rank"), "score")
+
+
+def full_text(index: DataFrame, query: str, limit: int = POOL) -> DataFrame:
+    """(source, id, rank, score): texts that hold all terms of the query, best BM25 first within each source, `limit` of each; from a stored inverted_index."""
+    terms = _terms(index.sparkSession, query)
+    size = index.groupBy("source", "id").agg(F.sum("tf").alias("len"))
+    return _ranked(index.where(F.col("term").isin(*terms)), size, terms, limit)
+
+
+def search_texts(texts: DataFrame, query: str, limit: int = POOL) -> DataFrame:
+    """What full_text gives, from texts (source, id, text) without an index: texts are read once, and only words that can have a stem of the query are counted and stemmed."""
+    terms = _terms(texts.sparkSession, query)
+    words = texts.select("source", "id", F.explode(F.array(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("w"))  # a generator, so that words are split once
+    edge = lambda k: (F.element_at("w", k) == "").cast("int")
+    length = (F.size("w") - F.when(F.size("w") > 1, edge(1) + edge(-1)).otherwise(edge(1))).cast("long").alias("len")
+    roots = sorted({_root(x) for x in terms})
+    some = F.filter("w", lambda x: functools.reduce(operator.or_, (x.startswith(r) for r in roots), F.lit(False)))
+    rows = words.select("source", "id", length, some.alias("w")).where("len > 0")
+    n = rows.select("source", "id", F.explode("w").alias("word")).groupBy("source", "id", "word").agg(F.count(F.lit(1)).alias("n"))
+    hits = n.join(stems(n).where(F.col("stem").isin(*terms)), "word").groupBy("source", "id", F.col("stem").alias("term")).agg(F.sum("n").alias("tf"))
+    return _ranked(hits, rows.select("source", "id", "len"), terms, limit)
 
 
 def vector_top(vectors: DataFrame, query: list[float], limit: int = POOL) -> DataFrame:
@@ -171,8 +204,7 @@ def vector_top(vectors: DataFrame, query: list[float], limit: int = POOL) -> Dat
     from .memory import dot
 
     scored = vectors.select("source", "id", dot(F.array(*map(F.lit, query)), F.col("vec")).alias("score"))
-    w = Window.partitionBy("source").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < limit).select("source", "id", "rank", "score")
+    return _top(scored, limit)
 
 
 def rrf(*ranked: DataFrame, k: int = RRF, first: int = 0) -> DataFrame:

@@ -171,6 +171,30 @@ def pending_captures(memories: DataFrame, low: bool = False, limit: int = 15) ->
     return (m if low else m.where("signal >= 1")).orderBy(F.desc("signal"), F.desc("updated_ms"), "id").limit(limit)
 
 
+def capture_contexts(captures: DataFrame, provenance: DataFrame, transcripts: DataFrame, evidence: DataFrame, radius: int = 3) -> DataFrame:
+    """captures (id, ...) with context (kind, turns, user_turn, snippet): the transcript within `radius` turns of where it comes from if there is
+    any, else the recorded prompt with the answer after it, else nothing but the body.
+
+    provenance (id, session, turn), transcripts (session, turn, role, text), evidence (session, turn, text, snippet). Captures are
+    few when they come here; a window holds at most 2 * radius + 1 turns.
+    """
+    at = captures.select("id").join(provenance.where("session is not null and turn is not null"), "id")
+    near = transcripts.join(at.select("id", "session", F.col("turn").alias("centre")), "session").where(F.abs(F.col("turn") - F.col("centre")) <= radius)
+    near = near.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    pair = at.join(evidence, ["session", "turn"]).groupBy("id").agg(F.min(F.struct(F.col("text").alias("user_turn"), "snippet")).alias("pair"))
+    out = captures.join(near, "id", "left").join(pair, "id", "left")
+    kind = F.when(F.col("turns").isNotNull(), "transcript").when(F.col("pair").isNotNull(), "evidence").otherwise("body-only")
+    own = F.when(F.col("turns").isNull(), F.col("pair"))
+    return out.withColumn("context", F.struct(kind.alias("kind"), "turns", own["user_turn"].alias("user_turn"), own["snippet"].alias("snippet"))).drop("turns", "pair")
+
+
+def recall_stores(memories: DataFrame, scope: DataFrame, vectors: DataFrame, query: list[float], now_ms: int, each: int = 8, limit: int = 30) -> DataFrame:
+    """(repo, id, score): the best `each` records of every store together, the best `limit` of all; no tier is lifted."""
+    scored = recall(memories, scope, vectors, query, now_ms, limit=None, pool=None).join(memories.select("id", "repo"), "id")
+    w = Window.partitionBy("repo").orderBy(F.desc("score"), "id")
+    return scored.withColumn("n", F.row_number().over(w)).where(F.col("n") <= each).orderBy(F.desc("score"), "repo", "id").limit(limit).select("repo", "id", "score")
+
+
 def pinned_briefing(memories: DataFrame, scope: DataFrame, now_ms: int, top: int = 5) -> DataFrame:
     """Pinned records, and sure decisions and gotchas without file scope: confidence * exp(-age / 60 days)."""
     filed = scope.where("kind = 'file'").select(F.col("memory_id").alias("id"))
@@ -205,9 +229,14 @@ def scope_digest(memories: DataFrame, scope: DataFrame) -> DataFrame:
 
 def extract_tags(texts: DataFrame, most: int = 5) -> DataFrame:
     """(id, n, tag): the words of four letters or more that a text has most often; ties by word."""
-    words = texts.select("id", F.explode(t.tag_words("body")).alias("tag")).groupBy("id", "tag").agg(F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy("id").orderBy(F.desc("count"), "tag")
-    return words.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("id", "n", "tag", "count")
+    # A text is one row, so its words are counted there: sorted, a word's count is the way from its first place to the next word's.
+    words = texts.select("id", t.once(F.array_sort(t.tag_words("body"))).alias("w")).where("size(w) > 0")
+    starts = F.filter(F.transform("w", lambda x, i: F.when((i == 0) | (x != F.get("w", i - 1)), F.struct(x.alias("tag"), i.alias("i")))), lambda x: x.isNotNull())
+    words = words.select("id", F.size("w").alias("size"), t.once(starts).alias("s"))
+    counts = F.transform("s", lambda x, k: F.struct((-(F.coalesce(F.get("s", k + 1)["i"], F.col("size")) - x["i"])).cast("long").alias("less"), x["tag"].alias("tag")))
+    counts = F.filter(counts, lambda x: t.is_tag(x["tag"]))
+    best = words.select("id", F.slice(F.array_sort(counts), 1, most).alias("b"))
+    return best.select("id", F.posexplode("b").alias("n", "b")).select("id", (F.col("n") + 1).alias("n"), "b.tag", (-F.col("b.less")).alias("count"))
 
 
 def validate_types(memories: DataFrame, registry: DataFrame) -> DataFrame:

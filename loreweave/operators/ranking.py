@@ -17,12 +17,20 @@ def task_tokens(spark, task: str) -> list[str]:
     return spark.range(1).select(t.tokenize_task(F.lit(task)).alias("t")).first().t
 
 
+def token_forms(spark, tokens: list[str]) -> dict[str, list[str]]:
+    """Each task token with the words whose singular it is."""
+    if not tokens:
+        return {}
+    return {r.t: r.f for r in spark.range(1).select(F.explode(_literal(tokens)).alias("t")).select("t", t.plural_forms("t").alias("f")).collect()}
+
+
 def _literal(tokens: list[str]) -> Column:
     return F.array(*map(F.lit, tokens)).cast("array<string>")
 
 
-def _shared(tokens: list[str], of: Column) -> Column:
-    return F.size(F.array_intersect(of, _literal(tokens)))
+def _held(of: Column | str, forms: dict[str, list[str]]) -> Column:
+    """How many of the task's tokens a value has."""
+    return sum((t.holds_token(of, k, f).cast("int") for k, f in forms.items()), F.lit(0))
 
 
 def connected_files(calls: DataFrame) -> DataFrame:
@@ -49,9 +57,9 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 def fast_scores(files: DataFrame, docs: DataFrame, functions: DataFrame, imports: DataFrame, calls: DataFrame, entry_files: DataFrame, tokens: list[str], anchor: str | None = None) -> DataFrame:
     """(path, score) of files other than docs with any evidence."""
     code = files.join(docs.select("path"), "path", "left_anti")
-    p = t.normalise_path("path")
-    own = code.select("path", (_shared(tokens, t.tokenize(p)) * 5 + F.when(t.basename_stem(p).isin(*tokens), 4).otherwise(0)).alias("s_path"))
-    fn = functions.select("file", (_shared(tokens, t.tokenize("qualified_name")) * F.when(F.col("exported"), 3).otherwise(1)).alias("s"))
+    p, forms = t.normalise_path("path"), token_forms(files.sparkSession, tokens)
+    own = code.select("path", (_held(p, forms) * 5 + F.when(t.basename_stem(p).isin(*tokens), 4).otherwise(0)).alias("s_path"))
+    fn = functions.select("file", t.fenced(_held("qualified_name", forms) * F.when(F.col("exported"), 3).otherwise(1)).alias("s"))
     fn = fn.where("s > 0").groupBy("file").agg(F.least(F.sum("s"), F.lit(FUNCTION_CAP)).alias("s_fn"))
     out = own.join(fn, own.path == fn.file, "left").drop("file")
     out = out.join(entry_files.select("path", F.lit(2).alias("s_entry")).distinct(), "path", "left")
@@ -78,19 +86,37 @@ def second_pass(scores: DataFrame, files: DataFrame, docs: DataFrame, calls: Dat
     return scores.join(near, "path", "full_outer").select("path", (F.coalesce("score", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
+#: Points of a document for each task token that a field holds.
+DOC_WEIGHTS = {"title": 8, "path": 5, "body": 1}
+
+
 def doc_scores(docs: DataFrame, tokens: list[str]) -> DataFrame:
-    """(path, score) of documents: title 8, path 5, body 1 for each task token found."""
-    s = _shared(tokens, t.tokenize("title")) * 8 + _shared(tokens, t.tokenize("path")) * 5 + _shared(tokens, t.tokenize("body"))
-    return docs.select("path", s.cast("double").alias("score")).where("score > 0")
+    """(path, score) of documents: title 8, path 5, body 1 for each task token found. Documents are read once and no tokens are made of them."""
+    forms = token_forms(docs.sparkSession, tokens)
+    s = sum((_held(field, forms) * w for field, w in DOC_WEIGHTS.items()), F.lit(0))
+    return docs.select("path", t.fenced(s).cast("double").alias("score")).where("score > 0")
+
+
+def token_index(docs: DataFrame) -> DataFrame:
+    """(path, field, token) of documents (path, title, body), each once. Written partitioned or bucketed by token it answers any task by
+    reading the task's tokens alone; `reconcile.reindex` keeps it up to date by content hash."""
+    fields = F.explode(F.create_map(*(x for f in DOC_WEIGHTS for x in (F.lit(f), t.tokenize(f))))).alias("field", "tokens")
+    return docs.select("path", fields).select("path", "field", F.explode("tokens").alias("token"))
+
+
+def indexed_doc_scores(index: DataFrame, tokens: list[str]) -> DataFrame:
+    """What doc_scores gives, from a stored token_index."""
+    weight = F.create_map(*(F.lit(x) for kv in DOC_WEIGHTS.items() for x in kv))
+    return index.where(F.col("token").isin(*tokens)).groupBy("path").agg(F.sum(F.element_at(weight, F.col("field"))).cast("double").alias("score"))
 
 
-def suggest_fast(files, docs, functions, imports, calls, entry_files, task: str, anchor: str | None = None, limit: int = 5, connected: bool = True) -> DataFrame:
-    """The best `limit` of path, kind, score: score, files before docs, shorter path, path."""
+def suggest_fast(files, docs, functions, imports, calls, entry_files, task: str, anchor: str | None = None, limit: int = 5, connected: bool = True, index: DataFrame | None = None) -> DataFrame:
+    """The best `limit` of path, kind, score: score, files before docs, shorter path, path. index: a stored token_index of docs, if there is one."""
     tokens = task_tokens(files.sparkSession, task)
     code = fast_scores(files, docs, functions, imports, calls, entry_files, tokens, anchor)
     if connected:
         code = second_pass(code, files, docs, calls)
-    both = code.withColumn("kind", F.lit("file")).unionByName(doc_scores(docs, tokens).withColumn("kind", F.lit("doc")))
+    both = code.withColumn("kind", F.lit("file")).unionByName((doc_scores(docs, tokens) if index is None else indexed_doc_scores(index, tokens)).withColumn("kind", F.lit("doc")))
     return both.select("path", "kind", "score").orderBy(F.desc("score"), F.desc("kind"), F.length("path"), "path").limit(limit)
 
 

@@ -27,6 +27,16 @@ def rename_relink(removed: DataFrame, added: DataFrame) -> DataFrame:
     return added.join(old, "content_hash").select(F.col("path").alias("new_path"), "old_path")
 
 
+def relink_annotations(annotations: DataFrame, moved: DataFrame, key: str = "doc_id") -> DataFrame:
+    """annotations (doc_id, ...) after renames (old_path, new_path): one of a renamed document goes to its new id, unless that has one of its
+    own, which wins; the old one then goes. Of several that come to one id the smallest old id's stays."""
+    m = moved.select(F.col("old_path").alias(key), "new_path").distinct()
+    stay = annotations.join(m.select(key), key, "left_anti").select(annotations.columns)
+    come = annotations.join(m, key).join(stay.select(F.col(key).alias("new_path")), "new_path", "left_anti")
+    come = come.groupBy("new_path").agg(F.min_by(F.struct(*annotations.columns), key).alias("a"))
+    return stay.unionByName(come.select(*(F.col("new_path").alias(key) if c == key else F.col(f"a.{c}").alias(c) for c in annotations.columns)))
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """old without the keys of new, and new."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").select(old.columns).unionByName(new.select(old.columns))

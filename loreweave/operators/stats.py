@@ -197,3 +197,14 @@ def touched_searches(searches: DataFrame, hits: DataFrame, touches: DataFrame) -
     a = searches.join(some, "search_id", "left").join(touched, "search_id", "left").agg(F.count(F.lit(1)).alias("searches"), F.count_if(F.col("n") > 0).alias("full"), F.count("touched").alias("touched"), F.coalesce(F.sum("n"), F.lit(0)).alias("hits"), F.coalesce(F.sum("own"), F.lit(0)).alias("own"))
     rate = lambda n, d: F.when(F.col(d) == 0, 0.0).otherwise(F.col(n) / F.greatest(d, F.lit(1)))
     return a.select("searches", rate("full", "searches").alias("non_empty_rate"), rate("touched", "full").alias("touch_rate"), rate("own", "hits").alias("in_repo_ratio"))
+
+
+def bootstrap_totals(sessions: DataFrame, results: DataFrame, limit: int | None = None) -> DataFrame:
+    """One row over the earliest `limit` sessions (session, started): sessions processed, candidates created, evidence appended, candidates
+    rejected, sessions that failed. results (session, created, appended, rejected, error); a session without a result did nothing."""
+    own = sessions.select("session", "started")
+    own = own.orderBy("started", "session").limit(limit) if limit is not None else own
+    x = own.join(results, "session", "left")
+    ok = F.col("error").isNull()
+    done = lambda c: F.coalesce(F.sum(F.when(ok, F.col(c))), F.lit(0))
+    return x.agg(F.count_if(ok).alias("sessions"), done("created").alias("created"), done("appended").alias("appended"), done("rejected").alias("rejected"), F.count_if(~ok).alias("failed"))

@@ -495,7 +495,7 @@ def passages(v):
 def full_text(v):
     """Documents that hold all terms (the match set; the score is ours)."""
     t = v.table("documents").select("source", F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return library.full_text(library.inverted_index(t), "the of", limit=1 << 30).select("source", "id")
+    return library.search_texts(t, "the of", limit=1 << 30).select("source", "id")
 
 
 _RANKS = "v AS (SELECT id, id % 3 AS source, vec FROM vectors), q AS (SELECT vec AS b FROM vectors WHERE id = 0), a AS (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY {dot} DESC, id) - 1 AS rank FROM v, q), l AS (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY id * 7919 % 1009, id) - 1 AS rank FROM v), r AS (SELECT source, id, sum(1 / (60.0 + rank)) AS rrf FROM (SELECT * FROM a WHERE rank < 50 UNION ALL SELECT * FROM l WHERE rank < 50) GROUP BY source, id)".format(dot=_DOT("v.vec", "q.b"))

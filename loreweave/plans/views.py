@@ -94,7 +94,7 @@ class Views:
 
     @property
     def docs(self) -> DataFrame:
-        return self.table("documents").select(F.concat(F.lit("docs/"), "source", F.lit("/note_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.split(F.coalesce("text", F.lit("")), "\n")[0].alias("title"), F.coalesce("text", F.lit("")).alias("body"))
+        return self.table("documents").select(F.concat(F.lit("docs/"), "source", F.lit("/note_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("title"), F.coalesce("text", F.lit("")).alias("body"))
 
     @property
     def calls(self) -> DataFrame:

@@ -179,6 +179,32 @@ def register_source(sources: DataFrame, new: DataFrame) -> tuple[DataFrame, Data
     return out, a.join(b, inside).select(F.col("a.source").alias("outer"), F.col("b.source").alias("inner"))
 
 
+def remove_source(sources: DataFrame, source: str) -> DataFrame:
+    """The registry without a source; as it was if there is none of that id."""
+    return sources.where(F.col("source") != source)
+
+
+def update_source(sources: DataFrame, source: str, values: dict) -> DataFrame:
+    """The registry with some columns of a source changed; its id stays."""
+    own = {c: F.when(F.col("source") == source, F.lit(x)).otherwise(F.col(c)) for c, x in values.items() if c != "source"}
+    return sources.withColumns(own) if own else sources
+
+
+def write_sessions(stored: DataFrame, captured: DataFrame) -> DataFrame:
+    """Session records (session, ...) after a capture: a session's newest record replaces the one before."""
+    return captured.unionByName(stored.join(captured.select("session"), "session", "left_anti").select(captured.columns))
+
+
+def write_chunks(stored: DataFrame, captured: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks (session, id, text, vec) after a capture of chunks (session, id, text), and those of them that need a vector: a chunk whose
+    text the session had before keeps its vector, wherever it stood. Other sessions' chunks stay."""
+    digest = F.sha2("text", 256)
+    have = stored.select("session", digest.alias("digest"), "vec").groupBy("session", "digest").agg(F.first("vec", ignorenulls=True).alias("vec"))
+    now = captured.select("session", "id", "text", digest.alias("digest")).join(have, ["session", "digest"], "left").select("session", "id", "text", "vec")
+    rest = stored.join(captured.select("session").distinct(), "session", "left_anti").select("session", "id", "text", "vec")
+    return rest.unionByName(now), now.where("vec is null").select("session", "id", "text")
+
+
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(kind, value): a JSON text for each node and edge, for a writer of lines."""
     one = lambda df, k: df.select(F.lit(k).alias("kind"), F.to_json(F.struct(*df.columns)).alias("value"))

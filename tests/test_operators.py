@@ -1,6 +1,7 @@
 """Operators on literal cases, and against loops."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -349,3 +350,110 @@ def test_semantic_edges_of_all_records(spark, monkeypatch):
             want.setdefault((min(a, b), max(a, b)), (a, b, pytest.approx(-s)))
     got = [tuple(r) for r in graph.semantic_edges(spark.createDataFrame(vectors + extra, "id long, vec array<double>")).collect()]
     assert sorted(got) == sorted(want.values(), key=lambda w: w[:2]) and {a for a, _, _ in got} - set(range(0, 60, 5))
+
+
+# -- settings, suggestions, review, projects -----------------------------------------------------------------------------
+def test_settings_meet_key_by_key():
+    from loreweave.functions.config import DEFAULTS, merged, settings
+
+    assert settings() == DEFAULTS
+    s = settings({"memory": {"aging": {"autoSweep": False}, "ignoreWorktreePrefixes": []}, "other": 1}, {"memory": {"ranking": {"weights": {"scope": 1}}, "surface": 3}})
+    assert s["aging"]["autoSweep"] is False and s["aging"]["candidateToTrashedDays"] == 90 and s["ignoreWorktreePrefixes"] == []
+    assert s["ranking"]["weights"]["scope"] == 1 and s["ranking"]["weights"]["semantic"] == 0.5 and s["surface"] == 3 and DEFAULTS["surface"] != 3
+    assert merged({"a": {"b": 1}}, None, {"a": 2}) == {"a": 2}
+
+
+def test_scope_lines_count_at_the_end_alone(spark):
+    from loreweave.functions import rules
+
+    cases = {
+        "prose\n<scopeFiles>a.ts, b.ts</scopeFiles>\n\n</invoke>\n": (True, ["a.ts", "b.ts"], [], "prose\n"),
+        '<scopeTags>["x"," y ",""]</scopeTags>': (True, [], ["x", "y"], ""),
+        "<scopeFiles>a</scopeFiles>\nprose": (False, [], [], "<scopeFiles>a</scopeFiles>\nprose"),
+        "see <scopeTags>a</scopeTags>": (False, [], [], "see <scopeTags>a</scopeTags>"),
+        "p  \n\n <scopeFiles>[1, 2]</scopeFiles> \n<scopeTags>{bad</scopeTags>": (True, [], [], "p\n"),
+        "": (False, [], [], ""),
+        "long line\n" * 20_000 + "<source>s</source>": (True, [], [], "long line\n" * 20_000),
+    }
+    df = spark.createDataFrame([(b,) for b in cases], "body string")
+    got = {r.body: tuple(r.x) for r in df.select("body", rules.legacy_scope("body").alias("x")).collect()}
+    assert got == cases
+
+
+@pytest.mark.parametrize("value", ["store", "XMLStore_parser", "my-store/other", "red_bolt", "RedBolt redbolts", "boxes/partyHTTP", "parties", "glass", "a_b", "is_store_", "stores\nreds", "HTTPServer2Stores", ""])
+def test_tokens_are_found_without_making_them(spark, value):
+    from loreweave.functions import text as t
+    from loreweave.operators import ranking
+
+    tokens = ["store", "redbolt", "bolt", "box", "party", "http", "glass", "glas", "red", "ab", "isstore", "server2", "parser", "xml", "server2stores", "2"]
+    forms = ranking.token_forms(spark, tokens)
+    row = spark.createDataFrame([(value,)], "v string").select(t.tokenize("v").alias("all"), *(t.holds_token("v", k, forms[k]).alias(f"h{i}") for i, k in enumerate(tokens))).first()
+    assert [k for i, k in enumerate(tokens) if row[f"h{i}"]] == [k for k in tokens if k in row["all"]]
+
+
+def test_words_begin_with_the_root_of_their_stem(spark):
+    from loreweave.operators import library
+
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    words = {w for x in texts for w in re.findall(r"[a-z]+", x.lower())}
+    stems = "run sens rel commun digit happi activ form electr hope fall cri able nation rat".split()
+    ends = "s es ed ing ation ator ational ization izer ability ably able ibility ibilities fulness ousness iveness ical icate ative y ies ly ement ment ent ence ency al e ful ness ied ying ll".split()
+    words |= {a + b for a in stems for b in ends} | {a + b + c for a in stems for b in ends for c in ("s", "ed", "ly")}
+    assert len(words) > 3000 and [w for w in words if not w.startswith(library._root(library._porter(w)))] == []
+
+
+def test_search_without_an_index_is_the_same(spark):
+    from loreweave.operators import library
+
+    t = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("source", "doc_id AS id", "coalesce(text, '') AS text")
+    rows = lambda df: [(r.source, r.id, r["rank"], round(r.score, 9)) for r in df.orderBy("source", "rank").collect()]
+    for q in ("the of", "of", "thing and", "zzz"):
+        assert rows(library.search_texts(t, q, 7)) == rows(library.full_text(library.inverted_index(t), q, 7))
+
+
+def test_the_front_door_checks_and_ranks(spark):
+    from loreweave.operators import ranking, suggest
+
+    files = spark.createDataFrame([("src/a_store.ts", 0), ("src/b.ts", 1), ("lib/store.ts", 2)], "path string, ordinal long").withColumn("content_hash", F.lit("x"))
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    store = {"files": files, "docs": none("path string, title string, body string"), "functions": none("qualified_name string, file string, exported boolean"), "imports": none("from_path string, to_path string"), "calls": none("from_key string, to_key string"), "entry_files": none("path string")}
+    store |= {"path_vectors": spark.createDataFrame([("src/b.ts", [1.0, 0.0]), ("x.md", [0.0, 1.0])], "id string, vec array<double>"), "query": spark.createDataFrame([([1.0, 0.1],)], "vec array<double>")}
+    for bad in (dict(task=" "), dict(task="x", limit=0), dict(task="x", limit=True), dict(task="x", pool=201), dict(task="x", mode="best")):
+        with pytest.raises(ValueError):
+            suggest.suggest(store, **bad)
+    found, asked = suggest.suggest(store, "the store", origin="./src/b.ts", limit=3)
+    want = ranking.suggest_fast(*(store[k] for k in ("files", "docs", "functions", "imports", "calls", "entry_files")), "the store", "src/b.ts", 3)
+    assert found.collect() == want.collect() and asked == {"mode": "fast", "task": "the store", "origin": "src/b.ts", "freshness": "fresh"}
+    assert suggest.anchor_of(files, "src\\b.ts") == "src/b.ts" and suggest.anchor_of(files, "/lib/store.ts") == "lib/store.ts" and suggest.anchor_of(files, "nope") is None
+    semantic, _ = suggest.suggest(store, "x", "semantic", limit=5)
+    assert [(r.path, r.kind) for r in semantic.collect()] == [("src/b.ts", "file"), ("x.md", "doc")]
+
+
+def test_recall_over_stores_matches_a_loop(spark):
+    from loreweave.operators import memory
+
+    m = spark.createDataFrame([(i, "how-to", "active", 0.5, 1000, f"r{i % 3}") for i in range(60)], "id long, type string, status string, confidence double, updated_ms long, repo string")
+    vec = spark.createDataFrame([(i, [1.0, i / 60]) for i in range(60)], "id long, vec array<double>")
+    scope = spark.createDataFrame([], "memory_id long, kind string, value string")
+    got = [(r.repo, r.id) for r in memory.recall_stores(m, scope, vec, [0.0, 1.0], 2000, each=4, limit=10).collect()]
+    best = []
+    for k in range(3):
+        own = memory.recall(m.where(f"repo = 'r{k}'"), scope, vec, [0.0, 1.0], 2000, limit=4, pool=None).collect()
+        best += [(-r.score, f"r{k}", r.id) for r in own]
+    assert got == [(r, i) for _, r, i in sorted(best)[:10]]
+
+
+def test_registry_and_stores(spark):
+    from loreweave.operators import graph
+    from loreweave.sources import files
+
+    s = spark.createDataFrame([("a", "/x", "ok"), ("b", "/y", "ok")], "source string, root string, status string")
+    assert [r.source for r in files.remove_source(s, "a").collect()] == ["b"] and files.remove_source(s, "z").count() == 2
+    assert sorted(map(tuple, files.update_source(s, "b", {"status": "gone", "source": "c"}).collect())) == [("a", "/x", "ok"), ("b", "/y", "gone")]
+    old = spark.createDataFrame([(1, 0, "t", [1.0]), (1, 1, "u", [2.0]), (2, 0, "w", [3.0])], "session long, id long, text string, vec array<double>")
+    now, new = files.write_chunks(old, spark.createDataFrame([(1, 0, "u"), (1, 1, "new")], "session long, id long, text string"))
+    assert sorted(map(tuple, now.collect()), key=str) == sorted([(2, 0, "w", [3.0]), (1, 0, "u", [2.0]), (1, 1, "new", None)], key=str) and [r.text for r in new.collect()] == ["new"]
+    kept = files.write_sessions(spark.createDataFrame([(1, "a"), (2, "b")], "session long, manifest string"), spark.createDataFrame([(2, "c")], "session long, manifest string"))
+    assert sorted(map(tuple, kept.collect())) == [(1, "a"), (2, "c")]
+    with pytest.raises(ValueError):
+        graph.build("round", {})
