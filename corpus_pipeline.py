@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loreweave.llm import contamination, minhash, packing, pseudonyms, quality
-from loreweave.llm.common import cut, table
+from loreweave.llm.common import cut, discard, table
 from loreweave.llm.queries import PSEUDONYM_KEY, tokenizer_path
+from loreweave.sources.spread import spread
 
 #: Stages on word shingles take five words and a similarity of 0.8 or more.
 SHINGLE, PERCENT = 5, 80
@@ -54,9 +55,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each is written as Parquet and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs, _ = cut(docs, f"stage-{name}")
+            before, (docs, _) = docs, cut(docs, f"stage-{name}")
+            discard(before)  # written by the stage before, and read by none any more
     return docs

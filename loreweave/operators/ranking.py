@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as t
+from .graph import cut
 
 FUNCTION_CAP, TRIGRAM_WEIGHT, CONTENT_PER_TOKEN, CONTENT_CAP, LEAST_OVERLAP = 12, 4.0, 3, 9, 0.4
 MOST_BYTES, MOST_HITS, SNIPPET = 500_000, 3, 160
@@ -160,6 +161,7 @@ def suggest_deep(files, docs, functions, imports, calls, entry_files, contents,
     queries = spark.range(1).select(F.explode(_literal(tokens)).alias("query"))
     fuzzy = fuzzy_tokens(items, queries).groupBy(F.col("id").alias("path")).agg((F.sum("sim") * TRIGRAM_WEIGHT).alias("fuzzy"))
     both = fast.join(fuzzy, "path", "full_outer").select("path", F.coalesce("kind", F.lit("file")).alias("kind"), (F.coalesce("score", F.lit(0.0)) + F.coalesce("fuzzy", F.lit(0.0))).alias("score"), F.col("score").isNull().alias("fuzzy_only"))
+    both = cut(both, "scores")  # used twice, and small: a row for each file with evidence
     chosen = candidate_pool(both, files, max(pool, limit))
     found = content_hits(contents.join(chosen, "path", "left_semi"), tokens).groupBy("path").agg(F.least(F.count_distinct("token") * CONTENT_PER_TOKEN, F.lit(CONTENT_CAP)).alias("content"))
     out = both.join(found, "path", "full_outer").select("path", F.coalesce("kind", F.lit("file")).alias("kind"), (F.coalesce("score", F.lit(0.0)) + F.coalesce("content", F.lit(0))).alias("score"))

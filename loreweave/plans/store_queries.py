@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import graph, history, library, lifecycle, memory, reconcile, stats
+from ..sources.spread import spread
 from .text_queries import _NT, TAGS_SQL, _re
 from .views import DAY_MS, NOW_MS, Views, with_views
 
@@ -494,7 +495,7 @@ def passages(v):
 @query("full_text", "WITH d AS (SELECT source, doc_id AS id, string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+') AS w FROM documents) SELECT source, id FROM d WHERE (list_contains(w, 'the') OR list_contains(w, 'thes')) AND (list_contains(w, 'of') OR list_contains(w, 'ofs'))")
 def full_text(v):
     """Documents that hold all terms (the match set; the score is ours)."""
-    t = v.table("documents").select("source", F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    t = spread(v.table("documents")).select("source", F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     return library.search_texts(t, "the of", limit=1 << 30).select("source", "id")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as t
 from ..operators import memory, ranking
+from ..sources.spread import spread
 from .views import TASK, Views, with_views
 
 QUERIES, SQL = {}, {}
@@ -289,7 +290,7 @@ TAGS_SQL = f"tg AS (SELECT id, unnest({_TAGW}) AS tag FROM memories), tc AS (SEL
 @query("extract_tags", with_views("memories", f"{TAGS_SQL} SELECT id, n::INT AS n, tag, count FROM tr WHERE n <= 5"))
 def extract_tags(v: Views):
     """Tags of all records."""
-    return memory.extract_tags(v.memories.select("id", "body"))
+    return memory.extract_tags(spread(v.table("documents")).select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("body")))
 
 
 @query("capture_titles")

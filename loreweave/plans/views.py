@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.spread import spread
+
 #: 2024-01-31 00:00 UTC in milliseconds: the `now` of all queries.
 NOW_MS = 1_706_659_200_000
 DAY_MS = 86_400_000
@@ -94,7 +96,7 @@ class Views:
 
     @property
     def docs(self) -> DataFrame:
-        return self.table("documents").select(F.concat(F.lit("docs/"), "source", F.lit("/note_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("title"), F.coalesce("text", F.lit("")).alias("body"))
+        return spread(self.table("documents")).select(F.concat(F.lit("docs/"), "source", F.lit("/note_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("title"), F.coalesce("text", F.lit("")).alias("body"))
 
     @property
     def calls(self) -> DataFrame:
