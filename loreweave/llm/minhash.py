@@ -335,8 +335,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """The rows of docs that stand for their class, with all their columns: those of the smallest doc_id reachable, one of each if
-    rows repeat with equal text. Documents without shingles stay. Cases as in `near_duplicates`."""
+    """The rows of docs that stand for their class, with all their columns: those of the smallest doc_id reachable, all of them where a row
+    repeats with its doc_id. Documents without shingles or doc_id stay. Cases as in `near_duplicates`."""
     gone = near_duplicates(docs, percent, width).where("not kept").select(F.col("doc_id").alias("lw_gone")).distinct()
     kept = docs.join(gone, docs.doc_id.eqNullSafe(F.col("lw_gone")), "left_anti")
     return kept

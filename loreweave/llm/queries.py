@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.spread import spread
 from . import contamination as benchmarks
 from . import chat, html_text, licences, packing, pseudonyms, quality, sharding, warc
 from .common import UPPER, table
@@ -20,12 +21,12 @@ LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=3)
+    return near_duplicates(spread(table(spark, sf_dir, "documents")), percent=85, width=3)
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
-    return html_text.extract(table(spark, sf_dir, "pages"))
+    return html_text.extract(spread(table(spark, sf_dir, "pages")))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,12 +36,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with personal values replaced by pseudonyms of the same format."""
-    return pseudonyms.mask_report(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+    return pseudonyms.mask_report(spread(table(spark, sf_dir, "documents")), PSEUDONYM_KEY)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words in all documents."""
-    found = benchmarks.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13)
+    found = benchmarks.contamination(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), window=13)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
@@ -54,12 +55,12 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality measures and verdicts of all documents."""
-    return quality.report(table(spark, sf_dir, "documents"))
+    return quality.report(spread(table(spark, sf_dir, "documents")))
 
 
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices in all documents."""
-    return licences.scan(table(spark, sf_dir, "documents")).drop("matches")
+    return licences.scan(spread(table(spark, sf_dir, "documents"))).drop("matches")
 
 
 def tokenizer_path() -> str:
@@ -71,7 +72,7 @@ def tokenizer_path() -> str:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens."""
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), length=4096, end=2, with_ids=False)
+    return packing.pack(spread(table(spark, sf_dir, "documents")), tokenizer_path(), length=4096, end=2, with_ids=False)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
