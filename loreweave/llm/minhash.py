@@ -209,11 +209,11 @@ def _likely_groups(percent: int):
         sigs = np.stack([np.frombuffer(x, np.uint64) for x in sigs])
         root = np.arange(len(nodes))
         for a, rest in _partners(labels, blocks, i, j):
+            rest = rest[root[rest] != root[a]]  # one tie is enough
             rest = rest[_enough(size[a], size[rest], percent)]
             rest = rest[estimate(sigs[a], sigs[rest]) >= _least(percent)] if len(rest) else rest
-            for r in np.unique(root[rest]).tolist():
-                if r != root[a]:
-                    root[root == r] = root[a]
+            if len(rest):
+                root[np.isin(root, root[rest])] = root[a]
         return _smallest(nodes, root)
 
     return _groups(compare, ("sig",))
