@@ -185,13 +185,14 @@ def anchor_edges(scope: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, least: float = LEAST_SIMILARITY) -> DataFrame:
-    """(source, target, sim): the k most similar vectors of each query of at least `least`; ties by target. vectors (id, vec) of unit length, queries likewise.
+    """(source, target, sim): the k most similar vectors of each query of at least `least`; ties by target. vectors (id, vec) of unit length,
+    queries likewise; null and empty ones have no neighbours, nor have vectors of different lengths.
 
-    Exact, as the graph asks for: queries go to the vectors in full. Keep queries few, or blocked by a key both share.
+    Exact: the query set meets all vectors in blocks of BLOCK, whose products are multiplied at once, and each pair of blocks gives k
+    rows for each query at most. The work grows with queries times vectors.
     """
-    dot = F.aggregate(F.zip_with("v.vec", "q.vec", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = vectors.alias("v").join(queries.alias("q"), F.col("v.id") != F.col("q.id")).select(F.col("q.id").alias("source"), F.col("v.id").alias("target"), dot.alias("sim")).where(F.col("sim") >= least)
-    return pairs.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("sim"), "target"))).where(F.col("n") <= k).drop("n")
+    q, v = _packed(queries, "query-blocks"), _packed(vectors, "vector-blocks")
+    return _block_top(q, v, k, least, vectors.schema["id"].dataType.simpleString())
 
 
 def _block_neighbours(k: int, least: float):
@@ -207,8 +208,7 @@ def _block_neighbours(k: int, least: float):
                 ids, targets = (batch.column(c)[i].values for c in ("a_ids", "b_ids"))
                 x, y = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).reshape(len(n), -1) for c, n in (("a_vec", ids), ("b_vec", targets)))
                 sims = x @ y.T
-                if batch.column("a_block")[i].as_py() == batch.column("b_block")[i].as_py():
-                    np.fill_diagonal(sims, -np.inf)
+                sims[ids.to_numpy(zero_copy_only=False)[:, None] == targets.to_numpy(zero_copy_only=False)] = -np.inf
                 floor = np.full(len(ids), least)
                 if len(targets) > k:
                     floor = np.maximum(floor, np.partition(sims, len(targets) - k, axis=1)[:, len(targets) - k])
@@ -225,6 +225,23 @@ def _block_neighbours(k: int, least: float):
     return run
 
 
+def _packed(vectors: DataFrame, name: str) -> DataFrame:
+    """(dim, block, ids, vec): vectors (id, vec) in rows of about BLOCK, one after another."""
+    v = vectors.where("size(vec) > 0").select("id", F.col("vec").cast("array<double>").alias("vec"), F.size("vec").alias("dim"))
+    n = -(-v.count() // BLOCK) or 1
+    rows = v.groupBy("dim", F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("id", "vec"))).alias("rows"))
+    return cut(rows.select("dim", "block", F.col("rows.id").alias("ids"), F.flatten("rows.vec").alias("vec")), name)
+
+
+def _block_top(queries: DataFrame, vectors: DataFrame, k: int, least: float, kind: str) -> DataFrame:
+    sides = [d.select(*(F.col(c).alias(f"{s}_{c}") for c in d.columns)) for s, d in (("a", queries), ("b", vectors))]
+    # So many tasks that each has few pairs of blocks.
+    # No equality in the join's condition: one length is the rule, and an equi-join would send all pairs to one task.
+    pairs = sides[0].repartition(max(queries.count(), 1)).crossJoin(sides[1]).where("abs(a_dim - b_dim) < 1")
+    near = pairs.mapInArrow(_block_neighbours(k, least), f"source {kind}, target {kind}, sim double")
+    return near.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("sim"), "target"))).where(F.col("n") <= k).drop("n")
+
+
 def semantic_edges(vectors: DataFrame, k: int = NEIGHBOURS, least: float = LEAST_SIMILARITY) -> DataFrame:
     """(source, target, sim): every vector (id, vec; unit length) with its k most similar ones of at least `least`, ties by target, each
     unordered pair once; the source is the smaller id of those that have the other among theirs. Null and empty vectors have no edges,
@@ -232,17 +249,8 @@ def semantic_edges(vectors: DataFrame, k: int = NEIGHBOURS, least: float = LEAST
 
     Exact, as the graph asks for: blocks of BLOCK vectors meet in pairs, so the products grow with the square of the vectors.
     """
-    v = vectors.where("size(vec) > 0").select("id", F.col("vec").cast("array<double>").alias("vec"), F.size("vec").alias("dim"))
-    n = -(-v.count() // BLOCK) or 1
-    rows = v.groupBy("dim", F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("id", "vec"))).alias("rows"))
-    packed = cut(rows.select("dim", "block", F.col("rows.id").alias("ids"), F.flatten("rows.vec").alias("vec")), "vector-blocks")
-    sides = [packed.select(*(F.col(c).alias(f"{s}_{c}") for c in packed.columns)) for s in "ab"]
-    # So many tasks that each has few pairs of blocks.
-    # No equality in the join's condition: one length is the rule, and an equi-join would send all pairs to one task.
-    pairs = sides[0].repartition(n).crossJoin(sides[1]).where("abs(a_dim - b_dim) < 1")
-    kind = vectors.schema["id"].dataType.simpleString()
-    near = pairs.mapInArrow(_block_neighbours(k, least), f"source {kind}, target {kind}, sim double")
-    near = near.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("sim"), "target"))).where(F.col("n") <= k)
+    packed = _packed(vectors, "vector-blocks")
+    near = _block_top(packed, packed, k, least, vectors.schema["id"].dataType.simpleString())
     once = near.groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.min("source").alias("source"), F.first("sim").alias("sim"))
     return once.select("source", F.when(F.col("source") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("target"), "sim")
 

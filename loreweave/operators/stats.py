@@ -18,14 +18,27 @@ def percentile(values: Column, p: float) -> Column:
 
 
 def percentiles(calls: DataFrame, keys: list[str], value: str = "dur_ms") -> DataFrame:
-    """p50 and p95 per key from counts of distinct values: no group's values meet in one row."""
+    """p50 and p95 per key, exact, without a group's values in one row or one task: distinct values are counted, their counts summed in bins of
+    a thousandth of an octave, and values in order are only those of the bin that holds the rank."""
     from pyspark.sql.window import Window
 
-    counts = calls.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    v = F.col(value).cast("double")
+    counts = calls.where(F.col(value).isNotNull()).groupBy(*keys, v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("bin", F.floor(F.signum("v") * F.log2(1 + F.abs("v")) * 1024))
+    # As many rows for a key as its values span bins: some ten thousand.
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    ranked = counts.withColumn("upto", F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
-    at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.lit(p) / 100 * (F.col("all") - 1)), F.col(value)))
-    return ranked.groupBy(*keys).agg(at(50).alias("p50"), at(95).alias("p95"))
+    bins = counts.groupBy(*keys, "bin").agg(F.sum("n").alias("m"))
+    bins = bins.withColumns({"upto": F.sum("m").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("m").over(w)})
+    ranks = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.floor(F.lit(p) / 100 * (F.col("all") - 1)).alias("rank")) for p in (50, 95))))
+    held = bins.withColumn("r", ranks).where("upto > r.rank and upto - m <= r.rank")
+    held = held.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col("bin").alias("b"), "r.p", "r.rank", (F.col("upto") - F.col("m")).alias("below"))
+    same = F.col("bin") == F.col("b")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"k{i}"))
+    near = counts.join(held, same)
+    upto = F.col("below") + F.sum("n").over(Window.partitionBy(*keys, "p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumn("upto", upto).where("upto > rank")
+    return near.groupBy(*keys).agg(*(F.min(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in (50, 95)))
 
 
 def _within(calls: DataFrame, now_ms: int, window: str) -> DataFrame:

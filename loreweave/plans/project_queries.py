@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import rules
+from ..functions import looks, rules, text
 from ..operators import code, graph, library, memory, ranking, reconcile, stats, suggest
 from ..sources import files as sources
-from . import text_queries
+from . import store_queries, text_queries
 from .views import NOW_MS, TASK, Views, with_views
 
 QUERIES, SQL = {}, {}
@@ -109,7 +109,7 @@ def capture_contexts(v: Views):
     prompts = v.turns.where("role = 'user'").select("session", "turn", "text", F.lit(None).cast("string").alias("snippet"))
     x = memory.capture_contexts(own, at, v.turns.where("session % 3 > 0"), prompts)
     turns = F.col("context.turns")
-    return x.select("id", "context.kind", F.coalesce(F.size(turns), F.lit(0)).cast("long").alias("n"), F.array_min(F.transform(turns, lambda t: t["turn"])).alias("lo"), F.array_max(F.transform(turns, lambda t: t["turn"])).alias("hi"), F.sha2("context.user_turn", 256).alias("user_turn"))
+    return x.select("id", "context.kind", F.coalesce(F.size(turns), F.lit(0)).cast("long").alias("n"), F.array_min(F.transform(turns, lambda x: x["turn"])).alias("lo"), F.array_max(F.transform(turns, lambda t: t["turn"])).alias("hi"), F.sha2("context.user_turn", 256).alias("user_turn"))
 
 
 @query("recall_stores")
@@ -160,7 +160,23 @@ def graph_bridge(v: Views):
     return graph.build("bridge", {"memories": v.memories, "scope": v.scope, "files": files})[1]
 
 
-_SETUP = "CASE s_suppkey % 4 WHEN 0 THEN '[tool.x]\nwhere = [\"src\", ''lib'']' WHEN 1 THEN '[options]\npackage_dir =\n  = pkg' WHEN 2 THEN 'setup(package_dir={\"\": \"code\"})' ELSE 'nothing' END"
+_BY_TYPE = "CASE type " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in looks.TYPE_COLOURS.items()) + f" ELSE '{looks.OTHER}' END"
+
+
+@query(
+    "node_looks",
+    with_views(
+        "memories",
+        f"SELECT 'm' || id AS id, type AS category, {_BY_TYPE} AS colour, CASE WHEN type = 'capture' THEN 0.16 ELSE round(0.4 + 0.6 * confidence, 9) END::DOUBLE AS alpha, CASE WHEN type = 'capture' THEN 2.5 ELSE round(least(18.0, greatest(2.5, 2.0 + pinned::INT * 7 + log2(get_count + 1) * 2.2 + confidence * 6)), 6) END::DOUBLE AS size FROM memories "
+        "UNION ALL SELECT 'k' || i, k, c, 0.95, z FROM (VALUES (0, 'project', '#ffd11a', 12.0), (1, 'dir', '#2ee6e6', 8.0), (2, 'file', '#39d0ff', 5.0), (3, 'symbol', '#c77dff', 4.0)) x(i, k, c, z)",
+    ),
+)
+def node_looks(v: Views):
+    """Category, colour, brightness and size of all records, and of a node of each other kind."""
+    m = v.memories.select(F.concat(F.lit("m"), "id").alias("id"), F.lit("memory").alias("kind"), "type", "confidence", "pinned", "get_count")
+    kinds = v.spark.range(4).select(F.concat(F.lit("k"), "id").alias("id"), F.element_at(F.array(*map(F.lit, ("project", "dir", "file", "symbol"))), (F.col("id") + 1).cast("int")).alias("kind"))
+    both = m.unionByName(kinds, allowMissingColumns=True)
+    return both.select("id", looks.node_category().alias("category"), looks.node_colour().alias("colour"), F.round(looks.node_alpha(), 9).alias("alpha"), F.round(looks.node_size(), 6).alias("size"))
 
 
 @query("package_roots", "SELECT s_suppkey AS repo, unnest(CASE s_suppkey % 4 WHEN 0 THEN ['src', 'lib'] WHEN 1 THEN ['pkg'] WHEN 2 THEN ['code'] ELSE [''] END) AS root FROM supplier")
@@ -207,3 +223,66 @@ def indexed_search(v: Views):
     """The match set from a stored inverted index."""
     t = v.table("documents").select("source", F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     return library.full_text(library.inverted_index(t), "the of", limit=1 << 30).select("source", "id")
+
+
+# -- small column functions ---------------------------------------------------------------------------------------------
+_PATCH = "'*** Begin Patch' || chr(10) || '*** Update File: src/' || doc_id || '.ts' || chr(10) || '@@ x' || chr(10) || '*** Add File: a b' || (doc_id % 3) || chr(10) || '*** Update File: src/' || doc_id || '.ts' || chr(10) || '*** Move to: ' || source || '/n' || chr(10) || ' *** Delete File: no' || chr(10) || '*** End Patch'"
+
+
+@query("patch_paths", rf"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all({_PATCH}, '(?m)^\*\*\* (?:Add File|Update File|Delete File|Move to): (.+)$', 1))), ',') AS paths FROM documents")
+def patch_paths(v: Views):
+    """Paths of a patch made of each document."""
+    patch = F.expr(_PATCH.replace("||", ",").join(("concat(", ")")))
+    return v.table("documents").select("doc_id", F.array_join(F.array_sort(text.patch_paths(patch)), ",").alias("paths"))
+
+
+@query("safe_messages", r"SELECT doc_id, sha256(substring(trim(regexp_replace(coalesce(text, ''), '[ \t\n\v\f\r]+', ' ', 'g')), 1, 300)) AS message, CASE WHEN doc_id % 3 = 0 THEN 'a.b:' || doc_id END AS tag FROM documents")
+def safe_messages(v: Views):
+    """Messages and tags fit for a log."""
+    tag = F.concat(F.lit("a.b:"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(" x"))
+    return v.table("documents").select("doc_id", F.sha2(text.safe_message(F.coalesce("text", F.lit(""))), 256).alias("message"), text.safe_tag(tag).alias("tag"))
+
+
+@query("tool_summaries", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN left('run ' || repeat('x', (event_id % 200)::INT), 120) WHEN 1 THEN 'f' || event_id WHEN 2 THEN 'p' || event_id END AS summary FROM events")
+def tool_summaries(v: Views):
+    """A line for each call of a tool."""
+    i = F.col("event_id").cast("string")
+    quoted = lambda k, x: F.concat(F.lit(f'{{"{k}": "'), x, F.lit('"}'))
+    args = F.when(F.col("event_id") % 4 == 0, quoted("command", F.concat(F.lit("run "), F.expr("repeat('x', cast(event_id % 200 as int))")))).when(F.col("event_id") % 4 == 1, F.concat(F.lit('{"path": "no", "file_path": "f'), i, F.lit('"}'))).when(F.col("event_id") % 4 == 2, quoted("pattern", F.concat(F.lit("p"), i))).otherwise(F.lit('{"other": 1}'))
+    return v.table("events").select("event_id", text.tool_summary(F.when(F.col("event_id") % 4 == 0, "Bash").otherwise("Read"), args).alias("summary"))
+
+
+_EXTENSIONS = ("ts", "PY", "h", "hpp", "c", "mjs", "md", "cxx")
+
+
+@query(
+    "languages",
+    f"SELECT p_partkey, (['typescript', 'python', 'c', 'cpp', 'c', 'typescript', NULL, 'cpp'])[p_partkey % 8 + 1] AS language, CASE WHEN p_partkey % 8 IN (2, 3) THEN 'x' || p_partkey || '.c,x' || p_partkey || '.cc,x' || p_partkey || '.cpp,x' || p_partkey || '.cxx' ELSE '' END AS companions FROM part",
+)
+def languages(v: Views):
+    """Language of paths, and the sources that may belong to headers."""
+    path = F.concat(F.lit("x"), F.col("p_partkey").cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, _EXTENSIONS)), (F.col("p_partkey") % 8 + 1).cast("int")))
+    return v.table("part").select("p_partkey", text.language(path).alias("language"), F.array_join(text.companion_sources(path), ",").alias("companions"))
+
+
+@query("retention_days", "SELECT p_partkey, least(greatest(CASE WHEN p_partkey % 7 > 0 THEN p_partkey % 130 - 20 ELSE 30 END, 0), 90)::INT AS days FROM part")
+def retention_days(v: Views):
+    """Days of retention within their bounds."""
+    asked = F.when(F.col("p_partkey") % 7 > 0, (F.col("p_partkey") % 130 - 20).cast("int"))
+    return v.table("part").select("p_partkey", text.retention_days(asked).cast("int").alias("days"))
+
+
+@query("blast_tiers", f"SELECT target, key, hop, split_part(key, '::', 1) AS file, split_part(key, '::', 2) AS name, false AS exported FROM ({store_queries.SQL['blast_radius']})")
+def blast_tiers(v: Views):
+    """Callers of each region with file and name."""
+    none = v.spark.createDataFrame([], "file string, qualified_name string, exported boolean")
+    targets = v.table("region").select(F.concat(F.lit("region::r"), F.col("r_regionkey").cast("string")).alias("target"))
+    return graph.blast_report(v.calls, none, targets).select("target", "key", "hop", "file", "name", "exported")
+
+
+@query("project_graph", f"SELECT 'node' AS part, 'file' AS kind, count(*) AS n FROM part UNION ALL SELECT 'edge', 'imports', count(*) FROM ({store_queries.SQL['file_edges']})")
+def project_graph(v: Views):
+    """Nodes and edges of the whole project by kind, without its symbols."""
+    nodes, edges = graph.project_graph(v.files, v.imports, v.functions, v.file_calls.withColumn("kind", F.lit("call")), "off")
+    count = lambda df, part, kind: df.groupBy(F.lit(part).alias("part"), F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return count(nodes, "node", "kind").unionByName(count(edges, "edge", "rel"))

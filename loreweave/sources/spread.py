@@ -12,5 +12,5 @@ def spread(df: DataFrame) -> DataFrame:
     """df over all cores, if by Spark's estimate it is so small that it may lie in fewer row groups than there are cores: a row group is read by
     one task. Larger tables stay as they are, without a shuffle. For work that costs more than moving the rows."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * BYTES_EACH else df
