@@ -237,7 +237,7 @@ def is_tag(word: Column) -> Column:
 
 def patch_paths(patch: Column | str) -> Column:
     """Distinct paths of a patch envelope, in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(_c(patch), F.lit(r"(?m)^\*\*\* (?:Add File|Update File|Delete File|Move to): (.+)$"), 1), F.trim))
+    return F.array_distinct(F.transform(F.regexp_extract_all(_c(patch), F.lit(r"(?m)^\*\*\* (?:Add File|Update File|Delete File|Move to): (.+)$"), 1), lambda x: F.trim(x)))
 
 
 def doc_type(path: Column | str) -> Column:
