@@ -14,6 +14,7 @@ from ..functions import text as t
 
 SYMBOL_LIMIT = 3500
 LEAST_SIMILARITY, NEIGHBOURS = 0.65, 2
+_own_dir: list[str] = []
 #: Vectors in a block of the search for edges.
 BLOCK = 256
 
@@ -22,11 +23,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the folder of spark.checkpoint.dir: a loop's lineage ends there. Where that is unset, in a temporary folder on a local
     master; on a cluster that is an error, as its machines don't see each other's folders."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="loreweave-"))
-    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not _own_dir:
+            _own_dir.append(tempfile.mkdtemp(prefix="loreweave-"))
+        folder = _own_dir[0]
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

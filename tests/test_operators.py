@@ -457,3 +457,22 @@ def test_registry_and_stores(spark):
     assert sorted(map(tuple, kept.collect())) == [(1, "a"), (2, "c")]
     with pytest.raises(ValueError):
         graph.build("round", {})
+
+
+def test_tables_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    session = lambda **conf: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)))
+    read = lambda s: SimpleNamespace(schema=lambda _: SimpleNamespace(parquet=lambda path: path))
+    wrote = []
+
+    def table(**conf):
+        s = session(**conf)
+        s.read = read(s)
+        return SimpleNamespace(sparkSession=s, schema=None, write=SimpleNamespace(parquet=wrote.append))
+
+    assert graph.cut(table(**{"spark.checkpoint.dir": "file:///shared/"}), "x").startswith("file:///shared/x-")
+    assert "loreweave-" in graph.cut(table(**{"spark.master": "local[4]"}), "x") and len(wrote) == 2
+    for master in ("yarn", "local-cluster[3,2,1024]", "spark://h:7077"):
+        with pytest.raises(RuntimeError):
+            graph.cut(table(**{"spark.master": master}), "x")
