@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A batch of rows for Python ends after so many bytes.
 BATCH_BYTES = 4 << 20
+_own_dir: list[str] = []
 _places: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
@@ -37,8 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.conf.get("spark.master", "")
         if not re.fullmatch(r"local(\[[^\]]*\])?", master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        place = tempfile.mkdtemp(prefix="loreweave-")
-        spark.conf.set("spark.checkpoint.dir", place)
+        if not _own_dir:
+            _own_dir.append(tempfile.mkdtemp(prefix="loreweave-"))
+        place = _own_dir[0]
     return place.rstrip("/")
 
 

@@ -287,3 +287,15 @@ def test_few_rows_move(spark):
     away = sum(p["hi"] - p["lo"] for p in pieces if p["shard"] != owners[p["segment"]])
     home = {s: sum(10 for o in owners if o == s) for s in range(8)}
     assert away == sum(max(0, n - 320) for n in home.values())
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from loreweave.llm.common import shared_dir
+
+    session = lambda **conf: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)))
+    assert shared_dir(session(**{"spark.checkpoint.dir": "hdfs://x/y/", "spark.master": "yarn"})) == "hdfs://x/y"
+    assert shared_dir(session(**{"spark.master": "local[*]"})) == shared_dir(session(**{"spark.master": "local"}))
+    with pytest.raises(RuntimeError):
+        shared_dir(session(**{"spark.master": "local-cluster[3,2,1024]"}))
