@@ -25,8 +25,8 @@ from .common import cut, small_batches, with_row_id
 from .words import Words, slices, split_words, text_bytes, tidied
 
 BUCKETS, DIMS, GRID_BITS = 256, 4, 10
-#: Distinct chunks of text that a worker remembers the tokens of.
-CACHE = 400_000
+#: Distinct chunks of text that a worker remembers the tokens of, and bytes of text that are looked up in it together.
+CACHE, TOGETHER = 400_000, 2 << 20
 
 _PROJECTION = np.random.default_rng(11).standard_normal((BUCKETS, DIMS))
 _encoders: dict[tuple, Encoder] = {}
@@ -154,7 +154,7 @@ def _encode(path: str, end: int):
         encode = encoder(path, end)
         wide = encode.tokenizer.get_vocab_size() > 1 << 16 or end >= 1 << 16
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TOGETHER):
                 ids, first, vectors = encode(part.column("text"))
                 raw = ids.astype("<u4" if wide else "<u2").tobytes()
                 w = 4 if wide else 2
