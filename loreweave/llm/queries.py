@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..sources.spread import spread
 from . import contamination as benchmarks
-from . import chat, html_text, licences, packing, pseudonyms, quality, sharding, warc
+from . import chat, html_text, kmeans, licences, merkle, packing, pseudonyms, quality, sharding, token_counts, warc
 from .common import UPPER, table
 from .minhash import near_duplicates
 
 #: Production parameters of the queries.
 TOKENIZER_FILE = "word_bpe_49k.json"
+COUNTED_FILE = "piece_bpe_32k.model"
 PSEUDONYM_KEY = "loreweave-demonstration-key"
 
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -63,11 +64,11 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(spread(table(spark, sf_dir, "documents"))).drop("matches")
 
 
-def tokenizer_path() -> str:
-    """Where the public vocabulary is; the path is a parameter of the packing operator."""
+def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
+    """Where a public vocabulary is; the path is a parameter of the operators that read it."""
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER_FILE)
+    return public_tokenizers.path(name)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +81,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.normalise(warc.write_archives(table(spark, sf_dir, "pages"))))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of all documents, and whether altered texts are found out."""
+    return merkle.audit(spread(table(spark, sf_dir, "documents")))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents."""
+    return token_counts.count_tokens(spread(table(spark, sf_dir, "documents")), tokenizer_path(COUNTED_FILE), limit=4096)
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors in 8 clusters after 10 rounds."""
+    return kmeans.clusters(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed="3:")
+
+
 def _licence_sql() -> str:
     """Phrases by joined words, templates by distinct words of each block."""
     quote = lambda x: "'" + x + "'"
@@ -110,6 +126,53 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base,
 FROM w LEFT JOIN b USING (doc_id) LEFT JOIN mm USING (doc_id)"""
 
 
+def _merkle_sql() -> str:
+    """The same trees by recursion over levels, and each row's way up by recursion over its runs."""
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: f"sha256({' || '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+    crc = "xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, c: list_reduce(list_concat([xor(a, c)], range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+    tree = lambda name, start: f"""{name}(g, lv, i, h) AS (SELECT g, 0, i, h FROM {start} UNION ALL
+  SELECT g, lv + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {name}) WHERE n > 1 GROUP BY g, lv, i // 8),
+{name}_runs AS (SELECT g, lv, i // 8 AS run, list(h ORDER BY i) AS hs FROM (SELECT *, max(lv) OVER (PARTITION BY g) AS top FROM {name}) WHERE lv < top GROUP BY g, lv, i // 8),
+{name}_tops AS (SELECT g, max_by(h, lv) AS h FROM {name} GROUP BY g)"""
+    climb = lambda name, tree, start: f"""{name}(k, g, lv, i, cur, proof) AS (SELECT * FROM {start} UNION ALL
+  SELECT k, f.g, f.lv + 1, f.i // 8, sha256(array_to_string(list_concat(hs[1:f.i % 8], [cur], hs[f.i % 8 + 2:]), '')), proof || array_to_string(list_concat(hs[1:f.i % 8], hs[f.i % 8 + 2:]), '')
+  FROM {name} f JOIN {tree}_runs r ON r.g = f.g AND r.lv = f.lv AND r.run = f.i // 8),
+{name}_ends AS (SELECT k, any_value(g) AS g, max_by(cur, lv) AS cur, max_by(proof, lv) AS proof FROM {name} GROUP BY k)"""
+    return f"""
+WITH RECURSIVE d AS (SELECT *, coalesce('=' || lang, '') AS g, translate(text, '{UPPER}', '{UPPER.lower()}') AS low, {crc} % 3 = 0 AS hit FROM documents),
+l AS (SELECT doc_id, g, {leaf('text')} AS h, {leaf('CASE WHEN hit THEN low ELSE text END')} AS changed FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, row_number() OVER () AS k FROM l),
+{tree('t', 'r')},
+s AS (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, h, g AS name FROM t_tops),
+{tree('u', 's')},
+{climb('f', 't', "(SELECT k, g, 0, i, changed, '' FROM r)")},
+{climb('c', 'u', "(SELECT k, '', 0, s.i, cur, proof FROM f_ends e JOIN s ON s.name = e.g)")}
+SELECT doc_id, r.h AS leaf, t_tops.h AS subroot, u_tops.h AS root, sha256(c_ends.proof) AS proof_sha256, c_ends.cur AS folded_root, c_ends.cur = u_tops.h AS verified
+FROM r JOIN t_tops USING (g) JOIN c_ends USING (k) CROSS JOIN u_tops"""
+
+
+def _kmeans_sql() -> str:
+    """Ten rounds, each a step of nearest centroids and one of means; products are whole numbers below 2 ** 53."""
+    nearest = lambda c: f"""SELECT k, vec_id, x, min_by(c, (dist, c)) AS c, min(dist) AS dist
+  FROM (SELECT v.k, v.vec_id, v.x, c.c, (list_dot_product(v.x, v.x) - 2 * list_dot_product(v.x, c.x) + list_dot_product(c.x, c.x))::BIGINT AS dist FROM v, {c} c) GROUP BY k, vec_id, x"""
+    steps = [
+        f"""a{r} AS MATERIALIZED ({nearest(f'c{r}')}),
+m{r} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY j) AS x FROM (SELECT c, j, sum(e)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(x)::BIGINT AS e, unnest(range(64)) AS j FROM a{r}) GROUP BY c, j) GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(m{r}.x, c{r}.x) AS x FROM c{r} LEFT JOIN m{r} USING (c))"""
+        for r in range(10)
+    ]
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e::DOUBLE))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h, x FROM v ORDER BY h, x LIMIT 8)),
+{', '.join(steps)},
+f AS MATERIALIZED ({nearest('c10')})
+SELECT vec_id, f.c::INTEGER AS cluster, dist AS distance, (sum(dist) OVER (PARTITION BY f.c))::BIGINT AS cluster_inertia, (sum(dist) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c10.x, lambda e: e::BIGINT::VARCHAR), ',')) AS centroid_sha256
+FROM f JOIN c10 ON c10.c = f.c"""
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_html_text": op2_html_text,
@@ -121,6 +184,9 @@ QUERIES = {
     "op8_licences": op8_licences,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
+    "op11_merkle": op11_merkle,
+    "op12_token_counts": op12_token_counts,
+    "op13_clusters": op13_clusters,
 }
 
 SQL = {
@@ -177,4 +243,6 @@ WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
 m AS (SELECT payload_digest, min(page_id) AS f FROM p WHERE payload_bytes >= 100 GROUP BY ALL)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN f < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN f < page_id THEN f END AS refers_to
 FROM p LEFT JOIN m USING (payload_digest)""",
+    "op11_merkle": _merkle_sql(),
+    "op13_clusters": _kmeans_sql(),
 }

@@ -7,7 +7,7 @@ import pytest
 
 from loreweave.llm.queries import QUERIES, SQL
 
-TABLES = "documents pages benchmark conversations".split()
+TABLES = "documents pages benchmark conversations embeddings".split()
 
 
 def rows(df):
