@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,10 +19,9 @@ _own_dir: list[str] = []
 BLOCK = 256
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir: a loop's lineage ends there. Where that is unset, in a temporary folder on a local
-    master; on a cluster that is an error, as its machines don't see each other's folders."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one on a local master; on a cluster that is an error, as its
+    machines don't see each other's folders."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
@@ -30,9 +29,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="loreweave-"))
         folder = _own_dir[0]
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: a loop's lineage ends there."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def blast_radius(calls: DataFrame, targets: DataFrame, max_hops: int = 5) -> DataFrame:

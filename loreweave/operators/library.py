@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import functools
-import operator
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as t
+from .search import POOL, _root, full_text, search_index, search_texts, top, write_index  # noqa: F401
+from .search import porter as _porter  # noqa: F401
+from .search import postings as inverted_index  # noqa: F401
 
 MOST_CHARS, OVERLAP = 1800, 200
-RRF, POOL, TOP, BOOST, SNIPPET = 60, 50, 8, 0.1, 400
-K1, B = 1.2, 0.75
+RRF, TOP, BOOST, SNIPPET = 60, 8, 0.1, 400
 DIM = 384
 PASSAGE = "doc_id string, ordinal int, heading_path array<string>, text string, line_start int, line_end int"
 
@@ -73,138 +72,12 @@ def passages(docs: DataFrame, most: int = MOST_CHARS, overlap: int = OVERLAP) ->
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("body", F.lit("")).alias("body")).mapInPandas(_passages(most, overlap), PASSAGE)
 
 
-def _porter(word: str) -> str:
-    """Stem of an English word by the published Porter algorithm."""
-    if len(word) <= 2 or not word.isascii() or not word.isalpha():
-        return word
-    vowel = lambda w, i: w[i] in "aeiou" or w[i] == "y" and i > 0 and not vowel(w, i - 1)
-    shape = lambda w: "".join("v" if vowel(w, i) else "c" for i in range(len(w)))
-
-    def measure(w):
-        s = shape(w)
-        return sum(a == "v" and b == "c" for a, b in zip(s, s[1:], strict=False))
-
-    def cvc(w):
-        return len(w) >= 3 and shape(w)[-3:] == "cvc" and w[-1] not in "wxy"
-
-    def swap(w, pairs, least):
-        for end, new in pairs:
-            if w.endswith(end):
-                stem = w[: len(w) - len(end)]
-                return (stem + new, True) if measure(stem) > least else (w, True)
-        return w, False
-
-    w = word
-    for end, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
-        if w.endswith(end):
-            w = w[: len(w) - len(end)] + new
-            break
-    if w.endswith("eed"):
-        w = w[:-1] if measure(w[:-3]) > 0 else w
-    else:
-        for end in ("ed", "ing"):
-            stem = w[: len(w) - len(end)]
-            if w.endswith(end) and "v" in shape(stem):
-                w = stem
-                if w.endswith(("at", "bl", "iz")):
-                    w += "e"
-                elif len(w) > 1 and w[-1] == w[-2] and shape(w)[-1] == "c" and w[-1] not in "lsz":
-                    w = w[:-1]
-                elif measure(w) == 1 and cvc(w):
-                    w += "e"
-                break
-    if w.endswith("y") and "v" in shape(w[:-1]):
-        w = w[:-1] + "i"
-    two = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
-    three = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
-    for table in (two, three):
-        w, _ = swap(w, [p.split(":") for p in table.split()], 0)
-    for end in "ement ance ence able ible ment ant ent ism ate iti ous ive ize ion al er ic ou".split():
-        if w.endswith(end):
-            stem = w[: len(w) - len(end)]
-            if measure(stem) > 1 and (end != "ion" or stem.endswith(("s", "t"))):
-                w = stem
-            break
-    if w.endswith("e") and (measure(w[:-1]) > 1 or measure(w[:-1]) == 1 and not cvc(w[:-1])):
-        w = w[:-1]
-    return w[:-1] if w.endswith("ll") and measure(w) > 1 else w
-
-
-def stems(words: DataFrame) -> DataFrame:
-    """(word, stem) of distinct words: each word is stemmed once, however often it stands in texts."""
-
-    @F.pandas_udf("string")
-    def porter(w: pd.Series) -> pd.Series:
-        return w.map(_porter)
-
-    return words.select("word").distinct().select("word", porter("word").alias("stem"))
-
-
-def _words(df: DataFrame, column: str) -> DataFrame:
-    return df.select("*", F.posexplode(F.filter(F.split(F.lower(column), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("pos", "word"))
-
-
-def inverted_index(texts: DataFrame) -> DataFrame:
-    """(source, id, term, tf) of texts (source, id, text), stemmed."""
-    w = _words(texts, "text").groupBy("source", "id", "word").agg(F.count(F.lit(1)).alias("n"))
-    return w.join(stems(w), "word").groupBy("source", "id", F.col("stem").alias("term")).agg(F.sum("n").alias("tf"))
-
-
-def _terms(spark, query: str) -> list[str]:
-    """Stems of a query's words; a plan's parameter."""
-    return sorted({_porter(r.word) for r in _words(spark.range(1).select(F.lit(query).alias("q")), "q").select("word").collect()})
-
-
-def _root(stem: str) -> str:
-    """What every word with this stem begins with: rules take endings off, and put back no more than an e, an i for a y, or ble for bility."""
-    return stem[:-2] if stem.endswith("ble") else stem[:-1] if stem.endswith(("i", "e", "bl")) else stem
-
-
-def _ranked(hits: DataFrame, size: DataFrame, terms: list[str], limit: int) -> DataFrame:
-    """Texts with all terms among hits (source, id, term, tf), by BM25. size: (source, id, len) of all texts with a word."""
-    stats = size.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg"))
-    df = hits.groupBy("source", "term").agg(F.count(F.lit(1)).alias("df"))
-    x = hits.join(df, ["source", "term"]).join(size, ["source", "id"]).join(stats, "source")
-    idf = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + F.lit(K1) * (1 - B + F.lit(B) * F.col("len") / F.col("avg")))
-    scored = x.groupBy("source", "id").agg(F.sum(weight).alias("score"), F.count(F.lit(1)).alias("n")).where(F.col("n") == len(terms))
-    return _top(scored, limit)
-
-
-def _top(scored: DataFrame, limit: int) -> DataFrame:
-    """The best `limit` of each source, ranks from 0. The bound on the row number is one that Spark applies before the shuffle too."""
-    w = Window.partitionBy("source").orderBy(F.desc("score"), "id")
-    best = scored.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit)
-    return best.select("source", "id", (F.col("n") - 1).alias("rank"), "score")
-
-
-def full_text(index: DataFrame, query: str, limit: int = POOL) -> DataFrame:
-    """(source, id, rank, score): texts that hold all terms of the query, best BM25 first within each source, `limit` of each; from a stored inverted_index."""
-    terms = _terms(index.sparkSession, query)
-    size = index.groupBy("source", "id").agg(F.sum("tf").alias("len"))
-    return _ranked(index.where(F.col("term").isin(*terms)), size, terms, limit)
-
-
-def search_texts(texts: DataFrame, query: str, limit: int = POOL) -> DataFrame:
-    """What full_text gives, from texts (source, id, text) without an index: texts are read once, and only words that can have a stem of the query are counted and stemmed."""
-    terms = _terms(texts.sparkSession, query)
-    words = texts.select("source", "id", F.explode(F.array(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("w"))  # a generator, so that words are split once
-    edge = lambda k: (F.element_at("w", k) == "").cast("int")
-    length = (F.size("w") - F.when(F.size("w") > 1, edge(1) + edge(-1)).otherwise(edge(1))).cast("long").alias("len")
-    roots = sorted({_root(x) for x in terms})
-    some = F.filter("w", lambda x: functools.reduce(operator.or_, (x.startswith(r) for r in roots), F.lit(False)))
-    rows = words.select("source", "id", length, some.alias("w")).where("len > 0")
-    n = rows.select("source", "id", F.explode("w").alias("word")).groupBy("source", "id", "word").agg(F.count(F.lit(1)).alias("n"))
-    hits = n.join(stems(n).where(F.col("stem").isin(*terms)), "word").groupBy("source", "id", F.col("stem").alias("term")).agg(F.sum("n").alias("tf"))
-    return _ranked(hits, rows.select("source", "id", "len"), terms, limit)
-
-
 def vector_top(vectors: DataFrame, query: list[float], limit: int = POOL) -> DataFrame:
     """(source, id, rank, score): the nearest vectors of each source by dot product."""
     from .memory import dot
 
     scored = vectors.select("source", "id", dot(F.array(*map(F.lit, query)), F.col("vec")).alias("score"))
-    return _top(scored, limit)
+    return top(scored, limit)
 
 
 def rrf(*ranked: DataFrame, k: int = RRF, first: int = 0) -> DataFrame:
@@ -222,18 +95,18 @@ def min_max(scores: DataFrame, column: str, name: str = "norm") -> DataFrame:
     return x.withColumn(name, (F.col(column) - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0)).drop("lo", "hi")
 
 
-def hybrid(index: DataFrame, vectors: DataFrame | None, query: str, vector: list[float] | None, sources: DataFrame, docs: DataFrame, repo: str | None = None, top: int = TOP) -> DataFrame:
+def hybrid(index: DataFrame, vectors: DataFrame | None, query: str, vector: list[float] | None, sources: DataFrame, docs: DataFrame, repo: str | None = None, most: int = TOP, sizes: DataFrame | None = None) -> DataFrame:
     """(source, id, score): full-text and vector rankings fused, scaled, lifted for sources of the same repository and by the document's value; full text alone without a vector.
 
     sources (source, repo, status), docs (source, id, doc_type, status_header, pinned).
     """
     ok = sources.where("status = 'ok'")
-    ranked = [full_text(index, query)] + ([vector_top(vectors, vector)] if vectors is not None and vector is not None else [])
+    ranked = [full_text(index, query, sizes=sizes)] + ([vector_top(vectors, vector)] if vectors is not None and vector is not None else [])
     fused = min_max(rrf(*ranked).join(ok.select("source", "repo"), "source"), "rrf")
     own = F.when(F.col("repo") == repo, BOOST).otherwise(0.0) if repo is not None else F.lit(0.0)
     out = fused.join(docs, ["source", "id"])
     score = F.col("norm") + own + t.value_weight("doc_type", "status_header", "pinned")
-    return out.select("source", "id", score.alias("score")).orderBy(F.desc("score"), "source", "id").limit(top)
+    return out.select("source", "id", score.alias("score")).orderBy(F.desc("score"), "source", "id").limit(most)
 
 
 def snippet(text) -> F.Column:

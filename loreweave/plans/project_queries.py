@@ -218,11 +218,10 @@ def indexed_doc_score(v: Views):
     return ranking.indexed_doc_scores(ranking.token_index(v.docs), ranking.task_tokens(v.spark, TASK))
 
 
-@query("indexed_search", "WITH d AS (SELECT source, doc_id AS id, string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+') AS w FROM documents) SELECT source, id FROM d WHERE (list_contains(w, 'the') OR list_contains(w, 'thes')) AND (list_contains(w, 'of') OR list_contains(w, 'ofs'))")
+@query("indexed_search", store_queries.SQL["full_text"])
 def indexed_search(v: Views):
-    """The match set from a stored inverted index."""
-    t = v.table("documents").select("source", F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return library.full_text(library.inverted_index(t), "the of", limit=1 << 30).select("source", "id")
+    """The match set from a stored index."""
+    return library.search_index(v.spark, v.stored_texts(), "the of", limit=1 << 30).select("source", "id")
 
 
 # -- small column functions ---------------------------------------------------------------------------------------------

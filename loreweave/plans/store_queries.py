@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import graph, history, library, lifecycle, memory, reconcile, stats
+from ..operators import graph, history, library, lifecycle, memory, reconcile, search, stats
 from ..sources.spread import spread
 from .text_queries import _NT, TAGS_SQL, _re
 from .views import DAY_MS, NOW_MS, Views, with_views
@@ -492,11 +492,37 @@ def passages(v):
     return library.passages(v.docs.select(F.col("path").alias("doc_id"), "body"))
 
 
-@query("full_text", "WITH d AS (SELECT source, doc_id AS id, string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+') AS w FROM documents) SELECT source, id FROM d WHERE (list_contains(w, 'the') OR list_contains(w, 'thes')) AND (list_contains(w, 'of') OR list_contains(w, 'ofs'))")
+_WORDS = "WITH d AS (SELECT source, doc_id AS id, list_filter(string_split_regex(strip_accents(lower(coalesce(text, ''))), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents)"
+
+
+def _phrase_sql(*forms: str) -> str:
+    """Whether words of these forms stand one after the other; a form is a pattern of whole words."""
+    at = " AND ".join(f"regexp_full_match(coalesce(w[i + {k}], ''), '{f}')" for k, f in enumerate(forms))
+    return f"len(list_filter(range(1, len(w) + 1), lambda i: {at})) > 0"
+
+
+@query("full_text", f"{_WORDS} SELECT source, id FROM d WHERE {_phrase_sql('thes?')} AND {_phrase_sql('ofs?')}")
 def full_text(v):
     """Documents that hold all terms (the match set; the score is ours)."""
-    t = spread(v.table("documents")).select("source", F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return library.search_texts(t, "the of", limit=1 << 30).select("source", "id")
+    return library.search_texts(spread(v.texts), "the of", limit=1 << 30).select("source", "id")
+
+
+@query("full_text_phrase", f"{_WORDS} SELECT source, id FROM d WHERE {_phrase_sql('thes?', 'ofs?')} AND {_phrase_sql('it')}")
+def full_text_phrase(v):
+    """Documents in which the words of a hyphenated part stand side by side, from the texts."""
+    return library.search_texts(spread(v.texts), "the-of it", limit=1 << 30).select("source", "id")
+
+
+@query("full_text_folded", f"{_WORDS} SELECT source, id FROM d WHERE {_phrase_sql('fur(s|ed|ing)?')} AND {_phrase_sql('cion(e?s)?', 'las?')}")
+def full_text_folded(v):
+    """Documents with accented words that a query spells without accents, or with others, from the stored index."""
+    return library.search_index(v.spark, v.stored_texts(), "Fur cion/LA", limit=1 << 30).select("source", "id")
+
+
+@query("indexed_phrase", f"{_WORDS} SELECT source, id FROM d WHERE {_phrase_sql('thes?', 'ofs?')} AND {_phrase_sql('it')}")
+def indexed_phrase(v):
+    """The same documents as full_text_phrase, by the places of words in the stored index."""
+    return library.search_index(v.spark, v.stored_texts(), "the-of it", limit=1 << 30).select("source", "id")
 
 
 _RANKS = "v AS (SELECT id, id % 3 AS source, vec FROM vectors), q AS (SELECT vec AS b FROM vectors WHERE id = 0), a AS (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY {dot} DESC, id) - 1 AS rank FROM v, q), l AS (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY id * 7919 % 1009, id) - 1 AS rank FROM v), r AS (SELECT source, id, sum(1 / (60.0 + rank)) AS rrf FROM (SELECT * FROM a WHERE rank < 50 UNION ALL SELECT * FROM l WHERE rank < 50) GROUP BY source, id)".format(dot=_DOT("v.vec", "q.b"))
@@ -526,11 +552,11 @@ def minmax(v):
 def library_hybrid(v):
     """Full text and vectors over all sources."""
     d = v.table("documents")
-    texts = d.select("source", F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     vec = v.vectors.join(d.select("source", F.col("doc_id").alias("id")), "id")
     sources = d.select("source").distinct().select("source", F.col("source").alias("repo"), F.lit("ok").alias("status"))
     docs = d.select("source", F.col("doc_id").alias("id"), F.lit("doc").alias("doc_type"), F.lit(None).cast("string").alias("status_header"), F.lit(False).alias("pinned"))
-    return library.hybrid(library.inverted_index(texts), vec, "the of", v.query_vector, sources, docs, "src1", 50)
+    index, sizes = search.read_index(v.spark, v.stored_texts(), "the of")
+    return library.hybrid(index, vec, "the of", v.query_vector, sources, docs, "src1", 50, sizes)
 
 
 @query("source_status", "SELECT source, count(*) AS docs, count(*) FILTER (doc_id % 9 = 0 OR doc_id % 10 = 0) AS stale FROM documents GROUP BY source")

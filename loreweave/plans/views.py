@@ -6,13 +6,18 @@ conversations are session turns, and orders, customers, suppliers, nations and r
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_dir
+from ..operators.search import write_index
 from ..sources.spread import spread
 
+_stored: dict[tuple[str, str], str] = {}
+
 #: 2024-01-31 00:00 UTC in milliseconds: the `now` of all queries.
 NOW_MS = 1_706_659_200_000
 DAY_MS = 86_400_000
@@ -33,6 +38,19 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stored_texts(self) -> str:
+        """Where the positional index of the documents is: written once for a session and a folder of tables, then read by every search."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _stored:
+            path = f"{shared_dir(self.spark)}/text-index-{uuid.uuid4().hex}"
+            write_index(self.texts, path)
+            _stored[key] = path
+        return _stored[key]
+
+    @property
+    def texts(self) -> DataFrame:
+        return self.table("documents").select("source", F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+
     # -- calls of tools -------------------------------------------------------------------------------------------------
     @property
     def tool_calls(self) -> DataFrame:
