@@ -400,7 +400,7 @@ def sweep_state(v):
     return lifecycle.sweep(_state(v), actions, NOW_MS, ["decision", "gotcha", "how-to", "constraint", "capture"]).state.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("lifecycle_batch", with_views("memories", "c AS (SELECT *, ['deprecate', 'restore', 'trash', 'untrash', 'confirm', 'update', 'pin'][id % 7 + 1] AS action FROM memories), g AS (SELECT *, CASE action WHEN 'deprecate' THEN status IN ('active', 'candidate') WHEN 'restore' THEN status = 'deprecated' WHEN 'trash' THEN status <> 'trashed' WHEN 'untrash' THEN status = 'trashed' WHEN 'confirm' THEN status = 'candidate' AND type <> 'capture' WHEN 'update' THEN status IN ('active', 'candidate') ELSE (SELECT count(*) FROM memories WHERE pinned) < 20 END AS ok FROM c) SELECT action, ok, count(*) AS n FROM g GROUP BY ALL"))
+@query("lifecycle_batch", with_views("memories", "n AS (SELECT *, ['deprecate', 'restore', 'trash', 'untrash', 'confirm', 'update', 'pin'][id % 7 + 1] AS action FROM memories), c AS (SELECT *, count(*) FILTER (action = 'pin' AND NOT pinned) OVER (ORDER BY id::VARCHAR ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM n), g AS (SELECT *, CASE action WHEN 'deprecate' THEN status IN ('active', 'candidate') WHEN 'restore' THEN status = 'deprecated' WHEN 'trash' THEN status <> 'trashed' WHEN 'untrash' THEN status = 'trashed' WHEN 'confirm' THEN status = 'candidate' AND type <> 'capture' WHEN 'update' THEN status IN ('active', 'candidate') ELSE (SELECT count(*) FROM memories WHERE pinned) + earlier < 20 END AS ok FROM c) SELECT action, ok, count(*) AS n FROM g GROUP BY ALL"))
 def lifecycle_batch(v):
     """A batch of commands: done and refused."""
     s = _state(v)
@@ -412,6 +412,40 @@ def lifecycle_batch(v):
     return done.groupBy("action", "ok").agg(F.count(F.lit(1)).alias("n"))
 
 
+_FOLD = ("deprecate", "restore", "trash", "untrash", "confirm", "update", "pin", "unpin")
+
+
+@query(
+    "lifecycle_fold",
+    with_views(
+        "memories",
+        f"""c AS (SELECT id, action, ts, row_number() OVER (PARTITION BY id ORDER BY ts, action) AS n FROM (SELECT id, ({list(_FOLD)})[(id * (j + 1) + j * j) % 8 + 1] AS action, (id * 7919 + j * 104729) % 5003 AS ts FROM memories, (VALUES (0), (1), (2), (3), (4)) x(j))),
+s AS (SELECT id, 0::BIGINT AS n, status, type, NULL::VARCHAR AS action, NULL::BOOLEAN AS ok FROM memories UNION ALL
+  SELECT id, n, CASE WHEN NOT ok THEN status WHEN action = 'deprecate' THEN 'deprecated' WHEN action IN ('restore', 'confirm') THEN 'active' WHEN action = 'trash' THEN 'trashed' WHEN action = 'untrash' THEN CASE type WHEN 'capture' THEN 'candidate' ELSE 'active' END ELSE status END, type, action, ok
+  FROM (SELECT s.id, c.n, s.status, s.type, c.action, CASE c.action WHEN 'deprecate' THEN status IN ('active', 'candidate') WHEN 'update' THEN status IN ('active', 'candidate') WHEN 'restore' THEN status = 'deprecated' WHEN 'trash' THEN status <> 'trashed' WHEN 'untrash' THEN status = 'trashed' WHEN 'confirm' THEN status = 'candidate' AND type <> 'capture' END AS ok FROM s JOIN c ON c.id = s.id AND c.n = s.n + 1)),
+p AS (SELECT id, action, row_number() OVER (ORDER BY ts, id::VARCHAR, action) AS k FROM c WHERE action IN ('pin', 'unpin')),
+q AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS id, NULL::VARCHAR AS action, NULL::BOOLEAN AS ok, (SELECT coalesce(list(id), []) FROM memories WHERE pinned) AS held UNION ALL
+  SELECT p.k, p.id, p.action, p.action = 'unpin' OR len(held) < 100, CASE WHEN p.action = 'unpin' THEN list_filter(held, lambda x: x <> p.id) WHEN len(held) < 100 AND NOT list_contains(held, p.id) THEN list_append(held, p.id) ELSE held END FROM q JOIN p ON p.k = q.k + 1),
+o AS (SELECT id, count(*) FILTER (ok) AS done, count(*) FILTER (NOT ok) AS refused FROM (SELECT id, ok FROM s WHERE ok IS NOT NULL UNION ALL SELECT id, ok FROM q WHERE ok IS NOT NULL) GROUP BY id),
+z AS (SELECT id, max_by(status, n) AS status FROM s GROUP BY id),
+e AS (SELECT held FROM q ORDER BY k DESC LIMIT 1)
+SELECT id, z.status, (1 + coalesce(done, 0))::INTEGER AS version, list_contains((SELECT held FROM e), id) AS pinned, coalesce(done, 0)::BIGINT AS done, coalesce(refused, 0)::BIGINT AS refused FROM z LEFT JOIN o USING (id)""",
+        recursive=True,
+    ),
+)
+def lifecycle_fold(v):
+    """Five commands a record, folded in order under a cap on pins that binds: each record after them, and how many were done and refused."""
+    j = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("j")
+    null = lambda k: F.lit(None).cast(k)
+    rows = v.memories.select("id", j)
+    action = F.element_at(F.array(*map(F.lit, _FOLD)), ((F.col("id") * (F.col("j") + 1) + F.col("j") * F.col("j")) % 8 + 1).cast("int"))
+    c = rows.select(F.col("id").cast("string").alias("id"), action.alias("action"), ((F.col("id") * 7919 + F.col("j") * 104729) % 5003).alias("ts"), null("string").alias("arg"), null("string").alias("body"), null("string").alias("type"), null("string").alias("source"), null("string").alias("reason"), F.lit(False).alias("force"))
+    out = lifecycle.apply(_state(v), c, ["decision", "gotcha", "how-to", "constraint", "capture"], cap=100)
+    done, refused = (df.groupBy("id").agg(F.count(F.lit(1)).alias(n)) for df, n in ((out.audit, "done"), (out.rejected, "refused")))
+    found = out.state.join(done, "id", "left").join(refused, "id", "left")
+    return found.select(F.col("id").cast("long").alias("id"), "status", "version", "pinned", F.coalesce("done", F.lit(0)).alias("done"), F.coalesce("refused", F.lit(0)).alias("refused"))
+
+
 # -- sessions -----------------------------------------------------------------------------------------------------------
 @query("next_snippet", with_views("turns", "u AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY turn) AS run FROM turns), f AS (SELECT session, run, arg_min(text[1:500], turn) AS snippet FROM u WHERE role = 'assistant' AND length(text) > 0 GROUP BY session, run) SELECT u.session, u.turn, f.snippet FROM u LEFT JOIN f USING (session, run) WHERE role = 'user'"))
 def next_snippet(v):

@@ -249,9 +249,9 @@ def test_transitions(spark):
     out = lifecycle.apply(s, c, TYPES)
     now = {r.id: r for r in out.state.collect()}
     assert {i: r.status for i, r in now.items()} == {"a": "active", "b": "active", "c": "candidate", "d": "active", "e": "candidate", "f": "merged_into", "g": "merged_into"}
-    assert now["a"].version == 2 and now["a"].body == "new body" and now["a"].supersedes == ["g"] and now["b"].confidence == 1.0
+    assert now["a"].version == 3 and now["a"].body == "new body" and now["a"].supersedes == ["g"] and now["b"].confidence == 1.0
     assert {(r.id, r.action) for r in out.rejected.collect()} == {("c", "confirm"), ("f", "rewrite"), ("zz", "trash")}
-    audit = {r.id: r for r in out.audit.collect()}
+    audit = {r.id: r for r in out.audit.orderBy(F.desc("version")).collect()}
     assert audit["a"].prev_body == "body" and audit["b"].prev_body is None and set(audit) == {"a", "b", "d", "e", "g"}
 
 
