@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import graph, history, library, lifecycle, memory, reconcile, search, stats
+from ..operators import graph, history, intake, library, lifecycle, memory, reconcile, search, stats
 from ..sources.spread import spread
 from .text_queries import _NT, TAGS_SQL, _re
 from .views import DAY_MS, NOW_MS, Views, with_views
@@ -519,6 +519,35 @@ def capture_candidates(v):
     return history.capture_routes(v.turns)
 
 
+@query("capture_intake")
+def capture_intake(v):
+    """What becomes of every prompt in one run over all sessions; tests compare with a loop."""
+    m = v.memories.select("id", "type", "status", F.array(F.concat(F.lit("tag"), (F.col("id") % 40).cast("string"))).alias("tags"))
+    vec = library.embed(v.memories.where("type = 'capture'").select("id", F.concat("title", F.lit("\n\n"), "body").alias("text"))).select("id", "vec")
+    return intake.intake(v.turns, m, vec, least=0.6, route_low=False).outcomes.select("session", "turn", "route", "reason", "id", F.round("cosine", 6).alias("cosine"))
+
+
+@query(
+    "leader_clusters",
+    with_views(
+        "vectors",
+        f"""r AS (SELECT id, id % 3 AS tag, vec, row_number() OVER (ORDER BY id) AS k FROM vectors),
+p AS (SELECT a.k AS k, b.k AS o, {_DOT('a.vec', 'b.vec')} / (sqrt({_DOT('a.vec', 'a.vec')}) * sqrt({_DOT('b.vec', 'b.vec')}) + 1e-9) AS c FROM r a JOIN r b ON a.tag = b.tag AND b.k < a.k),
+n AS (SELECT r.k, coalesce(list(o) FILTER (c >= 0.35), []) AS near FROM r LEFT JOIN p USING (k) GROUP BY r.k),
+q AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS held UNION ALL SELECT n.k, CASE WHEN list_has_any(held, near) THEN held ELSE list_append(held, n.k) END FROM q JOIN n ON n.k = q.k + 1),
+h AS (SELECT unnest(held) AS k FROM (SELECT held FROM q ORDER BY k DESC LIMIT 1)),
+b AS (SELECT p.k, arg_min(p.o, (-round(c, 9), o)) AS o, max(c) AS c FROM p JOIN h ON h.k = p.o WHERE c >= 0.35 AND p.k NOT IN (SELECT k FROM h) GROUP BY p.k)
+SELECT r.id, o.id AS leader, round(b.c, 6) AS cosine FROM r LEFT JOIN b USING (k) LEFT JOIN r o ON o.k = b.o""",
+        recursive=True,
+    ),
+)
+def leader_clusters(v):
+    """Vectors in the order of their ids: each follows the nearest leader of its tag before it, or leads."""
+    rows = v.vectors.select(F.col("id").alias("place"), F.array((F.col("id") % 3).cast("string")).alias("tags"), F.col("vec").cast("array<double>").alias("vec"), F.sha2(F.concat(F.to_json("vec"), (F.col("id") % 3).cast("string")), 256).alias("copy"))
+    none = rows.limit(0)
+    return intake.leaders(rows, none, 0.35).select(F.col("place").alias("id"), F.col("to").alias("leader"), F.round("cosine", 6).alias("cosine"))
+
+
 # -- documents ----------------------------------------------------------------------------------------------------------
 @query("passages")
 def passages(v):
