@@ -15,15 +15,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches
-from .words import slices, split_words, tidied
+from .words import ngram_hash, slices, split_words, tidied
 
 #: Bytes of text in a shard, about; a longer text is a shard of its own.
 SHARD_BYTES = 3 << 20
 #: Characters of benchmark text that one pass over the documents handles: 8 bytes a word, on the driver and in each worker. A longer
 #: item is a block of its own.
 BLOCK_CHARS = 8 << 20
-_MATCH = pa.struct([("item_id", pa.string()), ("item_start", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])
-_STATE = {"lw_words": "long", "lw_hits": "long", "lw_items": "array<string>", "lw_mask": "binary", "lw_matches": "array<struct<item_id string, item_start long, start long, length long>>"}
+_FIELDS = ("item_id", "item_start", "start", "length", "repeats")
+_MATCH = pa.struct([(f, pa.string() if f == "item_id" else pa.int64()) for f in _FIELDS])
+_STATE = {"lw_words": "long", "lw_hits": "long", "lw_items": "array<string>", "lw_mask": "binary", "lw_matches": "array<struct<item_id string, item_start long, start long, length long, repeats long>>"}
+#: Pairs of a place in an item and one in a document that are laid out at once, words that each is followed on at once, and pairs of one window
+#: beyond which those that a word before continues are left out by groups, without being laid out.
+AT_ONCE, STRIDE, MANY = 1 << 18, 16, 1 << 10
 
 
 def suffix_array(hashes: np.ndarray, doc_end: np.ndarray, depth: int) -> np.ndarray:
@@ -43,26 +47,51 @@ def suffix_array(hashes: np.ndarray, doc_end: np.ndarray, depth: int) -> np.ndar
     return np.argsort(rank, kind="stable").astype(np.int32)
 
 
+def expanded(first: np.ndarray, n: np.ndarray, most: int = AT_ONCE):
+    """Slices of at most `most` of the numbers first[i], first[i] + 1, ... (n[i] of them), each with its i."""
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    for at in range(0, total, most):
+        k = np.arange(at, min(at + most, total))
+        i = np.searchsorted(ends, k, "right")
+        yield first[i] + k - (ends[i] - n[i]), i
+
+
 class Suffixes:
-    """The items of a block as one run of word hashes, and the suffixes that begin a window."""
+    """The items of a block as one run of word hashes, the suffixes that begin a window, and the distinct windows among them."""
 
     def __init__(self, items: list[tuple], window: int) -> None:
         words = split_words(pa.array([text for _, text in items], pa.large_string()), "alnum")
-        self.window, self.names, self.hashes = window, [str(item) for item, _ in items], words.hash
+        self.window, self.hashes = window, words.hash
+        self.names = [None if item is None else str(item) for item, _ in items]
         counts = words.counts
         size = np.minimum(counts, window)
         many = np.where(counts > 0, counts - size + 1, 0)
-        self.item = np.repeat(np.arange(len(items)), many)  # of each suffix
-        self.start = words.first[:-1][self.item] + np.arange(len(self.item)) - np.repeat(np.cumsum(many) - many, many)
-        self.size = size[self.item]
+        item = np.repeat(np.arange(len(items)), many)
+        start = words.first[:-1][item] + np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+        key = np.zeros(len(item), np.uint64)
+        for k in range(1, window + 1):
+            own = np.flatnonzero(size[item] == k)
+            if len(own):
+                key[own] = ngram_hash(self.hashes, k)[start[own]]
+        # Suffixes by their window; those of one window are neighbours.
+        order = np.argsort(key, kind="stable")
+        self.item, self.start = item[order], start[order]
         self.first, self.end = words.first[:-1][self.item], words.first[1:][self.item]
+        self.group = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(order) else np.zeros(0, np.int64)
+        self.many = np.diff(np.concatenate([self.group, [len(order)]]))
+        self.size = size[self.item][self.group]  # words of each distinct window
+        # Distinct items of each window.
+        pairs = np.unique(np.repeat(np.arange(len(self.group)), self.many) * max(len(items), 1) + self.item)
+        self.owner = pairs % max(len(items), 1)
+        self.owners = np.bincount(pairs // max(len(items), 1), minlength=len(self.group))
 
     def _search(self, hashes: np.ndarray, order: np.ndarray, doc_end: np.ndarray, past: bool) -> np.ndarray:
-        """For each suffix of the items the first place in the suffix array that isn't before its window, or (past) is beyond all that begin with it."""
-        lo, hi = np.zeros(len(self.size), np.int64), np.full(len(self.size), len(order), np.int64)
+        """For each window the first place in the suffix array that isn't before it, or (past) is beyond all that begin with it."""
+        lo, hi, start = np.zeros(len(self.size), np.int64), np.full(len(self.size), len(order), np.int64), self.start[self.group]
         while (open_ := np.flatnonzero(lo < hi)).size:
             mid = (lo[open_] + hi[open_]) >> 1
-            at, size, own = order[mid].astype(np.int64), self.size[open_], self.start[open_]
+            at, size, own = order[mid].astype(np.int64), self.size[open_], start[open_]
             before = np.zeros(len(at), bool)  # the shard's suffix comes before the item's
             begins = np.ones(len(at), bool)  # it begins with the window
             tied = np.arange(len(at))
@@ -83,33 +112,70 @@ class Suffixes:
             hi[open_[~before]] = mid[~before]
         return lo
 
-    def places(self, hashes: np.ndarray, doc_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places (word numbers of the shard) where windows stand, and the numbers of their suffixes. doc_end: for each word, where its document ends."""
-        none = np.zeros(0, np.int64)
+    def places(self, hashes: np.ndarray, doc_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The suffix array of a shard, and for each window where its places begin there and how many they are. doc_end: for each word, where its document ends."""
         if not len(hashes) or not len(self.size):
-            return none, none
+            return np.zeros(0, np.int32), np.zeros(len(self.size), np.int64), np.zeros(len(self.size), np.int64)
         order = suffix_array(hashes, doc_end, self.window)
-        a, b = self._search(hashes, order, doc_end, False), self._search(hashes, order, doc_end, True)
-        n = b - a
-        which = np.repeat(np.arange(len(n)), n)
-        return order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)].astype(np.int64), which
+        a = self._search(hashes, order, doc_end, False)
+        return order, a, self._search(hashes, order, doc_end, True) - a
 
-    def longest(self, hashes: np.ndarray, doc_first: np.ndarray, doc_end: np.ndarray, place: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _unled(self, hashes: np.ndarray, doc_first: np.ndarray, order: np.ndarray, a: np.ndarray, n: np.ndarray):
+        """Slices of (place, suffix) where the same window stands and no common word comes before."""
+        few = (n > 0) & (self.many * n <= MANY)
+        for k, w in expanded(np.zeros(int(few.sum()), np.int64), (self.many * n)[few]):
+            w = np.flatnonzero(few)[w]
+            place, suffix = order[a[w] + k % n[w]].astype(np.int64), self.group[w] + k // n[w]
+            led = (self.start[suffix] > self.first[suffix]) & (place > doc_first[place])
+            led[led] = self.hashes[self.start[suffix][led] - 1] == hashes[place[led] - 1]
+            yield place[~led], suffix[~led]
+        for w in np.flatnonzero((n > 0) & ~few):
+            suffixes, places = np.arange(self.group[w], self.group[w] + self.many[w]), order[a[w] : a[w] + n[w]].astype(np.int64)
+            inner, begun = self.start[suffixes] > self.first[suffixes], places == doc_first[places]
+            words = hashes[np.maximum(places - 1, 0)]
+            by = np.argsort(words[~begun], kind="stable")
+            sorted_places, sorted_words = places[~begun][by], words[~begun][by]
+            for whole, own in ((places, suffixes[~inner]), (places[begun], suffixes[inner])):
+                for k, i in expanded(np.zeros(len(own), np.int64), np.full(len(own), len(whole), np.int64)):
+                    yield whole[k], own[i]
+            # A suffix with a word before it goes with all places but those with the same word, which lie together.
+            own = suffixes[inner]
+            lead = self.hashes[self.start[own] - 1]
+            low, high = np.searchsorted(sorted_words, lead, "left"), np.searchsorted(sorted_words, lead, "right")
+            for first, count in ((np.zeros(len(own), np.int64), low), (high, len(sorted_words) - high)):
+                for k, i in expanded(first, count):
+                    yield sorted_places[k], own[i]
+
+    def longest(self, hashes: np.ndarray, doc_first: np.ndarray, doc_end: np.ndarray, order: np.ndarray, a: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places, suffixes and lengths of the longest verbatim matches: those that no word before or after continues."""
-        start = self.start[which]
-        inner = (start > self.first[which]) & (place > doc_first[place])
-        inner[inner] = self.hashes[start[inner] - 1] == hashes[place[inner] - 1]
-        place, which, start = place[~inner], which[~inner], start[~inner]
-        length = self.size[which].copy()
-        open_ = np.arange(len(place))
-        while open_.size:
-            a, b = start[open_] + length[open_], place[open_] + length[open_]
-            more = (a < self.end[which[open_]]) & (b < doc_end[place[open_]])
-            open_, a, b = open_[more], a[more], b[more]
-            same = self.hashes[a] == hashes[b]
-            open_ = open_[same]
-            length[open_] += 1
-        return place, which, length
+        found = []
+        for place, suffix in self._unled(hashes, doc_first, order, a, n):
+            start, left = self.start[suffix], np.minimum(self.end[suffix] - self.start[suffix], doc_end[place] - place)
+            length = np.zeros(len(place), np.int64)
+            open_ = np.arange(len(place))
+            while open_.size:
+                for at in range(0, len(open_), AT_ONCE // STRIDE):
+                    own = open_[at : at + AT_ONCE // STRIDE]
+                    k = length[own][:, None] + np.arange(STRIDE)
+                    inside = k < left[own][:, None]
+                    k = np.minimum(k, left[own][:, None] - 1)
+                    same = inside & (self.hashes[start[own][:, None] + k] == hashes[place[own][:, None] + k])
+                    length[own] += np.where(same.all(1), STRIDE, same.argmin(1))
+                    open_[at : at + AT_ONCE // STRIDE] = np.where(same.all(1), own, -1)
+                open_ = open_[open_ >= 0]
+            found.append((place, suffix, length))
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none, none)
+
+
+def _ranges(doc: np.ndarray, item: np.ndarray, item_start: np.ndarray, start: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
+    """Matches with those of one item's place and one length at successive words of a document as one, and how many those are."""
+    by = np.lexsort((start, length, item_start, item, doc))
+    columns = [x[by] for x in (doc, item, item_start, start, length)]
+    new = np.ones(len(by), bool)
+    new[1:] = (columns[3][1:] != columns[3][:-1] + 1) | np.logical_or.reduce([c[1:] != c[:-1] for k, c in enumerate(columns) if k != 3])
+    at = np.flatnonzero(new)
+    return [*(c[at] for c in columns), np.diff(np.concatenate([at, [len(by)]]))]
 
 
 def _shards(batches):
@@ -128,20 +194,29 @@ def _mark(block, keep: list[str], whole: bool):
         for part, hashes, first in _shards(batches):
             counts = np.diff(first)
             doc_first, doc_end = np.repeat(first[:-1], counts), np.repeat(first[1:], counts)
-            place, which = items.places(hashes, doc_end)
+            order, at, n = items.places(hashes, doc_end)
             step = np.zeros(len(hashes) + 1, np.int32)
-            np.add.at(step, place, 1)
-            np.add.at(step, place + items.size[which], -1)
-            hit = np.cumsum(step)[:-1] > 0
             found: dict[int, set] = {}
             matches: dict[int, list] = {}
-            if whole and len(place):
+            met = np.zeros(0, np.int64)
+            for k, w in expanded(at, n):
+                place = order[k].astype(np.int64)
+                np.add.at(step, place, 1)
+                np.add.at(step, place + items.size[w], -1)
+                if whole:
+                    met = np.union1d(met, w * len(counts) + np.searchsorted(first, place, "right") - 1)
+            hit = np.cumsum(step)[:-1] > 0
+            if len(met):
+                w, own = np.divmod(met, len(counts))
+                begin = np.cumsum(items.owners) - items.owners
+                for k, i in expanded(begin[w], items.owners[w]):
+                    for d, x in (divmod(y, len(names)) for y in np.unique(own[i] * len(names) + items.owner[k]).tolist()):
+                        if items.names[x] is not None:
+                            found.setdefault(d, set()).add(items.names[x])
+                place, suffix, length = items.longest(hashes, doc_first, doc_end, order, at, n)
                 doc = np.searchsorted(first, place, "right") - 1
-                for d, k in (divmod(x, len(names)) for x in np.unique(doc * len(names) + items.item[which]).tolist()):
-                    found.setdefault(d, set()).add(items.names[k])
-                for p, w, n in zip(*(x.tolist() for x in items.longest(hashes, doc_first, doc_end, place, which)), strict=True):
-                    d = int(np.searchsorted(first, p, "right")) - 1
-                    matches.setdefault(d, []).append((str(names[items.item[w]]), int(items.start[w] - items.first[w]), p - int(first[d]), n))
+                for d, x, *rest in zip(*(c.tolist() for c in _ranges(doc, items.item[suffix], items.start[suffix] - items.first[suffix], place - first[doc], length)), strict=True):
+                    matches.setdefault(d, []).append((names[x], *rest))
             old = {c: part.column(part.schema.get_field_index(c)).to_pylist() if c in part.schema.names else None for c in _STATE}
             hits, rows_items, masks, rows_matches = [], [], [], []
             for d, (a, n) in enumerate(zip(first[:-1].tolist(), counts.tolist(), strict=True)):
@@ -155,7 +230,7 @@ def _mark(block, keep: list[str], whole: bool):
                 hits.append(int(mask.sum()) if some else 0)
                 masks.append(np.packbits(mask).tobytes() if some else None)
                 rows_items.append(sorted(own))
-                rows_matches.append([dict(zip(("item_id", "item_start", "start", "length"), x, strict=True)) for x in sorted(set(long), key=lambda x: (-x[3], x[2], x[0], x[1]))])
+                rows_matches.append([dict(zip(_FIELDS, x, strict=True)) for x in sorted(set(long), key=lambda x: (-x[3], x[2], x[0] or "", x[1]))])
             columns = [pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(rows_items, pa.list_(pa.string())), pa.array(masks, pa.binary()), pa.array(rows_matches, pa.list_(_MATCH))]
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in keep] + columns, [*keep, *_STATE])
 
@@ -186,11 +261,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Da
     """One row per row of docs (doc_id, text): n_words, n_hit (words inside any occurrence of a benchmark window),
     n_items and items_sha256 (the items with occurring windows), contaminated (n_hit > 0 and 20 * n_hit >= n_words), and matches: the
     longest verbatim matches of window words or more (of a shorter item: all of it) that no word before or after continues, longest first, each with
-    item_id, item_start and start (word numbers from 0 in the item and in the document) and length in words.
+    item_id, item_start and start (word numbers from 0 in the item and in the document), length in words, and repeats: it also stands at the
+    next repeats - 1 words, as in a text of one word, where a list of all places would grow with the product of both lengths.
 
     Words are runs of ASCII letters, digits and all characters past ASCII, A-Z taken as a-z; they are told apart by 64-bit hashes. A window is `window`
     consecutive words of an item, or a shorter item as a whole. Null and wordless texts have no words and no hits;
-    null or wordless items have no windows. Repeated documents and items count alike each time; an empty benchmark
+    null or wordless items have no windows. Repeated documents count alike each time, items of one item_id once; an item without item_id hits,
+    but is not among the items (its matches have a null item_id). An empty benchmark
     hits nothing, an empty table gives an empty result. Other columns are ignored.
     """
     out = _marked(docs.select("doc_id", "text"), benchmark, window, True)

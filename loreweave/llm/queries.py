@@ -43,7 +43,8 @@ def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words in all documents."""
     found = benchmarks.contamination(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), window=13)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    longest = F.coalesce(F.array_max(F.transform("matches", lambda m: m["length"])), F.lit(0)).alias("longest_match")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", longest)
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,16 +206,19 @@ SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(m.component, s.doc_id
 FROM s LEFT JOIN m ON m.sh_key = md5(array_to_string(list_sort(s.sh), chr(10))) AND len(s.sh) > 0""",
     "op5_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '{ALNUM}') AS ws FROM documents),
-b AS (SELECT item_id, regexp_extract_all({LOWER}, '{ALNUM}') AS ws FROM benchmark),
-k AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS w
-  FROM (SELECT item_id, ws, least(len(ws), 13) AS n, unnest(range(1, greatest(len(ws) - 13, 0) + 2)) AS i FROM b WHERE len(ws) > 0)),
+b AS (SELECT row_number() OVER () AS r, item_id, regexp_extract_all({LOWER}, '{ALNUM}') AS ws FROM benchmark),
+k AS (SELECT r, i AS j, item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS w
+  FROM (SELECT r, item_id, ws, least(len(ws), 13) AS n, unnest(range(1, greatest(len(ws) - 13, 0) + 2)) AS i FROM b WHERE len(ws) > 0)),
 p AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM k)),
-f AS (SELECT p.doc_id, p.i, k.n, k.item_id FROM p JOIN k ON k.n = p.n AND array_to_string(p.ws[p.i:p.i + p.n - 1], ' ') = k.w),
+f AS (SELECT p.doc_id, p.i, k.n, k.item_id, k.r, k.j FROM p JOIN k ON k.n = p.n AND array_to_string(p.ws[p.i:p.i + p.n - 1], ' ') = k.w),
 h AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS w FROM f) GROUP BY doc_id),
-t AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM f GROUP BY doc_id)
+t AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM f GROUP BY doc_id),
+g AS (SELECT doc_id, r, n, i - j AS diagonal, i - row_number() OVER (PARTITION BY doc_id, r, i - j ORDER BY i) AS run FROM f),
+m AS (SELECT doc_id, max(c) AS longest FROM (SELECT doc_id, n + count(*) - 1 AS c FROM g GROUP BY doc_id, r, n, diagonal, run) GROUP BY doc_id)
 SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(len(t.items), 0)::BIGINT AS n_items,
-  sha256(coalesce(array_to_string(t.items, ','), '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.ws) AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+  sha256(coalesce(array_to_string(t.items, ','), '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.ws) AS contaminated,
+  coalesce(m.longest, 0)::BIGINT AS longest_match
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN m USING (doc_id)""",
     "op6_chat_format": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),

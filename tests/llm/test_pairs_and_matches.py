@@ -202,7 +202,7 @@ def test_contamination_matches_brute_force(spark, monkeypatch, block):
     got = contamination.contamination(frame(spark, docs), bench)
     want = brute_hits(docs, items)
     assert {tuple(r) for r in got.drop("matches").collect()} == want
-    longest = {r.doc_id: [tuple(m) for m in r.matches] for r in got.collect()}
+    longest = {r.doc_id: [(m.item_id, m.item_start, m.start + k, m.length) for m in r.matches for k in range(m.repeats)] for r in got.collect()}
     assert any(longest.values()) and {i: sorted(m) for i, m in longest.items()} == brute_matches(docs, items)
     assert all(m == sorted(m, key=lambda x: -x[3]) for m in longest.values())
     kept = contamination.decontaminate(frame(spark, docs), bench)
@@ -215,8 +215,35 @@ def test_contamination_of_a_very_long_text(spark):
     item = " ".join(text.split()[250_000:250_300])
     got = contamination.contamination(frame(spark, [(1, text), (2, item.upper()), (3, "x" * 3_000_000)]), spark.createDataFrame([(7, item)], "item_id long, text string"))
     rows = {r.doc_id: r for r in got.collect()}
-    assert ("7", 0, 250_000, 300) in map(tuple, rows[1].matches) and not rows[1].contaminated
-    assert [tuple(m) for m in rows[2].matches] == [("7", 0, 0, 300)] and rows[2].contaminated and rows[3].n_words == 1
+    assert ("7", 0, 250_000, 300, 1) in map(tuple, rows[1].matches) and not rows[1].contaminated
+    assert [tuple(m) for m in rows[2].matches] == [("7", 0, 0, 300, 1)] and rows[2].contaminated and rows[3].n_words == 1
+
+
+@pytest.mark.parametrize("many", [1, 1 << 10])
+def test_contamination_of_repeated_words(spark, monkeypatch, many):
+    monkeypatch.setattr(contamination, "MANY", many)
+    monkeypatch.setattr(contamination, "AT_ONCE", 64)
+    items = [(1, "a " * 30), (2, "a b " * 12), (3, "b " + "a " * 20 + "c"), (4, "a " * 5), (None, "a " * 14), (6, "c a " * 9)]
+    docs = [(1, "a " * 50), (2, "x " + "a b " * 30), (3, "a " * 16 + "b " + "a " * 25 + "c a " * 12), (4, "a"), (5, "b a " * 20)]
+    rows = contamination.contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    longest = {r.doc_id: sorted((str(m.item_id), m.item_start, m.start + k, m.length) for m in r.matches for k in range(m.repeats)) for r in rows}
+    assert longest == brute_matches(docs, items) and {r.doc_id: len(r.matches) for r in rows}[1] < 250
+    named = brute_hits(docs, [x for x in items if x[0]])
+    assert {(r.doc_id, r.n_items, r.items_sha256) for r in rows} == {(i, n, h) for i, _, _, n, h, _ in named} and {(r.doc_id, r.n_hit) for r in rows} == {(r[0], r[2]) for r in brute_hits(docs, items)}
+
+
+def test_memory_of_repeated_words_stays_small():
+    import tracemalloc
+
+    items = contamination.Suffixes([(1, "0 " * 200), (2, "0 1 " * 100)], 13)
+    hashes = np.concatenate([items.hashes[:1].repeat(200_000), np.tile(items.hashes[200:202], 50_000)])
+    ends = np.repeat([200_000, 300_000], [200_000, 100_000])
+    starts = np.repeat([0, 200_000], [200_000, 100_000])
+    tracemalloc.start()
+    order, a, n = items.places(hashes, ends)
+    place, suffix, length = items.longest(hashes, starts, ends, order, a, n)
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20 and int(length.max()) == 200
+    tracemalloc.stop()
 
 
 def test_contamination_empty_tables(spark):
