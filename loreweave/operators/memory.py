@@ -43,12 +43,51 @@ def glob_regex(pattern: Column | str) -> Column:
     return F.concat(F.lit("^"), F.replace(F.replace(p, F.lit("\x03"), F.lit("(?:.*/)?")), F.lit("\x04"), F.lit(".*")), F.lit("$"))
 
 
-def scope_matches(paths: DataFrame, scope: DataFrame) -> DataFrame:
-    """(path, memory_id, value) where a stored file scope names or globs a path: literals by an equi-join, globs, of which there are few, by pattern."""
+def _key(kind: str, value: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+
+
+def pattern_key(pattern: Column | str) -> Column:
+    """What each path that a glob covers has to have, as (kind, value): the literal folders that the glob begins with (dir), or else its
+    literal file name (name), or extension (ext). Globs without any of these have kind any."""
+    p = F.col(pattern) if isinstance(pattern, str) else pattern
+    head = F.regexp_extract(p, r"^((?:[^\]\[*?{}/]+/)*)", 1)
+    # A name is only one if a slash, or ** as a whole segment, stands before it; braces may reach over slashes.
+    whole = ~p.rlike(r"[{}]|[^/]\*\*/")
+    name = F.regexp_extract(p, r"/([^\]\[*?{}/]+)$", 1)
+    end = F.regexp_extract(p, r"\.([^\]\[*?{}/.]+)$", 1)
+    return (
+        F.when(head != "", _key("dir", F.substring(head, F.lit(1), F.length(head) - 1)))
+        .when(whole & (name != ""), _key("name", name))
+        .when(end != "", _key("ext", end))
+        .otherwise(_key("any", F.lit("")))
+    )
+
+
+def path_keys(path: Column | str) -> Column:
+    """All keys of patterns that may cover a path: its folders, its name, its extension, and that of patterns without any."""
+    p = F.col(path) if isinstance(path, str) else path
+    parts = F.split(p, "/")
+    above = F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)))
+    folders = F.when(F.size(parts) > 1, F.transform(above, lambda n: _key("dir", F.array_join(F.slice(parts, 1, n), "/")))).otherwise(F.array().cast("array<struct<kind:string,value:string>>"))
+    return F.concat(folders, F.array(_key("name", F.element_at(parts, -1)), _key("ext", F.regexp_extract(p, r"\.([^/.]*)$", 1)), _key("any", F.lit(""))))
+
+
+def pattern_index(scope: DataFrame) -> DataFrame:
+    """(key, pattern, regex) of the distinct globs of a scope; may be stored."""
+    globs = scope.where("kind = 'file'").select(F.col("value").alias("pattern")).where(F.col("pattern").rlike(GLOB)).distinct()
+    return globs.select(pattern_key("pattern").alias("key"), "pattern", glob_regex("pattern").alias("regex"))
+
+
+def scope_matches(paths: DataFrame, scope: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """(path, memory_id, value) where a stored file scope names or globs a path. Literals meet by an equi-join. So do globs: each has one key, a path
+    has a row for each of its keys, and only pairs with a common key are looked at. index: a stored pattern_index."""
     own = scope.where("kind = 'file'").select("memory_id", "value")
-    literal = paths.select("path").distinct().join(own, F.col("path") == F.col("value")).select("path", "memory_id", "value")
-    globs = own.where(F.col("value").rlike(GLOB)).withColumn("regex", glob_regex("value"))
-    globbed = paths.select("path").distinct().join(globs, F.expr("path rlike regex")).select("path", "memory_id", "value")
+    each = paths.select("path").distinct()
+    literal = each.join(own, F.col("path") == F.col("value")).select("path", "memory_id", "value")
+    index = pattern_index(scope) if index is None else index
+    near = each.select("path", F.explode(path_keys("path")).alias("key")).join(index, "key").where(F.expr("path rlike regex"))
+    globbed = near.select("path", F.col("pattern").alias("value")).join(own, "value").select("path", "memory_id", "value")
     return literal.unionByName(globbed).distinct()
 
 

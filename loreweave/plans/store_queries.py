@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import graph, history, intake, library, lifecycle, memory, reconcile, search, stats
+from ..operators import graph, history, intake, library, lifecycle, memory, reconcile, search, stats, vectors
 from ..sources.spread import spread
 from .text_queries import _NT, TAGS_SQL, _re
 from .views import DAY_MS, NOW_MS, Views, with_views
@@ -240,6 +240,18 @@ def semantic_edges_all(v):
     return graph.semantic_edges(v.vectors, 2, 0.3).withColumn("sim", F.round("sim", 6))
 
 
+@query("vector_search_all_cells", with_views("vectors", f"p AS (SELECT q.id AS source, v.id AS target, {_DOT('q.vec', 'v.vec')} AS sim FROM vectors v, vectors q WHERE q.id % 5 = 0 AND v.id <> q.id), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(sim, 12) DESC, target) AS n FROM p WHERE sim >= 0.3) SELECT source, target, round(sim, 6) AS sim FROM r WHERE n <= 2"))
+def vector_search_all_cells(v):
+    """Two nearest vectors of every fifth one from the stored cells, all of them looked into: nothing is missed."""
+    return vectors.search(v.spark, v.stored_vectors(), v.vectors.where("id % 5 = 0"), 2, 0.3, probes=vectors.MOST_CELLS).withColumn("sim", F.round("sim", 6))
+
+
+@query("semantic_edges_indexed")
+def semantic_edges_indexed(v):
+    """Two nearest vectors of every one from the nearest cells of the stored index; tests measure how many of the exact ones it finds."""
+    return vectors.semantic_edges(v.spark, v.stored_vectors(), 2, 0.3).withColumn("sim", F.round("sim", 6))
+
+
 @query("vector_topk", with_views("vectors", f"q AS (SELECT vec FROM vectors WHERE id = 0) SELECT v.id, round({_DOT('v.vec', 'q.vec')}, 6) AS score FROM vectors v, q ORDER BY {_DOT('v.vec', 'q.vec')} DESC, v.id LIMIT 10"))
 def vector_topk(v):
     """Ten vectors nearest to the first."""

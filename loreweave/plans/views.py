@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import vectors
 from ..operators.graph import shared_dir
 from ..operators.search import write_index
 from ..sources.spread import spread
@@ -47,6 +48,15 @@ class Views:
             _stored[key] = path
         return _stored[key]
 
+    def stored_vectors(self) -> str:
+        """Where the cell index of the vectors is, likewise."""
+        key = (self.spark.sparkContext.applicationId, f"{self.sf_dir}#vectors")
+        if key not in _stored:
+            path = f"{shared_dir(self.spark)}/vector-index-{uuid.uuid4().hex}"
+            vectors.write_index(self.vectors, path)
+            _stored[key] = path
+        return _stored[key]
+
     @property
     def texts(self) -> DataFrame:
         return self.table("documents").select("source", F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
