@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
@@ -11,9 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as t
+from ..sources.spread import safe_unions
 
 SYMBOL_LIMIT = 3500
 LEAST_SIMILARITY, NEIGHBOURS = 0.65, 2
+#: Hops of a search that are planned at once.
+UNROLLED = 5
 _own_dir: list[str] = []
 #: Vectors in a block of the search for edges.
 BLOCK = 256
@@ -34,6 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: a loop's lineage ends there."""
+    safe_unions(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -42,9 +47,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def blast_radius(calls: DataFrame, targets: DataFrame, max_hops: int = 5) -> DataFrame:
     """(target, key, hop): every caller that reaches a target over resolved calls, with the fewest hops.
 
-    calls (from_key, to_key), targets (target). A breadth-first search for all targets at once: each hop joins the frontier with the
-    callers and drops what was seen; it ends at max_hops or when nothing new is found. The target itself is hop 0 and left out.
+    calls (from_key, to_key), targets (target). All targets at once; the target itself is hop 0 and left out. Up to UNROLLED hops are one lazy
+    plan: each hop's pairs are distinct and made once (its exchange is reused by the next hop and by the result), and the fewest hops count.
+    Deeper searches write each hop's frontier, drop what was seen, and end when nothing new is found.
     """
+    if max_hops <= UNROLLED:
+        edges = calls.where(~F.col("to_key").startswith("::")).select(F.col("to_key").alias("key"), "from_key").distinct()
+        walks, found = targets.select("target", F.col("target").alias("key")).distinct(), []
+        for hop in range(1, max_hops + 1):
+            walks = walks.join(edges, "key").select("target", F.col("from_key").alias("key")).where("key != target").distinct()
+            found.append(walks.withColumn("hop", F.lit(hop)))
+        every = functools.reduce(DataFrame.unionByName, found) if found else walks.withColumn("hop", F.lit(0)).limit(0)
+        return every.groupBy("target", "key").agg(F.min("hop").alias("hop"))
     edges = cut(calls.where(~F.col("to_key").startswith("::")).select("from_key", "to_key").distinct(), "calls")
     seen = frontier = cut(targets.select("target", F.col("target").alias("key"), F.lit(0).alias("hop")).distinct(), "hop")
     for hop in range(1, max_hops + 1):

@@ -288,6 +288,7 @@ def apply(state: DataFrame, commands: DataFrame, types: list[str], cap: int = PI
     c = c.join(state.select(F.col("id").alias("stream")), "stream", "left_semi")
     decided = _merges(state, c, known_types).unionByName(_pins(state, c, cap))
     c = c.join(decided, "key", "left")
+    c = cut(c, "decided")
     absorbed = c.where("action = 'merge' and known").withColumns({"stream": F.col("arg"), "action": F.lit("absorb"), "known": F.lit(None).cast("boolean")})
     moves = c.unionByName(absorbed).withColumn("kind", F.lit(1))
     touched = moves.select(F.col("stream").alias("id")).distinct()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import vectors
 from ..operators.graph import shared_dir
 from ..operators.search import write_index
-from ..sources.spread import spread
+from ..sources.spread import safe_unions, spread
 
 _stored: dict[tuple[str, str], str] = {}
 
@@ -37,6 +37,7 @@ class Views:
     sf_dir: str
 
     def table(self, name: str) -> DataFrame:
+        safe_unions(self.spark)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def stored_texts(self) -> str:

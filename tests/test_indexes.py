@@ -61,3 +61,15 @@ def test_an_index_is_refreshed_by_content(spark, tmp_path):
     assert {(r.id, tuple(r.vec)) for r in vectors.read_index(spark, b).collect()} == {(k, tuple(v)) for k, v in later}
     got = {(r.source, r.target) for r in vectors.search(spark, b, frame(later), 3, probes=6).collect()}
     assert got == {(r.source, r.target) for r in graph.nearest(frame(later), frame(later), 3, -1e9).collect()}
+
+
+def test_planned_and_written_hops_are_the_same(spark):
+    rng = np.random.default_rng(8)
+    calls = spark.createDataFrame([(f"k{a}", f"k{b}" if b < 60 else "::x") for a, b in rng.integers(0, 64, (260, 2)).tolist()], "from_key string, to_key string")
+    targets = spark.createDataFrame([("k1",), ("k2",), ("k2",), ("none",)], "target string")
+    rows = lambda df: {tuple(r) for r in df.select("target", "key", "hop").collect()}
+    deep = rows(graph.blast_radius(calls, targets, 50))
+    assert rows(graph.blast_radius(calls, targets, 5)) == {r for r in deep if r[2] <= 5} and rows(graph.blast_radius(calls, targets, 0)) == set()
+    plan = graph.blast_radius(calls, targets, 3)
+    plan.collect()
+    assert "ReusedExchange" in plan._jdf.queryExecution().executedPlan().toString() or "Reused" in plan._jdf.queryExecution().executedPlan().toString()

@@ -165,3 +165,22 @@ def test_the_first_of_several_new_records_counts(spark):
     new = spark.createDataFrame([("n", "create", t, f"title {t}", "b", "gotcha", "explicit", "r", False) for t in (2, 1, 3)], lifecycle.COMMANDS)
     made = lifecycle.create(new, spark.createDataFrame([], lifecycle.STATE))
     assert [(r.id, r.title) for r in made.state.collect()] == [("n", "title 1")] and made.rejected.count() == 2 and made.audit.count() == 1
+
+
+def test_large_batches_find_their_records(spark):
+    """Joins by shuffle, as with large tables: a union of sides with one key must not be taken as dealt out by it."""
+    from pyspark.sql import functions as F
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10k")
+    try:
+        n = 3000
+        ids = spark.range(n).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("id"))
+        null = lambda k: F.lit(None).cast(k)
+        state = ids.select("id", F.lit("gotcha").alias("type"), F.lit("active").alias("status"), F.lit("t").alias("title"), F.repeat(F.lit("b"), 200).alias("body"), F.lit(1).alias("version"), F.lit(0.5).alias("confidence"), F.lit(False).alias("pinned"), F.lit("x").alias("source"), F.array().cast("array<string>").alias("supersedes"), F.lit(0).cast("long").alias("updated_ms"), null("long").alias("rewritten_ms"), F.lit(0).cast("long").alias("get_count"), null("long").alias("last_accessed_ms"))
+        rows = ids.select("id", F.explode(F.array(*map(F.lit, ("deprecate", "restore", "pin")))).alias("action"))
+        given = rows.select("id", "action", F.when(F.col("action") == "restore", 2).otherwise(1).cast("long").alias("ts"), null("string").alias("arg"), null("string").alias("body"), null("string").alias("type"), null("string").alias("source"), null("string").alias("reason"), F.lit(False).alias("force"))
+        out = lifecycle.apply(state, given, TYPES)
+        assert out.state.where("status = 'active'").count() == n and out.state.where("pinned").count() == 20 and out.rejected.count() == n - 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
