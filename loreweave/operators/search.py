@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import once
+
 POOL = 50
 K1, B = 1.2, 0.75
 #: Folders of a stored index; a term is in one of them.
@@ -38,6 +40,7 @@ def folded(text: Column | str) -> Column:
     return F.when(F.octet_length(lower) == F.length(lower), lower).otherwise(F.translate(lower, *_accents()))
 
 
+@functools.lru_cache(1 << 16)
 def porter(word: str) -> str:
     """Stem of a word by the published Porter algorithm; letters other than a to z count as consonants, words of more than 64 bytes are left."""
     if len(word) <= 2 or len(word.encode()) > 64:
@@ -95,14 +98,19 @@ def porter(word: str) -> str:
     return w[:-1] if w.endswith("ll") and measure(w) > 1 else w
 
 
-def stems(words: DataFrame) -> DataFrame:
-    """(word, stem) of distinct words or runs of words (joined by a space): each is stemmed once, however often it stands in texts."""
+def _stem():
+    """Stems of words or runs of words (joined by a space)."""
 
     @F.pandas_udf("string")
     def stem(w: pd.Series) -> pd.Series:
         return w.map(lambda x: " ".join(map(porter, x.split(" "))))
 
-    return words.select("word").distinct().select("word", stem("word").alias("stem"))
+    return stem
+
+
+def stems(words: DataFrame) -> DataFrame:
+    """(word, stem) of distinct words: each is stemmed once, however often it stands in texts."""
+    return words.select("word").distinct().select("word", _stem()("word").alias("stem"))
 
 
 def phrases(spark: SparkSession, query: str) -> list[tuple[str, ...]]:
@@ -164,15 +172,16 @@ def _root(stem: str) -> str:
 def _found(texts: DataFrame, wanted: list[tuple[str, ...]]) -> tuple[DataFrame, DataFrame]:
     """occurrences and sizes from texts themselves: runs of words that begin like a phrase's are cut out by a pattern, and only those are
     counted and stemmed."""
-    rows = texts.select("source", "id", F.explode(F.array(folded("text"))).alias("t"))  # a generator, so that texts are folded once
+    sizes = texts.select("source", "id", F.regexp_count(folded("text"), F.lit(f"{WORD}+")).cast("long").alias("len")).where("len > 0")
     pattern = lambda p: rf"(?<!{WORD})(?=(" + SEPARATOR.join(re.escape(_root(t)) + f"{WORD}*" for t in p) + "))"
     runs = [F.when(F.col("t").contains(_root(p[0])), F.regexp_extract_all("t", F.lit(pattern(p)), 1)).otherwise(F.array().cast("array<string>")) for p in wanted]
     every = F.array(*[F.struct(F.lit(i).alias("phrase"), r.alias("runs")) for i, r in enumerate(runs)])
-    rows = rows.select("source", "id", F.regexp_count("t", F.lit(f"{WORD}+")).cast("long").alias("len"), every.alias("every")).where("len > 0")
+    # Generators, so that texts are folded and searched once: filters that Spark puts below an explode would do it again.
+    rows = texts.select("source", "id", once(folded("text")).alias("t")).select("source", "id", once(every).alias("every"))
     hits = rows.select("source", "id", F.explode("every").alias("e")).select("source", "id", "e.phrase", F.explode("e.runs").alias("run"))
     n = hits.groupBy("source", "id", "phrase", F.regexp_replace("run", SEPARATOR, " ").alias("word")).agg(F.count(F.lit(1)).alias("n"))
     stem = F.element_at(F.array(*[F.lit(" ".join(p)) for p in wanted]), F.col("phrase") + 1)
-    return n.join(stems(n), "word").where(F.col("stem") == stem).groupBy("source", "id", "phrase").agg(F.sum("n").alias("tf")), rows.select("source", "id", "len")
+    return n.withColumn("stem", _stem()("word")).where(F.col("stem") == stem).groupBy("source", "id", "phrase").agg(F.sum("n").alias("tf")), sizes
 
 
 # -- ranking ------------------------------------------------------------------------------------------------------------
