@@ -3,7 +3,9 @@
 A paragraph is a run of lines without a blank line between; one of more than PIECE_WORDS words is cut into pieces of so many, which count as
 paragraphs, so a block is never much longer than a notice and words that lie far apart prove nothing. A text block is a run of up to
 PARAGRAPHS neighbouring paragraphs. It matches a template if the block's words hold at least THRESHOLD of the template's distinct words, all
-of its key words, none of the words that belong to a sister licence, and no shorter block within it does.
+of its key words, none of the words that belong to a sister licence, and no shorter block within it does. A short notice of common words also needs
+its naming words side by side in the document: a bag of seven or thirteen words is met by prose. Identifiers of the form
+`SPDX-License-Identifier: BSD-3-Clause` give the label of their licence.
 
 Words of templates are ordered by their frequency over the blocks of all documents,
 rarest first. A block that meets the threshold must hold a word of the template's prefix (its n - needed + 1 rarest words), must
@@ -33,6 +35,7 @@ class Template:
     text: str
     keys: tuple[str, ...] = ()
     bars: tuple[str, ...] = ()
+    phrase: str = ""  # words that have to stand side by side
 
 
 _GPL = "free software you can redistribute it and/or modify it under the terms of the {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. {2} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {0} for more details."
@@ -49,11 +52,11 @@ TEMPLATES = {
         ("redistributions",),
     ),
     "cc-by": Template("This work is licensed under a Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/ or send a letter to Creative Commons", ("creative", "commons", "attribution"), ("noncommercial", "noderivatives", "noderivs", "sharealike", "nc", "nd", "sa")),
-    "cc-by-nc": Template("Licensed under CC BY-NC 4.0", ("cc", "nc")),
+    "cc-by-nc": Template("Licensed under CC BY-NC 4.0", ("cc", "nc"), phrase="cc by nc"),
     "cc-by-sa": Template("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-sa/4.0/ or send a letter to Creative Commons", ("creative", "commons", "sharealike"), ("noncommercial", "nc")),
     "cc0": Template("To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work", ("cc0", "waived")),
     "gpl": Template("This program is " + _GPL.format("GNU General Public License", "3", "This program"), ("gnu", "general", "public"), ("affero", "lesser", "library")),
-    "gpl-notice": Template("This work is licensed under the GNU General Public License, version 3", ("gnu", "general", "public", "license"), ("affero", "lesser")),
+    "gpl-notice": Template("This work is licensed under the GNU General Public License, version 3", ("gnu", "general", "public", "license"), ("affero", "lesser"), "gnu general public license"),
     "isc": Template("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ("permission", "granted", "fee")),
     "lgpl": Template("This library is " + _GPL.format("GNU Lesser General Public License", "2.1", "This library"), ("gnu", "lesser")),
     "mit": Template(
@@ -64,6 +67,11 @@ TEMPLATES = {
     "unlicense": Template("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", ("unencumbered",)),
     "zlib": Template("This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions", ("permission", "granted", "freely")),
 }
+#: How identifiers begin, as words, and their labels; the longest that fits counts.
+IDENTIFIERS = {
+    "agpl": "agpl", "apache": "apache", "bsd": "bsd", "bsl 1": "boost", "cc by": "cc-by", "cc by nc": "cc-by-nc", "cc by sa": "cc-by-sa", "cc0": "cc0", "gpl": "gpl", "isc": "isc", "lgpl": "lgpl", "mit": "mit", "mpl": "mpl", "unlicense": "unlicense", "zlib": "zlib",
+}
+IDENTIFIER = "spdx license identifier"
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
 _OTHER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -89,6 +97,12 @@ def _phrases(df: DataFrame) -> DataFrame:
     first = _spaces(F.regexp_extract("s", f"(?is)^(.*?) (?:{_ANY})(?= )", 1))
     last = _spaces(F.regexp_extract("s", f"(?is)^(.*) (?:{_ANY})(?= )", 1))
     labels = F.array(*(F.when(s.rlike(f"(?i) {p} "), F.lit(label)) for p, label in sorted(PHRASES.items(), key=lambda x: x[1])))
+    # The longest beginning is tried first. Word ends are checked, so `mit` is not `mitre`.
+    ids = "|".join(sorted(IDENTIFIERS, key=lambda x: (-len(x), x)))
+    named = F.regexp_extract_all(F.lower(s), F.lit(f" {IDENTIFIER} ({ids})(?= )"), F.lit(1))
+    label = F.create_map(*[F.lit(x) for pair in IDENTIFIERS.items() for x in pair])
+    spdx = F.when(s.rlike(f"(?i) {IDENTIFIER} "), F.transform(named, lambda x: F.element_at(label, x))).otherwise(F.array().cast("array<string>"))
+    df = df.withColumn("identified", spdx)
     return df.withColumns(
         {
             "first_word": F.when(n > 0, first.cast("long")),
@@ -112,13 +126,15 @@ def _runs(own: Column) -> Column:
     return F.concat(*runs)
 
 
-def blocks_and_phrases(docs: DataFrame, words: dict[str, list[str]], bars: set[str], threshold: float) -> DataFrame:
-    """One row per document: row_id, doc_id, n_words, the phrase columns, and blocks (place, template words) that can match at all."""
+def blocks_and_phrases(docs: DataFrame, words: dict[str, list[str]], bars: set[str], threshold: float, phrased: dict[str, Template]) -> DataFrame:
+    """One row per document: row_id, doc_id, n_words, the phrase columns, the templates of `phrased` whose phrase it has (said), and blocks (place, template words) that can match at all."""
     vocabulary = F.array(*map(F.lit, sorted({w for ws in words.values() for w in ws} | bars)))
     least = min(math.ceil(threshold * len(ws)) for ws in words.values())
     df = with_row_id(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")))
     df = df.withColumn("s", F.concat(F.lit(" "), F.regexp_replace("t", _OTHER, " "), F.lit(" ")))
     df = df.withColumn("s", F.regexp_replace("s", "  +", " "))
+    said = F.array_compact(F.array(*(F.when(F.col("s").rlike(f"(?i) {t.phrase} "), F.lit(name)) for name, t in phrased.items()))) if phrased else F.array().cast("array<string>")
+    df = df.withColumn("said", said)
     df = _phrases(df.withColumn("n_words", F.greatest(_spaces(F.col("s")) - 1, F.lit(0)).cast("long")))
     place = lambda i: F.struct(i.alias("first"), F.lit(1).alias("paragraphs")).alias("block")
     pieces = lambda ws: F.transform(F.sequence(F.lit(0), F.floor((F.size(ws) - 1) / PIECE_WORDS).cast("int")), lambda k: F.array_intersect(F.slice(ws, k * PIECE_WORDS + 1, F.lit(PIECE_WORDS)), vocabulary))
@@ -127,7 +143,7 @@ def blocks_and_phrases(docs: DataFrame, words: dict[str, list[str]], bars: set[s
     df = df.withColumn("own", own).withColumn("blocks", _runs(F.col("own")))
     kept = F.filter("blocks", lambda b: b["more"] & (F.size(b["words"]) >= least))
     df = df.withColumn("blocks", F.transform(kept, lambda b: F.struct(b["block"].alias("block"), b["words"].alias("words"))))
-    return df.select("row_id", "doc_id", "n_words", "n_base", "first_word", "last_word", "base", "blocks")
+    return df.select("row_id", "doc_id", "n_words", "n_base", "first_word", "last_word", "base", "said", "identified", "blocks")
 
 
 def _map(of: dict[str, list[str]]) -> Column:
@@ -162,12 +178,13 @@ def scan(docs: DataFrame, templates: dict[str, Template] = TEMPLATES, threshold:
 
     n_base counts places where a phrase's words stand one after another, first_word and last_word are the smallest and largest
     word number (from 0) where one starts, else null; labels adds the names of templates that a block matches; both are
-    distinct, sorted and joined by commas. score is 1 with a phrase, else the largest containment found, else 0. matches has the blocks
+    distinct, sorted and joined by commas. score is 1 with a phrase or an identifier, else the largest containment found, else 0. matches has the blocks
     (number of the first paragraph or piece, template, containment, number of them). A null text is an empty one: no words, no labels, score 0. Repeated rows are scanned each time;
     texts may be of any length; other columns are ignored; an empty table gives an empty result.
     """
     words, bars = template_words(templates), {w for t in templates.values() for w in t.bars}
-    rows, _ = cut(blocks_and_phrases(docs, words, bars, threshold), "licence-blocks")
+    phrased = {n: t for n, t in templates.items() if t.phrase}
+    rows, _ = cut(blocks_and_phrases(docs, words, bars, threshold, phrased), "licence-blocks")
     blocks = rows.select("row_id", F.inline("blocks"))
     # As many entries as there are templates.
     keys, without = _map({n: list(t.keys) for n, t in templates.items()}), _map({n: list(t.bars) for n, t in templates.items()})
@@ -182,9 +199,12 @@ def scan(docs: DataFrame, templates: dict[str, Template] = TEMPLATES, threshold:
         return ~F.exists(near, lambda y: (y["template"] == x["template"]) & (y["first"] >= x["first"]) & (end(y) <= end(x)) & (y["paragraphs"] < x["paragraphs"]))
 
     out = rows.drop("blocks").join(found, "row_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<template string, first int, paragraphs int, containment double>>")))
+    # Those that have to be said and are not.
+    if phrased:
+        out = out.withColumn("found", F.filter("found", lambda x: ~x["template"].isin(*phrased) | F.array_contains("said", x["template"])))
     matches = F.transform(F.filter("found", shortest), lambda x: F.struct(x["first"].alias("block"), x["template"].alias("template"), x["containment"].alias("containment"), x["paragraphs"].alias("paragraphs")))
     out = out.withColumn("matches", F.array_sort(matches)).drop("found")
-    named = F.array_sort(F.array_distinct(F.concat("base", F.transform("matches", lambda m: m["template"]))))
+    named = F.array_sort(F.array_distinct(F.concat("base", "identified", F.transform("matches", lambda m: m["template"]))))
     best = F.array_max(F.transform("matches", lambda m: m["containment"]))
-    score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce(best, F.lit(0.0)))
+    score = F.when((F.col("n_base") > 0) | (F.size("identified") > 0), F.lit(1.0)).otherwise(F.coalesce(best, F.lit(0.0)))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("base"), ",").alias("base_labels"), F.array_join(named, ",").alias("labels"), score.alias("score"), "matches")

@@ -102,7 +102,7 @@ def _licence_sql() -> str:
     quote = lambda x: "'" + x + "'"
     listed = lambda xs: f"[{', '.join(map(quote, xs))}]::VARCHAR[]"
     words = licences.template_words(licences.TEMPLATES)
-    rows = ", ".join(f"({quote(name)}, {listed(ws)}, {listed(licences.TEMPLATES[name].keys)}, {listed(licences.TEMPLATES[name].bars)})" for name, ws in words.items())
+    rows = ", ".join(f"({quote(name)}, {listed(ws)}, {listed(licences.TEMPLATES[name].keys)}, {listed(licences.TEMPLATES[name].bars)}, {quote(licences.TEMPLATES[name].phrase)})" for name, ws in words.items())
     phrases = ", ".join(f"({quote(p)}, {quote(label)}, {len(p.split())})" for p, label in licences.PHRASES.items())
     size = licences.PIECE_WORDS
     runs = ["SELECT doc_id, n, 1 AS k, bw FROM pc", *(f"SELECT a.doc_id, a.n, {k + 1}, list_concat(a.bw, {', '.join(f'p{j}.bw' for j in range(1, k + 1))}) FROM pc a {' '.join(f'JOIN pc p{j} ON p{j}.doc_id = a.doc_id AND p{j}.n = a.n + {j}' for j in range(1, k + 1))}" for k in range(1, licences.PARAGRAPHS))]
@@ -111,20 +111,23 @@ WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all({LOWER}, '
 ph AS (SELECT * FROM (VALUES {phrases}) x(phrase, label, k)),
 pl AS (SELECT doc_id, label, i FROM (SELECT doc_id, ws, label, phrase, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, ph WHERE contains(array_to_string(ws, ' '), phrase)) WHERE array_to_string(ws[i:i + k - 1], ' ') = phrase),
 b AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS f, max(i) - 1 AS l, list_sort(list(DISTINCT label)) AS labels FROM pl GROUP BY doc_id),
-tp AS (SELECT * FROM (VALUES {rows}) x(template, tw, tk, tb)),
+tp AS (SELECT * FROM (VALUES {rows}) x(template, tw, tk, tb, tp)),
 pa AS (SELECT doc_id, unnest(ps) AS x, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, string_split_regex(t, '\n[ \t\v\f\r]*\n') AS ps FROM w)),
 pw AS (SELECT doc_id, i, string_split_regex(lower(x), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM pa),
 pk AS (SELECT doc_id, i, ws, unnest(range(0, greatest(len(ws) - 1, 0) // {size} + 1)) AS k FROM pw),
 pc AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS n, list_distinct(ws[k * {size} + 1:k * {size} + {size}]) AS bw FROM pk),
 ru AS ({' UNION ALL '.join(runs)}),
 mt AS (SELECT doc_id, n, k, template, len(list_intersect(tw, bw)) / len(tw) AS c FROM ru, tp
-  WHERE len(list_intersect(tw, bw)) >= ceil({licences.THRESHOLD} * len(tw)) AND list_has_all(bw, tk) AND NOT list_has_any(bw, tb)),
+  WHERE len(list_intersect(tw, bw)) >= ceil({licences.THRESHOLD} * len(tw)) AND list_has_all(bw, tk) AND NOT list_has_any(bw, tb)
+  AND (tp = '' OR EXISTS (SELECT 1 FROM w WHERE w.doc_id = ru.doc_id AND contains(' ' || array_to_string(ws, ' ') || ' ', ' ' || tp || ' ')))),
+sx AS (SELECT doc_id, list(DISTINCT label) AS sl FROM (SELECT doc_id, unnest(regexp_extract_all(' ' || array_to_string(ws, ' ') || ' ', ' {licences.IDENTIFIER} ({'|'.join(sorted(licences.IDENTIFIERS, key=lambda x: (-len(x), x)))}) ', 1)) AS x FROM w)
+  JOIN (VALUES {', '.join(f"({quote(x)}, {quote(label)})" for x, label in licences.IDENTIFIERS.items())}) y(x, label) USING (x) GROUP BY doc_id),
 ms AS (SELECT * FROM mt a WHERE NOT EXISTS (SELECT 1 FROM mt b WHERE b.doc_id = a.doc_id AND b.template = a.template AND b.n >= a.n AND b.n + b.k <= a.n + a.k AND b.k < a.k)),
 mm AS (SELECT doc_id, list(DISTINCT template) AS labels, max(c) AS c FROM ms GROUP BY doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.f::BIGINT AS first_word, b.l::BIGINT AS last_word, coalesce(array_to_string(b.labels, ','), '') AS base_labels,
-  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(mm.labels, [])))), ','), '') AS labels,
-  CASE WHEN b.n > 0 THEN 1.0 ELSE coalesce(mm.c, 0.0) END::DOUBLE AS score
-FROM w LEFT JOIN b USING (doc_id) LEFT JOIN mm USING (doc_id)"""
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(list_concat(coalesce(b.labels, []), coalesce(mm.labels, [])), coalesce(sx.sl, [])))), ','), '') AS labels,
+  CASE WHEN b.n > 0 OR len(sx.sl) > 0 THEN 1.0 ELSE coalesce(mm.c, 0.0) END::DOUBLE AS score
+FROM w LEFT JOIN b USING (doc_id) LEFT JOIN mm USING (doc_id) LEFT JOIN sx USING (doc_id)"""
 
 
 def _merkle_sql() -> str:

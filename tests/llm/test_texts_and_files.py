@@ -440,3 +440,19 @@ def test_queries_cover_whole_tables(spark, name):
     table, key = ("pages", "page_id") if name == "op2_html_text" else ("documents", "doc_id")
     got = QUERIES[name](spark, d)
     assert {r[0] for r in got.select(key).collect()} == {r[0] for r in spark.read.parquet(f"{d}/{table}.parquet").select(key).collect()}
+
+
+def test_licence_words_in_prose_and_identifiers(spark):
+    texts = {
+        1: "The 125 cc engine was licensed under a deal by a firm in Raleigh, NC in 2004, with 4 valves.",
+        2: "The gnu is under threat. This general survey of the public parks, version 3 of the work, is part of the license programme.",
+        3: "SPDX-License-Identifier: BSD-3-Clause",
+        4: "// SPDX-License-Identifier: (MIT)\nx\n# spdx-license-identifier: CC-BY-SA-4.0",
+        5: "This text is licensed under CC BY-NC 4.0.",
+        6: "This work is licensed under the GNU General Public License, version 3.",
+        7: "SPDX-License-Identifier: mitre",
+        8: None,
+    }
+    rows = {r.doc_id: r for r in licences.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert {i: r.labels for i, r in rows.items()} == {1: "", 2: "", 3: "bsd", 4: "cc-by,cc-by-sa,mit", 5: "cc-by,cc-by-nc", 6: "gpl,gpl-notice", 7: "", 8: ""}
+    assert rows[3].score == 1.0 and rows[1].score == 0.0
