@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import looks, rules, text
-from ..operators import code, graph, library, memory, ranking, reconcile, stats, suggest
+from ..operators import code, graph, library, memory, pooled, ranking, reconcile, stats, suggest, tables
 from ..sources import files as sources
+from ..sources import ignore
+from ..streaming import sink
 from . import store_queries, text_queries
 from .views import NOW_MS, TASK, Views, with_views
 
@@ -285,3 +289,48 @@ def project_graph(v: Views):
     nodes, edges = graph.project_graph(v.files, v.imports, v.functions, v.file_calls.withColumn("kind", F.lit("call")), "off")
     count = lambda df, part, kind: df.groupBy(F.lit(part).alias("part"), F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
     return count(nodes, "node", "kind").unionByName(count(edges, "edge", "rel"))
+
+
+# -- files, models, tables and streams ----------------------------------------------------------------------------------
+_RULES = "promo*/\n*_1*.ts\n!*_1[05]*.ts\n"
+
+
+@query("kept_files", with_views("paths", r"SELECT path FROM paths WHERE NOT regexp_matches(path, '(^|/)promo[^/]*/') AND NOT (regexp_matches(path, '(^|/)[^/]*_1[^/]*\.ts$') AND NOT regexp_matches(path, '(^|/)[^/]*_1[05][^/]*\.ts$'))"))
+def kept_files(v: Views):
+    """Files that a repository's ignore rules leave."""
+    return ignore.kept(v.files, ignore.rules(v.spark.range(1).select(F.lit(ignore.RULE_FILE).alias("path"), F.lit(_RULES).alias("body"))))
+
+
+@query("pooled_embeddings")
+def pooled_embeddings(v: Views):
+    """First lines of all documents by a model that is made of them; tests compare with numpy."""
+    titles = v.docs.select("path", F.col("title").alias("text"))
+    path = f"{graph.shared_dir(v.spark)}/token-model-{uuid.uuid4().hex}"
+    pooled.write_model(pooled.fit_tokens(titles, dim=32), path)
+    return pooled.embed(titles, path).select("path", F.transform("vec", lambda x: F.round(x.cast("double"), 4)).alias("vec"))
+
+
+@query("sql_symbols", with_views("paths", "SELECT path, 'make' || string_split(string_split(path, '/')[-1], '_')[1] AS name, 2 AS line FROM paths"))
+def sql_symbols(v: Views):
+    """Functions of all files by the table function, with an extractor of one's own for their language."""
+
+    def toy(path: str, body: str) -> list[tuple]:
+        return [(path, "function", line[3:], None, None, n, n, None) for n, line in enumerate(body.split("\n"), 1) if line.startswith("fn ")]
+
+    tables.register(v.spark, {"typescript": toy}, name="symbols_of_one_kind")
+    name = F.substring_index(F.substring_index("path", "/", -1), "_", 1)
+    files = v.files.select("path", F.concat(F.lit("// x\nfn make"), name, F.lit("\n")).alias("body"))
+    files.createOrReplaceTempView("files_with_bodies")
+    return v.spark.sql("SELECT path, name, line FROM symbols_of_one_kind(TABLE(SELECT path, body FROM files_with_bodies) PARTITION BY path)")
+
+
+@query("stored_calls", with_views("tool_calls", f"SELECT tool, status, count(*) AS n, max(ts) AS latest FROM tool_calls WHERE ts >= {NOW_MS} - 14 * 86400000::BIGINT GROUP BY tool, status"))
+def stored_calls(v: Views):
+    """Calls by tool after a stream has stored them with two weeks of retention, and its last batch was tried again."""
+    path = f"{graph.shared_dir(v.spark)}/calls-{uuid.uuid4().hex}"
+    schema = v.table("events").schema
+    stream = v.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(v.sf_dir)
+    calls = v.calls_of(stream)
+    sink.store_calls(calls, path, f"{path}-offsets", days=14, clock=lambda: NOW_MS).awaitTermination()
+    sink.store_batch(v.calls_of(v.table("events")), 0, path, NOW_MS, 14)
+    return sink.read_calls(v.spark, path, NOW_MS, 14).groupBy("tool", "status").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("latest"))

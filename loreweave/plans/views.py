@@ -65,7 +65,11 @@ class Views:
     # -- calls of tools -------------------------------------------------------------------------------------------------
     @property
     def tool_calls(self) -> DataFrame:
-        e = self.table("events")
+        return self.calls_of(self.table("events"))
+
+    @staticmethod
+    def calls_of(e: DataFrame) -> DataFrame:
+        """Events, of a table or a stream, as calls of tools."""
         tool = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in TOOLS.items()))
         return e.select(
             "event_id",
