@@ -55,25 +55,36 @@ def nearest_before(points: DataFrame, base: DataFrame, least: float) -> DataFram
     """(place, to, cosine): for each point (place, tags, vec) the most similar row of base (place, tags, vec) at an earlier place with a common
     tag; none below `least`. Of equal ones the earliest."""
     base = base.withColumnsRenamed({"place": "p", "vec": "v"}).select(F.col("p").alias("place"), F.col("v").alias("vec"), "tags")  # may be points itself
-    blocks = lambda df, name: df.select(F.explode(F.array_distinct("tags")).alias("tag")).groupBy("tag").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(f"n_{name}"))
+    blocks = lambda df, name: df.select(F.explode(F.array_distinct("tags")).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias(f"rows_{name}"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(f"n_{name}"))
     counts = blocks(points, "a").join(blocks(base, "b"), "tag")
     key = ["tag", "a", "b"]
+    # Small blocks share a task's call; there are as many calls as their rows need.
+    rows = counts.agg(F.sum(F.col("rows_a") * F.col("n_b") + F.col("rows_b") * F.col("n_a")).alias("rows")).head()
+    calls = max(1, -(-(rows["rows"] or 0) // (4 * BLOCK)))
+    call = F.pmod(F.xxhash64(*key), F.lit(calls))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"place": [], "to": [], "cosine": []})
-        right = right.sort_values("place")
-        x, y = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
-        at, to = left["place"].to_numpy(), right["place"].to_numpy()
-        gap = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :] + 1e-9
-        c = np.where(to[None, :] < at[:, None], np.round(x @ y.T / gap, 12), -2.0)
-        k = c.argmax(1)
-        top = c[np.arange(len(at)), k]
-        ok = top >= least
-        return pd.DataFrame({"place": at[ok], "to": to[k[ok]], "cosine": top[ok]})
-
-    left, right = _blocked(points, "a", "b", counts), _blocked(base, "b", "a", counts)
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(best, "place long, to long, cosine double")
+        found = []
+        if not left.empty and not right.empty:
+            right = right.sort_values("place")
+            x, y = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
+            x, y = (v / np.maximum(np.sqrt((v * v).sum(1)), 1e-300)[:, None] for v in (x, y))
+            long = [np.sqrt((v * v).sum(1)) for v in (np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy()))]
+            at, to, theirs = left["place"].to_numpy(), right["place"].to_numpy(), right.groupby(key, sort=False).indices
+            for block, i in left.groupby(key, sort=False).indices.items():
+                j = theirs.get(block)
+                if j is None:
+                    continue
+                scale = long[0][i][:, None] * long[1][j][None, :]
+                c = np.where(to[j][None, :] < at[i][:, None], np.round(x[i] @ y[j].T * scale / (scale + 1e-9), 12), -2.0)
+                k = c.argmax(1)
+                top = c[np.arange(len(i)), k]
+                ok = top >= least
+                found.append(pd.DataFrame({"place": at[i][ok], "to": to[j][k[ok]], "cosine": top[ok]}))
+        return pd.concat(found) if found else pd.DataFrame({"place": [], "to": [], "cosine": []})
+
+    left, right = _blocked(points, "a", "b", counts).withColumn("call", call), _blocked(base, "b", "a", counts).withColumn("call", call)
+    found = left.groupBy("call").cogroup(right.groupBy("call")).applyInPandas(best, "place long, to long, cosine double")
     got = F.min(F.struct((-F.col("cosine")).alias("less"), "to"))
     return found.groupBy("place").agg(got.alias("m")).select("place", F.col("m.to").alias("to"), (-F.col("m.less")).alias("cosine"))
 
