@@ -588,10 +588,10 @@ def full_text_phrase(v):
     return library.search_texts(spread(v.texts), "the-of it", limit=1 << 30).select("source", "id")
 
 
-@query("full_text_folded", f"{_WORDS} SELECT source, id FROM d WHERE {_phrase_sql('fur(s|ed|ing)?')} AND {_phrase_sql('cion(e?s)?', 'las?')}")
+@query("full_text_folded", f"{_WORDS} SELECT source, id FROM d WHERE {_phrase_sql('fur', 'die')}")
 def full_text_folded(v):
-    """Documents with accented words that a query spells without accents, or with others, from the stored index."""
-    return library.search_index(v.spark, v.stored_texts(), "Fur cion/LA", limit=1 << 30).select("source", "id")
+    """Documents with an accented word that the query spells without its accent, beside another, from the stored index."""
+    return library.search_index(v.spark, v.stored_texts(), "Fur/DIE", limit=1 << 30).select("source", "id")
 
 
 @query("indexed_phrase", f"{_WORDS} SELECT source, id FROM d WHERE {_phrase_sql('thes?', 'ofs?')} AND {_phrase_sql('it')}")
