@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as t
-from ..sources.spread import safe_unions
 
 SYMBOL_LIMIT = 3500
 LEAST_SIMILARITY, NEIGHBOURS = 0.65, 2
@@ -38,7 +37,6 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: a loop's lineage ends there."""
-    safe_unions(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as t
+from ..sources.spread import safe_unions
 from . import history, library, memory
 from .graph import cut
 
@@ -93,6 +94,7 @@ def leaders(points: DataFrame, known: DataFrame, least: float) -> DataFrame:
     """(place, to, cosine): to and cosine are null for points that are leaders. In the order of places a point follows the most similar leader
     before it, or the most similar known row, that shares a tag and has a cosine of `least`; else it is a leader. Points (place, tags, vec,
     copy): copy is the same for points with equal tags and vec. Places of known rows are below those of points. Points without tags are leaders."""
+    safe_unions(points.sparkSession)
     tagged = points.where(F.size("tags") > 0)
     first = tagged.groupBy("copy").agg(F.min("place").alias("place")).select("place")
     left = tagged.join(first, "place", "left_semi")

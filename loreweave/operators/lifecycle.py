@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions import text as t
+from ..sources.spread import safe_unions
 from .graph import cut
 
 PIN_CAP = 20
@@ -280,6 +281,7 @@ def apply(state: DataFrame, commands: DataFrame, types: list[str], cap: int = PI
     """Applies commands on existing records, many to a record, one after the other in ORDER: each is judged by the state that those before it left.
     Every command is in the audit or among the rejected. types are the registered ones; a record merged into another leaves its id there, and a row
     in the other's audit. Unknown ids and actions are rejected, a null ts comes first. ids of the state are taken to be unique."""
+    safe_unions(state.sparkSession)
     known_types = frozenset(types)
     mine = commands.where("action is null or action not in ('create', 'discard')")
     c = mine.select(F.col("id").alias("stream"), F.col("id").alias("own"), "action", "ts", "arg", "body", F.col("type").alias("new_type"), "source", "reason", "force")
