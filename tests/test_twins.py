@@ -37,3 +37,16 @@ def test_signals_are_judged(spark, signalled):
     one = lambda q: QUERIES[q](spark, d).collect()
     assert one("digest_counts")[0].captures_high == 0 < one("digest_by_signal")[0].captures_high
     assert one("pending_by_signal")[0].signal > 0 and set(one("triage")) != set(one("triage_all"))
+
+
+def test_other_words_of_a_stem_are_left_to_the_stems(spark, tmp_path):
+    c = duckdb.connect()
+    texts = ["the of it", "Thes, ofs - it", "the ofing it", "the of ited", "the of its it", "theing ofed it the of it", "the-of its", "", "it " * 300 + "the of"]
+    rows = [(i, t, "en", f"s{i % 2}") for i, t in enumerate(texts * 2)]
+    c.execute("create table documents (doc_id bigint, text varchar, lang varchar, source varchar)")
+    c.executemany("insert into documents values (?, ?, ?, ?)", rows)
+    c.execute(f"copy documents to '{tmp_path}/documents.parquet' (format parquet)")
+    got = {q: {tuple(r) for r in QUERIES[q](spark, str(tmp_path)).collect()} for q in ("full_text", "full_text_phrase", "indexed_phrase", "indexed_search", "full_text_stems")}
+    for q in set(got) - {"full_text_stems"}:
+        assert got[q] == set(c.execute(SQL[q]).fetchall()), q
+    assert got["full_text_stems"] > got["full_text_phrase"]
