@@ -50,3 +50,13 @@ def test_other_words_of_a_stem_are_left_to_the_stems(spark, tmp_path):
     for q in set(got) - {"full_text_stems"}:
         assert got[q] == set(c.execute(SQL[q]).fetchall()), q
     assert got["full_text_stems"] > got["full_text_phrase"]
+
+
+@pytest.mark.parametrize("name, side", [("fuzzy_token_match", "posexplode"), ("resolve_imports", "FileScan"), ("suggest_anchored", "explode"), ("project_graph", "FileScan")])
+def test_what_grows_with_the_files_is_not_broadcast(spark, name, side):
+    lines = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    for i, line in enumerate(lines):
+        if "BroadcastExchange HashedRelation" in line:
+            below = next((j for j in range(i + 1, len(lines)) if depth(lines[j]) <= depth(line)), len(lines))
+            assert "TakeOrderedAndProject" in "".join(lines[i:below]) or not any(side in x for x in lines[i:below]), (name, line)
