@@ -16,6 +16,8 @@ from .search import postings as inverted_index  # noqa: F401
 MOST_CHARS, OVERLAP = 1800, 200
 RRF, TOP, BOOST, SNIPPET = 60, 8, 0.1, 400
 DIM = 384
+#: Characters of documents whose passages a task holds before it hands them on.
+HELD = 1 << 20
 PASSAGE = "doc_id string, ordinal int, heading_path array<string>, text string, line_start int, line_end int"
 
 
@@ -42,9 +44,11 @@ def _passages(most: int, overlap: int) -> Callable:
 
     heading = re.compile(r"^(#{1,6})\s+(.+?)\s*$")
 
+    frame = lambda rows: pd.DataFrame(rows, columns=["doc_id", "ordinal", "heading_path", "text", "line_start", "line_end"])
+
     def run(batches):
         for pdf in batches:
-            rows = []
+            rows, held = [], 0
             for doc_id, body in zip(pdf["doc_id"], pdf["body"], strict=True):
                 sections, path, lines = [], [], []
                 for n, line in enumerate(re.split("\r?\n", body or ""), 1):
@@ -61,7 +65,11 @@ def _passages(most: int, overlap: int) -> Callable:
                     for w in _windows(own, most, overlap):
                         rows.append((doc_id, k, names, "\n".join(x for _, x in w), w[0][0], w[-1][0]))
                         k += 1
-            yield pd.DataFrame(rows, columns=["doc_id", "ordinal", "heading_path", "text", "line_start", "line_end"])
+                held += len(body or "")
+                if held >= HELD:
+                    yield frame(rows)
+                    rows, held = [], 0
+            yield frame(rows)
 
     return run
 

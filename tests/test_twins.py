@@ -60,3 +60,14 @@ def test_what_grows_with_the_files_is_not_broadcast(spark, name, side):
         if "BroadcastExchange HashedRelation" in line:
             below = next((j for j in range(i + 1, len(lines)) if depth(lines[j]) <= depth(line)), len(lines))
             assert "TakeOrderedAndProject" in "".join(lines[i:below]) or not any(side in x for x in lines[i:below]), (name, line)
+
+
+def test_passages_are_handed_on_in_parts():
+    import pandas as pd
+
+    from loreweave.operators import library
+
+    docs = pd.DataFrame({"doc_id": [str(i) for i in range(40)], "body": ["word " * 20000] * 39 + [None]})
+    parts = list(library._passages(library.MOST_CHARS, library.OVERLAP)(iter([docs])))
+    assert len(parts) > 2 and max(p.text.str.len().sum() for p in parts) < 2 * library.HELD
+    assert list(pd.concat(parts).doc_id.unique()) == list(docs.doc_id)
