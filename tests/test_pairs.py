@@ -61,3 +61,10 @@ def test_records_of_a_tag_are_not_shuffled_as_pairs(spark):
     sims = x @ x.T
     np.fill_diagonal(sims, -2)
     assert {(r.new_id, r.id) for r in got} == {(k, int(sims[k].argmax())) for k in range(n)} and moved < 20 * n
+
+
+def test_all_pairs_give_few_rows(spark):
+    n = 2000
+    frame = spark.createDataFrame(list(enumerate(unit(n, 8, 4))), "id long, vec array<double>")
+    got, moved = shuffled(spark, lambda: graph.semantic_edges(frame, 2, 0.3))
+    assert len(got) > n / 2 and moved < 9 * n
