@@ -68,3 +68,23 @@ def test_all_pairs_give_few_rows(spark):
     frame = spark.createDataFrame(list(enumerate(unit(n, 8, 4))), "id long, vec array<double>")
     got, moved = shuffled(spark, lambda: graph.semantic_edges(frame, 2, 0.3))
     assert len(got) > n / 2 and moved < 9 * n
+
+
+@pytest.mark.parametrize("probes", [4, 1000])
+def test_a_query_is_not_shuffled_for_each_cell(spark, tmp_path, monkeypatch, probes):
+    n, vec = 900, unit(900, 8, 5)
+    frame = spark.createDataFrame(list(enumerate(vec)), "id long, vec array<double>")
+    vectors.write_index(frame, str(tmp_path / "i"))
+    got, moved = shuffled(spark, lambda: vectors.search(spark, str(tmp_path / "i"), frame, 2, -2.0, probes))
+    assert len(got) == 2 * n and moved < 9 * n
+    # Of other sizes of parts the result is the same: a query looks into its own cells, whatever its part needs.
+    monkeypatch.setattr(vectors, "BLOCK", 37)
+    again = vectors.search(spark, str(tmp_path / "i"), frame, 2, -2.0, probes).collect()
+    assert {(r.source, r.target) for r in again} == {(r.source, r.target) for r in got}
+    c, _ = vectors._centres(spark, str(tmp_path / "i"))
+    x = np.array(vec)
+    looks = np.argsort(np.argsort(-(x @ c.T), axis=1, kind="stable"), axis=1) < probes
+    own = {r.id: r.cell for r in vectors.read_index(spark, str(tmp_path / "i")).collect()}
+    sims = np.where(looks[:, [own[k] for k in range(n)]], x @ x.T, -9)
+    np.fill_diagonal(sims, -9)
+    assert {(r.source, r.target) for r in got} == {(k, int(j)) for k in range(n) for j in np.argsort(-sims[k])[:2] if sims[k, j] > -9}
