@@ -2,7 +2,7 @@
 
 A capture is compared with the records that are there and with those that earlier captures of the same run have made, so the run is a
 sequence. It is resolved in rounds instead: a capture without an earlier neighbour is new whatever happens, its neighbours are not, and both leave
-the next round. Neighbours share a tag and have a cosine of `least` or more; they are found block by block within each tag, and a block
+the next round. Neighbours share a tag and have a cosine of `least` or more; they are found part by part within each tag, and a part
 gives at most one row for each of its captures, never its pairs.
 """
 
@@ -10,19 +10,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as t
 from ..sources.spread import safe_unions
-from . import history, library, memory
+from . import history, library, memory, pairs
 from .graph import cut
 
-#: Captures of one tag in a block; blocks of a tag meet two by two.
-BLOCK = 512
+#: Captures of one tag in a part; all others of the tag stream past it.
+BLOCK = pairs.PART
 EXCERPT = 280
 #: Places of records that were there before, so that they come before all captures.
 _BEFORE = -(1 << 62)
@@ -45,49 +43,12 @@ def _placed(df: DataFrame, *by: str, start: int = 0) -> DataFrame:
     return cut(rows.withColumn("place", F.monotonically_increasing_id() + F.lit(start)), "placed")
 
 
-def _blocked(df: DataFrame, own: str, other: str, counts: DataFrame) -> DataFrame:
-    """A row for each tag of df and each block of the other side; both blocks' numbers are its key."""
-    tagged = df.select("place", "vec", F.explode(F.array_distinct("tags")).alias("tag")).join(counts, "tag")
-    mine = F.pmod(F.xxhash64("place"), F.col(f"n_{own}")).cast("int").alias(own)
-    return tagged.select("tag", "place", "vec", mine, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)).alias(other))
-
-
 def nearest_before(points: DataFrame, base: DataFrame, least: float) -> DataFrame:
     """(place, to, cosine): for each point (place, tags, vec) the most similar row of base (place, tags, vec) at an earlier place with a common
     tag; none below `least`. Of equal ones the earliest."""
-    base = base.withColumnsRenamed({"place": "p", "vec": "v"}).select(F.col("p").alias("place"), F.col("v").alias("vec"), "tags")  # may be points itself
-    blocks = lambda df, name: df.select(F.explode(F.array_distinct("tags")).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias(f"rows_{name}"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(f"n_{name}"))
-    counts = blocks(points, "a").join(blocks(base, "b"), "tag")
-    key = ["tag", "a", "b"]
-    # Small blocks share a task's call; there are as many calls as their rows need.
-    rows = counts.agg(F.sum(F.col("rows_a") * F.col("n_b") + F.col("rows_b") * F.col("n_a")).alias("rows")).head()
-    calls = max(1, -(-(rows["rows"] or 0) // (4 * BLOCK)))
-    call = F.pmod(F.xxhash64(*key), F.lit(calls))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if not left.empty and not right.empty:
-            right = right.sort_values("place")
-            x, y = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
-            x, y = (v / np.maximum(np.sqrt((v * v).sum(1)), 1e-300)[:, None] for v in (x, y))
-            long = [np.sqrt((v * v).sum(1)) for v in (np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy()))]
-            at, to, theirs = left["place"].to_numpy(), right["place"].to_numpy(), right.groupby(key, sort=False).indices
-            for block, i in left.groupby(key, sort=False).indices.items():
-                j = theirs.get(block)
-                if j is None:
-                    continue
-                scale = long[0][i][:, None] * long[1][j][None, :]
-                c = np.where(to[j][None, :] < at[i][:, None], np.round(x[i] @ y[j].T * scale / (scale + 1e-9), 12), -2.0)
-                k = c.argmax(1)
-                top = c[np.arange(len(i)), k]
-                ok = top >= least
-                found.append(pd.DataFrame({"place": at[i][ok], "to": to[j][k[ok]], "cosine": top[ok]}))
-        return pd.concat(found) if found else pd.DataFrame({"place": [], "to": [], "cosine": []})
-
-    left, right = _blocked(points, "a", "b", counts).withColumn("call", call), _blocked(base, "b", "a", counts).withColumn("call", call)
-    found = left.groupBy("call").cogroup(right.groupBy("call")).applyInPandas(best, "place long, to long, cosine double")
-    got = F.min(F.struct((-F.col("cosine")).alias("less"), "to"))
-    return found.groupBy("place").agg(got.alias("m")).select("place", F.col("m.to").alias("to"), (-F.col("m.less")).alias("cosine"))
+    tagged = lambda df: df.select(F.explode(F.array_distinct("tags")).alias("g"), F.col("place").alias("id"), "vec")
+    near = pairs.best(tagged(points), tagged(base), 1, least - 1e-12, cosine=True, earlier=True, digits=12, part=BLOCK)
+    return near.select(F.col("source").alias("place"), F.col("target").alias("to"), F.round("sim", 12).alias("cosine")).where(F.col("cosine") >= least)
 
 
 def leaders(points: DataFrame, known: DataFrame, least: float) -> DataFrame:

@@ -88,3 +88,10 @@ def test_a_query_is_not_shuffled_for_each_cell(spark, tmp_path, monkeypatch, pro
     sims = np.where(looks[:, [own[k] for k in range(n)]], x @ x.T, -9)
     np.fill_diagonal(sims, -9)
     assert {(r.source, r.target) for r in got} == {(k, int(j)) for k in range(n) for j in np.argsort(-sims[k])[:2] if sims[k, j] > -9}
+
+
+def test_captures_of_a_tag_are_shuffled_once_for_a_part(spark):
+    n = 1600
+    frame = spark.createDataFrame([(k, ["hot"], v) for k, v in enumerate(unit(n, 8, 6))], "place long, tags array<string>, vec array<double>")
+    got, moved = shuffled(spark, lambda: intake.nearest_before(frame, frame, 0.9))
+    assert 0 < len(got) < n and all(r.to < r.place for r in got) and moved < 5 * n
