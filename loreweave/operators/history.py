@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,6 +14,7 @@ SNIPPET, CHUNK, NEAR = 500, 512, 3
 #: Weights of the kinds of evidence in a search.
 WEIGHTS = {"correction": 1.0, "prompt": 0.7, "file": 0.6, "tool": 0.4, "summary": 0.8}
 CHUNK_WEIGHT, CHUNK_COSINE = 0.5, 0.3
+Judge = Callable[[str], Column]
 
 
 def next_snippet(turns: DataFrame) -> DataFrame:
@@ -29,6 +32,17 @@ def prompts(turns: DataFrame) -> DataFrame:
     return own.join(next_snippet(turns), ["session", "turn"]).select("session", "turn", "text", "snippet", rules.is_correction("text").alias("correction"))
 
 
+def _said(injected: bool) -> Column:
+    """Whether a turn is a user's with text; without `injected`, one that a harness didn't write."""
+    own = (F.col("role") == "user") & (F.col("text") != "")
+    return own if injected else own & ~rules.is_injected("text")
+
+
+def corrections(turns: DataFrame, injected: bool = False, judge: Judge = rules.is_correction) -> DataFrame:
+    """(session, turn, correction) of each prompt; `injected`: also of those that a harness wrote."""
+    return turns.where(_said(injected)).select("session", "turn", judge("text").alias("correction"))
+
+
 def evidence_counts(turns: DataFrame) -> DataFrame:
     """Per session: turns, prompts, corrections."""
     u = F.col("role") == "user"
@@ -101,9 +115,9 @@ def search_broadening(evidence: DataFrame, query: str, session: str, limit: int
     return own if not own.isEmpty() else search(evidence, query, None, limit)
 
 
-def search_evidence(turns: DataFrame) -> DataFrame:
-    """Rows for `search`: prompts, and corrections once more."""
-    p = prompts(turns)
+def search_evidence(turns: DataFrame, injected: bool = False, judge: Judge = rules.is_correction) -> DataFrame:
+    """Rows for `search`: prompts, and corrections once more; `injected`: with prompts that a harness wrote."""
+    p = turns.where(_said(injected)).withColumn("correction", judge("text"))
     return p.select("session", "turn", F.lit("prompt").alias("kind"), "text").unionByName(p.where("correction").select("session", "turn", F.lit("correction").alias("kind"), "text"))
 
 
