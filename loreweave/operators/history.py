@@ -43,11 +43,10 @@ def corrections(turns: DataFrame, injected: bool = False, judge: Judge = rules.i
     return turns.where(_said(injected)).select("session", "turn", judge("text").alias("correction"))
 
 
-def evidence_counts(turns: DataFrame) -> DataFrame:
-    """Per session: turns, prompts, corrections."""
-    u = F.col("role") == "user"
-    real = u & (F.col("text") != "") & ~rules.is_injected("text")
-    return turns.groupBy("session").agg(F.count(F.lit(1)).alias("turns"), F.count_if(real).alias("prompts"), F.count_if(real & rules.is_correction("text")).alias("corrections"))
+def evidence_counts(turns: DataFrame, injected: bool = False, judge: Judge = rules.is_correction) -> DataFrame:
+    """Per session: turns, prompts, corrections; `injected`: with prompts that a harness wrote."""
+    real = _said(injected)
+    return turns.groupBy("session").agg(F.count(F.lit(1)).alias("turns"), F.count_if(real).alias("prompts"), F.count_if(real & judge("text")).alias("corrections"))
 
 
 def token_chunks(turns: DataFrame, size: int = CHUNK) -> DataFrame:

@@ -26,7 +26,7 @@ def odd(tmp_path_factory):
     return str(d), c
 
 
-@pytest.mark.parametrize("name", ["corrections", "history_search", "prompt_corrections", "prompt_search"])
+@pytest.mark.parametrize("name", ["corrections", "evidence_counts", "history_search", "prompt_corrections", "prompt_counts", "prompt_search"])
 def test_as_in_the_twin(spark, odd, name):
     d, c = odd
     got, want = QUERIES[name](spark, d), c.execute(SQL[name])
